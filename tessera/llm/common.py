@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,3 +131,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def schema_of(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
+def labelled_sample(labels: DataFrame, most: int) -> pd.DataFrame:
+    """``most`` labelled rows at most, a row per doc_id, the first by a hash of doc_id: a bounded training sample on the driver."""
+    one = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in labels.columns if c != "doc_id"])
+    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas()
