@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, quality, rules, sharding, toxicity
+from tessera.llm import decontamination, licenses, mixing, quality, rules, sharding, toxicity
 from tessera.llm.common import table
 
 
@@ -26,9 +26,17 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op3_toxicity": op3_toxicity, "op4_rules": op4_rules, "op5_mixing": op5_mixing, "op8_sharding": op8_sharding}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op3_toxicity": op3_toxicity, "op4_rules": op4_rules, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op8_sharding": op8_sharding, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE}
