@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, licenses, mixing, quality, rules, sharding, toxicity
+from tessera.llm import decontamination, html_text, jaccard, licenses, mixing, quality, rules, sharding, toxicity
 from tessera.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,9 +38,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.rendered(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op3_toxicity": op3_toxicity, "op4_rules": op4_rules, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op8_sharding": op8_sharding, "op10_decontamination": op10_decontamination}
-ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_jaccard": op2_jaccard, "op3_toxicity": op3_toxicity, "op4_rules": op4_rules, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op8_sharding": op8_sharding, "op9_html_text": op9_html_text, "op10_decontamination": op10_decontamination}
+ORACLES: dict[str, str] = {"op2_jaccard": jaccard.ORACLE, "op5_mixing": mixing.ORACLE}
