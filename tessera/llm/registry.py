@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, html_text, jaccard, licenses, mixing, quality, rules, sharding, toxicity
+from tessera.llm import decontamination, html_text, jaccard, licenses, mixing, quality, rules, sharding, substrings, toxicity
 from tessera.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cleaned(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_jaccard": op2_jaccard, "op3_toxicity": op3_toxicity, "op4_rules": op4_rules, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op8_sharding": op8_sharding, "op9_html_text": op9_html_text, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_jaccard": op2_jaccard, "op3_toxicity": op3_toxicity, "op4_rules": op4_rules, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op7_substrings": op7_substrings, "op8_sharding": op8_sharding, "op9_html_text": op9_html_text, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {"op2_jaccard": jaccard.ORACLE, "op5_mixing": mixing.ORACLE}
