@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, sharding
+from tessera.llm import decontamination, jaccard, mixing, quality, sharding
 from tessera.llm.common import table, written
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest doc_id."""
+    return jaccard.one_of_each(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the copies that the target weights give them."""
     return mixing.mixed(docs)
@@ -18,7 +33,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs)
 
 
-STAGES = [("mix", mix), ("shards", shards)]
+STAGES = [("good", good), ("distinct", distinct), ("clean", clean), ("mix", mix), ("shards", shards)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
