@@ -5,12 +5,12 @@ How it goes, with sets of 64-bit hashes of word shingles:
 1. Equal sets meet in one class; only its smallest doc_id (the representative) is searched for.
 2. A shared order of shingles puts frequent ones last. Two sets that link share a shingle among the first
    n - ceil(0.85 n) + 1 of each, so these are indexed, and a class's candidates stand in the lists of its own.
-3. First each list is walked in the order of size: neighbours are candidates. Their links make components. Then, in the
-   lists where components differ, every pair of different components is a candidate: what stands in one component
-   already needs no further link. So a group of near copies costs about its own size, and no link between
-   components is missed.
-4. Candidates that cannot overlap enough (sizes, places in the lists, histograms of the hashes) go; all bounds are
-   exact. For the others the T-occurrence search counts the overlap.
+3. A list is cut where sizes are too far apart to link; what is left of it belongs to its smallest representative, and
+   all lists of one are a unit of search (in blocks, if it is large). So near copies, which share most lists, meet once
+   or a few times and not once for each list.
+4. In a unit, documents whose hashes' histograms leave no partner possible are dropped (an exact bound); the T-occurrence
+   search then links the others. What a unit has put into one component needs no further link, so a unit gives fewer
+   links than it has documents and no pairs are ever made.
 """
 
 from __future__ import annotations
@@ -18,10 +18,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,7 +34,7 @@ SAMPLE = 16
 HOT_LEAST = 3
 HOT_MOST = 500_000
 DIVIDE = 0.01
-BLOCK = 256
+BLOCK = 1024
 MARKS = 1 << 23
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -120,84 +119,110 @@ def profiles(docs: DataFrame, width: int, similar: int) -> DataFrame:
                 else:
                     s_first = s[:most]
                 prefixes.append(s_first.view(np.int64))
-                sketches.append(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=SKETCH).astype(np.uint32).tobytes())
+                sketches.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([_ids(b), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n", "k1", "k2", "prefix", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, sketch binary")
 
 
-def _reach(na: Column, nb: Column, similar: int) -> Column:
-    """The overlap at which sets of these sizes link: 100 x >= similar (na + nb - x)."""
-    return F.ceil(similar * (na + nb) / F.lit(100 + similar))
-
-
-def _possible(similar: int) -> Column:
-    """Whether a and b can link, by their sizes and by their places (pa, pb) in a shared list."""
-    na, nb, pa_, pb = (F.col(c) for c in ("na", "nb", "pa", "pb"))
-    bound = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    return (100 * F.least(na, nb) >= similar * F.greatest(na, nb)) & (bound >= _reach(na, nb, similar))
-
-
-def _sketched(pairs: DataFrame, sketches: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose histograms leave the overlap possible."""
-
-    @F.pandas_udf("boolean")
-    def can(x: pd.Series, y: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=bool)
-        a, b = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, SKETCH) for s in (x, y))
-        return pd.Series((100 + similar) * np.minimum(a, b).sum(1, dtype=np.int64) >= similar * (na + nb).to_numpy())
-
-    a, b = (sketches.select(F.col("rep").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    return pairs.join(a, "a").join(b, "b").where(can("sa", "sb", "na", "nb")).select("a", "b", "na", "nb")
+def _grouped(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[list]]]:
+    """Rows sorted by unit, a unit at a time: (unit, the columns' values)."""
+    unit, held = None, [[] for _ in columns]
+    for b in batches:
+        keys = b.column("unit").to_numpy()
+        values = [b.column(c) for c in columns]
+        cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist() if len(keys) else []
+        for x, y in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+            if unit is not None and keys[x] != unit:
+                yield unit, held
+                held = [[] for _ in columns]
+            unit = int(keys[x])
+            for h, v in zip(held, values, strict=True):
+                h += v.slice(x, y - x).to_pylist()
+    if unit is not None:
+        yield unit, held
+
+
+def partnered(sizes: np.ndarray, sketches: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
+    """Flags the documents (in the order of size) whose histograms leave a link with another possible.
+
+    A histogram's cells hold 255 at most; what is beyond adds to the bound.
+    """
+    extra = sizes - sketches.sum(1, dtype=np.int64)
+    out = np.zeros(len(sizes), bool)
+    for i in range(1, len(sizes)):
+        low = int(np.searchsorted(sizes[:i], least_overlap(int(sizes[i]), similar)))
+        if low == i:
+            continue
+        bound = np.minimum(sketches[low:i], sketches[i]).sum(1, dtype=np.int64) + np.minimum(extra[low:i], extra[i])
+        good = (100 + similar) * bound >= similar * (sizes[low:i] + sizes[i])
+        if good.any():
+            out[i] = True
+            out[low:i] |= good
+    return out
 
 
-def t_occurrences(query: np.ndarray, sets: list[np.ndarray], similar: int = SIMILAR) -> np.ndarray:
-    """Flags the sets that link to ``query``. All are sorted and not empty.
+def t_occurrences(sets: list[np.ndarray], similar: int = SIMILAR) -> list[tuple[int, int]]:
+    """Links (i, j) that make the components of ``sets`` (sorted hashes, in the order of size, none empty).
 
-    The query's shingles have lists of the sets that hold them. The longest lists are put aside; the others are merged
+    A set's query takes the inverted lists of its shingles. The longest are put aside; the others are merged
     (concatenated and counted, the array form of a heap's merge), and only sets with enough occurrences there to reach
-    their threshold with the help of all long lists are looked for in those, by binary search.
+    their threshold with the help of all long lists are probed for the rest, by binary search, the likeliest first. Sets
+    that stand in the query's component by then are passed over.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
-    need = -(-similar * (len(query) + sizes) // (100 + similar))
-    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    at = np.minimum(np.searchsorted(query, every), len(query) - 1)
-    inside = query[at] == every
-    at, owner = at[inside], owner[inside]
-    order = np.argsort(at, kind="stable")  # lists in the query's order, each in the order of the sets
-    at, owner = at[order], owner[order]
-    lengths = np.bincount(at, minlength=len(query))
-    longest = max(int(lengths.max(initial=0)), 2)
-    n_long = min(int(need.min()) - 1, int(need.min() / (DIVIDE * np.log2(longest) + 1)), len(query))
-    long = np.argsort(-lengths, kind="stable")[: max(0, n_long)]
-    is_long = np.zeros(len(query), bool)
-    is_long[long] = True
-    count = np.bincount(owner[~is_long[at]], minlength=len(sets))
-    alive = np.flatnonzero(count >= need - len(long))
+    tokens = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    own = np.split(tokens, np.cumsum(sizes)[:-1])
+    lists = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[np.argsort(tokens, kind="stable")]
+    lengths = np.bincount(tokens)
     ends = np.cumsum(lengths)
-    for t in long:
-        found = owner[ends[t] - lengths[t] : ends[t]]
-        if len(found) and len(alive):
-            where = np.minimum(np.searchsorted(found, alive), len(found) - 1)
-            count[alive] += found[where] == alive
-    linked = np.zeros(len(sets), bool)
-    linked[alive] = count[alive] >= need[alive]
-    return linked
-
-
-def links(pairs: DataFrame, docs: DataFrame, width: int, similar: int, name: str) -> DataFrame:
-    """The pairs (a, b) of representatives whose overlap reaches the threshold; only the sets of those are made anew."""
+    parent = np.arange(len(sets))
+    out: list[tuple[int, int]] = []
+    for i in range(1, len(sets)):
+        low = int(np.searchsorted(sizes[:i], least_overlap(int(sizes[i]), similar)))
+        if low == i:
+            continue
+        need = -(-similar * (sizes[low:i] + sizes[i]) // (100 + similar))
+        mine = own[i][np.argsort(lengths[own[i]], kind="stable")]
+        t = int(need[0])
+        n_long = min(t - 1, int(t / (DIVIDE * np.log2(max(2, int(lengths[mine[-1]]))) + 1)))
+        short, long = mine[: len(mine) - n_long], np.sort(mine[len(mine) - n_long :])
+        merged = np.concatenate([lists[ends[x] - lengths[x] : ends[x]] for x in short.tolist()])
+        count = np.bincount(merged, minlength=i)[low:i]
+        alive = np.flatnonzero((count >= need - n_long) & (parent[low:i] != parent[i]))
+        for j in (alive[np.argsort(-count[alive], kind="stable")] + low).tolist():
+            if parent[j] == parent[i]:
+                continue
+            where = np.minimum(np.searchsorted(own[j], long), len(own[j]) - 1)
+            if count[j - low] + int((own[j][where] == long).sum()) >= need[j - low]:
+                out.append((i, j))
+                a, b = sorted((parent[i], parent[j]))
+                parent[parent == b] = a
+    return out
+
+
+def links(units: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, similar: int) -> DataFrame:
+    """Links (a, b) within the units (unit, rep, n) that make the components; only sets of possible partners are made anew."""
     spark = docs.sparkSession
-    pairs = written(pairs.select("a", "b"), f"{name}-pairs")
-    if not pairs.head(1):
-        return pairs
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, int]] = []
+        for unit, (reps, sizes, cells) in _grouped(batches, ("rep", "n", "sketch")):
+            good = partnered(np.array(sizes, np.int64), np.frombuffer(b"".join(cells), np.uint8).reshape(-1, SKETCH), similar)
+            out += [(unit, reps[i], sizes[i]) for i in np.flatnonzero(good)]
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["unit", "rep", "n"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["unit", "rep", "n"])
+
+    rows = units.join(sketches, "rep").repartition("unit").sortWithinPartitions("unit", "n", "rep").select("unit", "rep", "n", "sketch")
+    members = written(rows.mapInArrow(keep, "unit long, rep long, n long"), "jaccard-members")
+    ids = members.select(F.col("rep").alias("id")).distinct()
     # A bitmap of the ids, of fixed size, keeps other texts from being shuffled; those it lets through by chance do no harm.
-    bit = F.pmod(F.xxhash64("id"), F.lit(MARKS))
-    marks = ids.groupBy(F.floor(bit / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int"))).alias("m")).toPandas()
+    marks = ids.select(F.pmod(F.xxhash64("id"), F.lit(MARKS)).alias("bit")).groupBy(F.floor(F.col("bit") / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 32).cast("int"))).alias("m")).toPandas()
     bitmap = np.zeros(MARKS // 32, np.uint32)
-    bitmap[marks["w"].to_numpy()] = marks["m"].to_numpy().astype(np.uint32)
+    bitmap[marks["w"].to_numpy(np.int64)] = marks["m"].to_numpy(np.int64).astype(np.uint32)
     shared = spark.sparkContext.broadcast(bitmap)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,43 +230,22 @@ def links(pairs: DataFrame, docs: DataFrame, width: int, similar: int, name: str
             place = b.column("place").to_numpy()
             b = b.filter(pa.array((shared.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([_ids(b), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), width)], pa.binary())], names=["id", "hashes"])
-
-    sets = docs.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))).mapInArrow(make, "id long, hashes binary")
-    sets = written(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), f"{name}-sets")
+                yield pa.RecordBatch.from_arrays([_ids(b), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), width)], pa.binary())], names=["rep", "hashes"])
 
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = pairs.join(degree, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    found = placed.join(sets.withColumnRenamed("id", "b"), "b").select("a", "block", "b", "hashes")
-    asked = placed.select("a", "block").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "hashes")
-    task = F.pmod(F.xxhash64("a", "block"), F.lit(max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    sets = docs.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))).mapInArrow(make, "rep long, hashes binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted: a query's own set first, then its candidates.
-        query, others, names, at = None, [], [], None
         out: list[tuple[int, int]] = []
+        for _, (reps, sizes, hashes) in _grouped(batches, ("rep", "n", "hashes")):
+            sets_ = [np.frombuffer(x, np.uint64) for x in hashes]
+            # A row that repeats an id with another text has a set of another size; its class is another.
+            good = [i for i, (s, n) in enumerate(zip(sets_, sizes, strict=True)) if len(s) == n]
+            out += [(reps[good[i]], reps[good[j]]) for i, j in t_occurrences([sets_[i] for i in good], similar)] if len(good) > 1 else []
+        a, b = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        def settle() -> None:
-            if query is not None and others and len(query):
-                out.extend((at[0], names[i]) for i in np.flatnonzero(t_occurrences(query, others, similar)))
-
-        for batch in batches:
-            for a, block, b, hashes in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "b", "hashes")), strict=True):
-                values = np.frombuffer(hashes, np.uint64)
-                if b is None:
-                    settle()
-                    query, others, names, at = values, [], [], (a, block)
-                elif at == (a, block) and len(values):
-                    others.append(values)
-                    names.append(b)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-                out.clear()
-        settle()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-
-    rows = asked.unionByName(found).repartition(task).sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return written(rows.mapInArrow(search, "a long, b long"), f"{name}-links")
+    rows = members.join(sets, "rep").repartition("unit").sortWithinPartitions("unit", "n", "rep").select("unit", "rep", "n", "hashes")
+    return written(rows.mapInArrow(search, "a long, b long"), "jaccard-links")
 
 
 def joined(docs: DataFrame, width: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -256,31 +260,23 @@ def joined(docs: DataFrame, width: int = WORDS, similar: int = SIMILAR) -> DataF
     sets = known.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(sets.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "jaccard-classes")
 
-    lists = classes.select("rep", "n", F.posexplode("prefix").alias("p", "shingle"))
+    lists = classes.select("rep", "n", F.explode("prefix").alias("shingle"))
     by_size = Window.partitionBy("shingle").orderBy("n", "rep")
-    row = F.struct("rep", "n", "p")
-    lists = lists.withColumn("prev", F.lag(row).over(by_size)).withColumn("next", F.lead("rep").over(by_size)).withColumn("place", F.row_number().over(by_size))
-    lists = written(lists.where("prev IS NOT NULL OR next IS NOT NULL").drop("next"), "jaccard-lists")
-
-    sketches = classes.select("rep", "sketch")
-    order = [F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.when(F.col("ra") <= F.col("rb"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("ra") <= F.col("rb"), F.col("nb")).otherwise(F.col("na")).alias("nb")]
-    near = lists.where("prev IS NOT NULL").select(F.col("prev.rep").alias("ra"), F.col("prev.n").alias("na"), F.col("prev.p").alias("pa"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("p").alias("pb"))
-    near = near.where(_possible(similar) & (F.col("ra") != F.col("rb"))).select(*order).distinct()
-    first = links(_sketched(near, sketches, similar), docs, width, similar, "jaccard-near")
-    own = known.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "k1", "k2")
+    far = F.coalesce(100 * F.lag("n").over(by_size) < similar * F.col("n"), F.lit(True)).cast("int")
+    lists = lists.withColumn("far", far).withColumn("run", F.sum("far").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("shingle", "run")
+    lists = lists.withColumn("pivot", F.min("rep").over(run)).withColumn("together", F.count("*").over(run)).where("together > 1")
+    members = lists.select("pivot", "rep", "n").distinct()
+    here = Window.partitionBy("pivot")
+    members = members.withColumn("block", F.floor((F.row_number().over(here.orderBy("n", "rep")) - 1) / BLOCK)).withColumn("last", F.floor((F.count("*").over(here) - 1) / BLOCK))
+    units = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).select(F.xxhash64("pivot", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "rep", "n")
+    found = links(written(units, "jaccard-units"), classes.select("rep", "sketch"), docs, width, similar)
+
+    own = sets.select("doc_id", "n", "k1", "k2")
     same_id = own.distinct().groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id")
     member = own.join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"])
     tied = member.join(same_id, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comp = written(components(first.unionByName(tied), "jaccard-one"), "jaccard-components")
-
-    marked = lists.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).select("shingle", "rep", "n", "p", "place", "c")
-    mixed = marked.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).where("low < high AND rows > 2").select("shingle")
-    marked = written(marked.join(mixed, "shingle", "left_semi"), "jaccard-mixed")
-    left = marked.select("shingle", F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("place").alias("ia"), F.col("c").alias("ca"))
-    right = marked.select("shingle", F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("place").alias("ib"), F.col("c").alias("cb"))
-    across = left.join(right, "shingle").where((F.col("ia") + 1 < F.col("ib")) & (F.col("ca") != F.col("cb")) & _possible(similar)).select(*order).distinct()
-    second = links(_sketched(across, sketches, similar), docs, width, similar, "jaccard-across")
-    comp = written(components(first.unionByName(second).unionByName(tied), "jaccard-all"), "jaccard-components")
+    comp = written(components(found.unionByName(tied), "jaccard"), "jaccard-components")
 
     whole = classes.select("n", "k1", "k2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = known.select("doc_id", "n", "k1", "k2").join(whole, ["n", "k1", "k2"], "left")
