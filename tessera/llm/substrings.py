@@ -30,8 +30,8 @@ LENGTH = 100
 GRAM = 24
 SPAN = LENGTH - GRAM + 1  # anchors a string can have
 HALF = SPAN // 2
-SLICE = 4 << 20
-MARKS = 1 << 26
+SLICE = 1 << 17
+CHUNK_BITS = 1 << 16
 CHUNK = 4 << 20
 NO_DOC = -(1 << 63)
 
@@ -50,6 +50,18 @@ def grams8(data: np.ndarray) -> np.ndarray:
     return (four[:-4] | (four[4:] << np.uint64(32)))[: len(data)]
 
 
+class _Powers:
+    """Powers of the stretch hash's base and of its inverse, kept for the longest slice so far."""
+
+    up = down = np.zeros(0, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = (np.cumprod(np.full(n, x, np.uint64)) for x in (_POWER, _INVERSE))
+        return cls.up, cls.down
+
+
 class Runs:
     """The runs of a slice: ``anchor``, ``first`` and ``last`` (starts of strings, in the slice), ``row``, ``gram`` and ``whole`` (hashes)."""
 
@@ -61,36 +73,43 @@ class Runs:
         if n < LENGTH:
             return
         eight = grams8(self.data)
-        gram = mix(mix(eight[: n - GRAM + 1] * _C[0] + eight[8 : n - GRAM + 9]) * _C[1] + eight[16 : n - GRAM + 17])
-        low = (gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64)
+        gram = eight[: n - GRAM + 1] * _C[0]
+        gram += eight[8 : n - GRAM + 9] * _C[1]
+        gram += eight[16 : n - GRAM + 17] * _C[2]
+        gram = mix(gram)
+        low = gram & ~_LOW
+        low |= np.arange(len(gram), dtype=np.uint64)
         width = 1
         while 2 * width <= SPAN:
             low = np.minimum(low[:-width], low[width:])
             width *= 2
         low = np.minimum(low[: n - LENGTH + 1], low[SPAN - width : SPAN - width + n - LENGTH + 1])
-        at = (low & _LOW).astype(np.int64)
-        # Strings that cross into the next text are none.
-        sizes = np.diff(self.starts)
-        row = np.repeat(np.arange(len(sizes)), sizes)[: n - LENGTH + 1]
-        good = np.arange(n - LENGTH + 1) + LENGTH <= self.starts[1:][row]
-        step = np.ones(len(at), bool)
-        step[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
-        step[1:] |= good[1:] != good[:-1]
+        low &= _LOW
+        # Strings that cross into the next text are none: runs are cut where a text starts and after its last string.
+        step = np.ones(len(low), bool)
+        np.not_equal(low[1:], low[:-1], out=step[1:])
+        edges = np.concatenate([self.starts, self.starts[1:] - LENGTH + 1])
+        step[edges[(edges >= 0) & (edges < len(step))]] = True
         first = np.flatnonzero(step)
-        last = np.append(first[1:], len(at)) - 1
-        keep = good[first]
-        self.first, self.last = first[keep], last[keep]
-        self.anchor, self.row = at[self.first], row[self.first]
+        last = np.append(first[1:], len(low)) - 1
+        row = np.searchsorted(self.starts, first, "right") - 1
+        keep = first + LENGTH <= self.starts[row + 1]
+        self.first, self.last, self.row = first[keep], last[keep], row[keep]
+        self.anchor = low[self.first].astype(np.int64)
         self.gram = gram[self.anchor]
         # Sums of mixed 8-byte strings times powers: the hash of any stretch is a difference.
-        self._powers = np.cumprod(np.full(n, _POWER, np.uint64))
-        self._inverses = np.cumprod(np.full(n, _INVERSE, np.uint64))
-        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(eight * _C[2]) * self._powers)])
+        up, self._down = _Powers.of(n)
+        eight *= _C[2]
+        eight ^= eight >> np.uint64(32)
+        eight *= _C[0]
+        eight *= up[:n]
+        self._sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(eight, out=self._sums[1:])
         self.whole = self.stretch(self.first, self.last + LENGTH)
 
     def stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the bytes from ``start`` to ``end``, 8 at least."""
-        return mix((self._sums[end - 7] - self._sums[start]) * self._inverses[start] + (end - start).astype(np.uint64) * _C[0])
+        return mix((self._sums[end - 7] - self._sums[start]) * self._down[start] + (end - start).astype(np.uint64) * _C[0])
 
 
 def _tags(batch: pa.RecordBatch, starts: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,14 +154,19 @@ def runs_of(docs: DataFrame) -> DataFrame:
         def settle() -> Iterator[pa.RecordBatch]:
             gram, whole, doc, place, check, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
-            order = np.lexsort((place, doc, whole, gram))
-            g, w, d, p = gram[order], whole[order], doc[order], place[order]
+            key = mix(gram + whole * _C[0])
+            order = np.argsort(key)
+            edge = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+            size = np.diff(np.append(edge, len(order)))
+            several = order[np.repeat(size > 1, size)]
+            several = several[np.lexsort((place[several], doc[several], whole[several], gram[several]))]
+            g, w, d, p = gram[several], whole[several], doc[several], place[several]
             new = np.ones(len(g), bool)
             new[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1])
             head = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-            later = (d != d[head]) | (p != p[head])
-            i = order[later]
-            yield _rows(0, g[new], w[new], d[new], p[new], np.zeros(int(new.sum()), np.int64))
+            i = several[(d != d[head]) | (p != p[head])] if len(g) else several
+            k = np.concatenate([order[edge[size == 1]], several[new[: len(g)]]])
+            yield _rows(0, gram[k], whole[k], doc[k], place[k], np.zeros(len(k), np.int64))
             doc, place, size = _merged(doc[i], check[i], first[i], last[i])
             spread = mix(doc.view(np.uint64) ^ (place.view(np.uint64) * _C[0]))
             yield _rows(1, spread, spread, doc, place, size)
@@ -213,24 +237,34 @@ def bucketed(rows: DataFrame) -> DataFrame:
     return rows.repartition("gram").sortWithinPartitions(*order).mapInArrow(run, ROW)
 
 
-def _mark(gram: np.ndarray, whole: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return mix(gram.view(np.uint64) + mix(whole.view(np.uint64) + mix(doc.view(np.uint64) + place.view(np.uint64)))) % np.uint64(MARKS)
+def _mark(n_marks: int, gram: np.ndarray, whole: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix(gram.view(np.uint64) + mix(whole.view(np.uint64) + mix(doc.view(np.uint64) + place.view(np.uint64)))) & np.uint64(n_marks - 1)
 
 
 def contexts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The texts of the chosen runs, (bucket, doc, place of the first byte, text): strings left and right of the middle apart."""
 
+    n_marks = 1 << min(29, max(20, int(32 * max(1, chosen.count())).bit_length()))
+    words = CHUNK_BITS // 64
+
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.unique(_mark(*(b.column(c).to_numpy() for c in ("gram", "whole", "doc", "place"))))
-            word, bit = (at >> np.uint64(5)).astype(np.int32), np.uint32(1) << (at & np.uint64(31)).astype(np.uint32)
-            heads = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"w": word[heads], "m": np.bitwise_or.reduceat(bit, heads).astype(np.int64) if len(heads) else np.zeros(0, np.int64)})
-
-    # A bitmap of fixed size tells which runs' texts are wanted; a run that it lets through by chance does no harm.
-    marks = chosen.mapInArrow(bits, "w int, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-    bitmap = np.zeros(MARKS // 32, np.uint32)
-    bitmap[marks["w"].to_numpy()] = marks["m"].to_numpy().astype(np.uint32)
+            at = np.unique(_mark(n_marks, *(b.column(c).to_numpy() for c in ("gram", "whole", "doc", "place")))).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"chunk": (at // CHUNK_BITS).astype(np.int32), "bit": (at % CHUNK_BITS).astype(np.int32)})
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for b in batches:
+            chunk, bit = b.column("chunk").to_numpy(), b.column("bit").to_numpy()
+            for c in np.unique(chunk).tolist():
+                own = bit[chunk == c].astype(np.uint64)
+                np.bitwise_or.at(chunks.setdefault(c, np.zeros(words, np.uint64)), (own >> np.uint64(6)).astype(np.int64), np.uint64(1) << (own & np.uint64(63)))
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(chunks), pa.int32()), "words": pa.array([x.tobytes() for x in chunks.values()], pa.binary())})
+
+    # A bitmap of bounded size tells which runs' texts are wanted; a run that it lets through by chance does no harm.
+    bitmap = np.zeros(n_marks // 64, np.uint64)
+    for r in chosen.mapInArrow(bits, "chunk int, bit int").repartition("chunk").mapInArrow(gather, "chunk int, words binary").toLocalIterator():
+        bitmap[r["chunk"] * words : (r["chunk"] + 1) * words] = np.frombuffer(r["words"], np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +275,8 @@ def contexts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 continue
             docs_, checks = _tags(b, r.starts, r.data)
             base, check = r.starts[r.row], checks[r.row]
-            mark = _mark(r.gram, r.whole, docs_[r.row], _packed(r.anchor - base, check, r.anchor - r.first, r.anchor - r.last))
-            wanted = (marked[(mark >> np.uint64(5)).astype(np.int64)] >> (mark & np.uint64(31)).astype(np.uint32)) & 1 == 1
+            mark = _mark(n_marks, r.gram, r.whole, docs_[r.row], _packed(r.anchor - base, check, r.anchor - r.first, r.anchor - r.last))
+            wanted = (marked[(mark >> np.uint64(6)).astype(np.int64)] >> (mark & np.uint64(63))) & np.uint64(1) == 1
             for left in (True, False):
                 low = np.where(left, np.maximum(r.anchor - r.last, HALF), r.anchor - r.last)
                 high = np.where(left, r.anchor - r.first, np.minimum(r.anchor - r.first, HALF - 1))
