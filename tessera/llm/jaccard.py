@@ -119,7 +119,7 @@ def profiles(docs: DataFrame, width: int, similar: int) -> DataFrame:
                 else:
                     s_first = s[:most]
                 prefixes.append(s_first.view(np.int64))
-                sketches.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
+                sketches.append(sketch_of(s).tobytes())
             yield pa.RecordBatch.from_arrays([_ids(b), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n", "k1", "k2", "prefix", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, sketch binary")
@@ -143,22 +143,41 @@ def _grouped(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Ite
         yield unit, held
 
 
-def partnered(sizes: np.ndarray, sketches: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
+def cells_of(n: int) -> int:
+    """Cells of a set's histogram: SKETCH, or a doubling of it that leaves 8 elements a cell at most."""
+    return SKETCH << max(0, (max(n, 1) - 1) // (8 * SKETCH)).bit_length()
+
+
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes fall into each cell of equal width, 255 at most."""
+    cells = cells_of(len(hashes))
+    return np.minimum(np.bincount((hashes >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+
+
+def partnered(sizes: np.ndarray, sketches: list[np.ndarray], similar: int = SIMILAR) -> np.ndarray:
     """Flags the documents (in the order of size) whose histograms leave a link with another possible.
 
-    A histogram's cells hold 255 at most; what is beyond adds to the bound.
+    Of two histograms the finer is summed to the coarser's cells; what is beyond 255 in a cell adds to the bound.
     """
-    extra = sizes - sketches.sum(1, dtype=np.int64)
+    kinds = np.array([len(x) for x in sketches])
+    extra = sizes - np.array([x.sum(dtype=np.int64) for x in sketches])
+    tables = {int(c): (np.flatnonzero(kinds == c), np.stack([sketches[i] for i in np.flatnonzero(kinds == c)]).astype(np.uint16)) for c in np.unique(kinds)}
     out = np.zeros(len(sizes), bool)
     for i in range(1, len(sizes)):
         low = int(np.searchsorted(sizes[:i], least_overlap(int(sizes[i]), similar)))
         if low == i:
             continue
-        bound = np.minimum(sketches[low:i], sketches[i]).sum(1, dtype=np.int64) + np.minimum(extra[low:i], extra[i])
-        good = (100 + similar) * bound >= similar * (sizes[low:i] + sizes[i])
-        if good.any():
-            out[i] = True
-            out[low:i] |= good
+        for c, (rows, table) in tables.items():
+            x, y = np.searchsorted(rows, (low, i))
+            if x == y or c > kinds[i]:
+                continue
+            mine = sketches[i].reshape(c, -1).sum(1, dtype=np.uint16)
+            others = rows[x:y]
+            bound = np.minimum(table[x:y], mine).sum(1, dtype=np.int64) + np.minimum(extra[others], extra[i])
+            good = (100 + similar) * bound >= similar * (sizes[others] + sizes[i])
+            if good.any():
+                out[i] = True
+                out[others[good]] = True
     return out
 
 
@@ -208,7 +227,7 @@ def links(units: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, si
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
         for unit, (reps, sizes, cells) in _grouped(batches, ("rep", "n", "sketch")):
-            good = partnered(np.array(sizes, np.int64), np.frombuffer(b"".join(cells), np.uint8).reshape(-1, SKETCH), similar)
+            good = partnered(np.array(sizes, np.int64), [np.frombuffer(x, np.uint8) for x in cells], similar)
             out += [(unit, reps[i], sizes[i]) for i in np.flatnonzero(good)]
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["unit", "rep", "n"])
