@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 BLOCK = 4096
@@ -30,6 +31,7 @@ def search(queries: DataFrame, base: DataFrame, row: str, vector: str, k: int, a
     base = base.select(*columns).where(F.col(vector).isNotNull() & (F.size(vector) > 0))
     queries = queries.select(*columns).where(F.col(vector).isNotNull() & (F.size(vector) > 0))
     schema = f"query {queries.schema[row].dataType.simpleString()}, hit {base.schema[row].dataType.simpleString()}, score double"
+    kinds = [to_arrow_type(df.schema[row].dataType) for df in (queries, base)]
     parts = []
     rows = queries.orderBy(row).toLocalIterator(prefetchPartitions=True)
     while chunk := [r for _, r in zip(range(block), rows)]:
@@ -53,7 +55,7 @@ def search(queries: DataFrame, base: DataFrame, row: str, vector: str, k: int, a
                 order = np.lexsort((np.array([np.argsort(np.argsort(r, kind="stable"), kind="stable") for r in all_i]), -all_s), axis=1)[:, :k]
                 top_s, top_i = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
             q, j = np.nonzero(top_s > -9.0)
-            yield pa.RecordBatch.from_pydict({"query": [names[x] for x in q], "hit": [top_i[x, y] for x, y in zip(q, j, strict=True)], "score": top_s[q, j]})
+            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], kinds[0]), pa.array([top_i[x, y] for x, y in zip(q, j, strict=True)], kinds[1]), pa.array(top_s[q, j])], names=["query", "hit", "score"])
 
         parts.append(base.mapInArrow(best, schema))
     if not parts:

@@ -1,22 +1,8 @@
-"""Queries over the shared tables, and DuckDB SQL for each."""
+"""All queries over the shared tables, and DuckDB SQL for those that it can express."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import vector_queries  # noqa: F401
+from tessera.plans.base import ORACLES, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "event_type_totals"
-
-
-def event_type_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events and distinct users by type."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"))
-
-
-QUERIES["event_type_totals"] = event_type_totals
-ORACLES["event_type_totals"] = "SELECT event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type"
+FLAGSHIP = "mutual_best_pairs"
