@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -108,7 +109,7 @@ def lanes(df: DataFrame, keys: list[str], start: str, end: str, tie: str) -> Dat
             lane.append(at)
         return rows.assign(lane=np.array(lane, np.int64))
 
-    return df.groupBy(*keys).applyInPandas(pack, df.schema.add("lane", "long"))
+    return df.groupBy(*keys).applyInPandas(pack, T.StructType([*df.schema.fields, T.StructField("lane", T.LongType())]))
 
 
 def sample_and_hold(df: DataFrame, keys: list[str], at: str, value: str, step: float, hold: float) -> DataFrame:
@@ -133,6 +134,6 @@ def moving_average(df: DataFrame, keys: list[str], order: list[str], vector: str
             now = now / (np.linalg.norm(now) + 1e-12)
         return rows[keys].head(1).assign(average=[now])
 
-    schema = df.select(*keys).schema.add("average", "array<double>")
+    schema = T.StructType([*df.select(*keys).schema.fields, T.StructField("average", T.ArrayType(T.DoubleType()))])
     return df.groupBy(*keys).applyInPandas(fold, schema)
 
