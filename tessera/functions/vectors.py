@@ -36,7 +36,8 @@ def unit(v: Column) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """``x`` within the bounds; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def cosine(a: Column, b: Column) -> Column:

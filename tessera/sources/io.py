@@ -91,7 +91,7 @@ def tracklet_table(points: DataFrame, least: int = 1) -> DataFrame:
     """A row per (camera, track_id) with its frames, times, ids and vectors in order of frame."""
     row = F.struct("frame", "ts", "vec", "global_id", "point_id")
     rows = points.groupBy("run_id", "camera", "track_id").agg(F.array_sort(F.collect_list(row), lambda a, b: F.when(a["frame"] < b["frame"], -1).when(a["frame"] > b["frame"], 1).when(a["point_id"] < b["point_id"], -1).otherwise(1)).alias("rows"))
-    return rows.where(F.size("rows") >= least).select("run_id", "camera", "track_id", F.size("rows").alias("n"), *[F.transform("rows", lambda r, c=c: r[c]).alias(f"{c}s") for c in ("frame", "ts", "vec", "global_id")])
+    return rows.where(F.size("rows") >= least).select("run_id", "camera", "track_id", F.size("rows").alias("n"), *[F.col(f"rows.{c}").alias(f"{c}s") for c in ("frame", "ts", "vec", "global_id")])
 
 
 def write_decisions(log: DataFrame, path: str) -> None:

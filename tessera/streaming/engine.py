@@ -77,8 +77,8 @@ class Gallery:
     def _best(self, v: np.ndarray, camera: str, now: float) -> int | None:
         found = []
         for k, g in self.ids.items():
-            if now - g["seen"].get(camera, -1e18) <= self.s.together:  # the camera sees it elsewhere at this time
-                continue
+            if now - g["last"] > self.s.idle or now - g["seen"].get(camera, -1e18) <= self.s.together:
+                continue  # forgotten by now, or seen elsewhere by the camera at this time
             bank = np.array(g["bank"])
             mean = bank.mean(0)
             found.append((max(float(mean @ v / (np.linalg.norm(mean) + 1e-12)), float((bank @ v).max())), -int(k)))
