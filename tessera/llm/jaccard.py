@@ -305,12 +305,11 @@ def joined(docs: DataFrame, width: int = WORDS, similar: int = SIMILAR) -> DataF
 
 def one_of_each(docs: DataFrame, width: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """``docs`` with one row of each component, the one whose doc_id names it; rows without words or doc_id all stay."""
-    others = joined(docs, width, similar).where("component_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
-    kept = docs.join(others, docs["doc_id"] == F.col("_other"), "left_anti")
+    others = joined(docs, width, similar).where("component_id <> doc_id").select(F.col("doc_id").alias("other")).distinct()
     has = F.coalesce(F.regexp_like(F.col("text"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)) & F.col("doc_id").isNotNull()
-    rows = kept.withColumn("_has", has)
-    first = rows.where("_has").dropDuplicates(["doc_id"])
-    return first.unionByName(rows.where("NOT _has")).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), has.alias("has"))
+    first = rows.where("has").join(others, F.col("doc_id") == F.col("other"), "left_anti").dropDuplicates(["doc_id"])
+    return first.unionByName(rows.where("NOT has")).select("row.*")
 
 
 ORACLE = r"""

@@ -67,29 +67,28 @@ def plan(docs: DataFrame) -> DataFrame:
 
 
 def with_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies (0 to 2), a row per row of ``docs``.
+    """row (a struct of the columns of ``docs``), doc_id, size, source_size, target and copies (0 to 2), a row per row of ``docs``.
 
     A null text has no words; a null source is a source of its own; repeated rows of one doc_id are taken alike. An
-    empty table gives an empty one. Columns of other names are kept (names that begin with an underscore are ours).
+    empty table gives an empty one. Other columns, whatever their names, stand in the struct only.
     """
-    by = plan(docs).select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("base").alias("_base"), F.col("cut").alias("_cut"))
+    by = plan(docs).select(F.col("source").alias("s"), "source_size", "target", "base", "cut")
     here = F.struct(unit_hash(F.col("doc_id")).alias("u"), F.col("doc_id").alias("id"))
-    out = docs.withColumn("_size", n_words(F.col("text"))).join(by, F.col("source").eqNullSafe(F.col("_s")), "left")
-    more = F.when(F.col("_cut").isNull(), 0).when(here <= F.col("_cut"), 1).otherwise(0)
-    return out.withColumn("_copies", F.col("_base") + more).drop("_s", "_base", "_cut")
+    out = docs.select(F.struct("*").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size")).join(by, F.col("source").eqNullSafe(F.col("s")), "left")
+    more = F.when(F.col("cut").isNull(), 0).when(here <= F.col("cut"), 1).otherwise(0)
+    return out.select("row", "doc_id", "size", "source_size", "target", (F.col("base") + more).alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it has copies, with the columns of ``docs``."""
-    out = with_copies(docs).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    out = with_copies(docs).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every document."""
-    return with_copies(docs.select("doc_id", "text", "source")).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"), F.col("_copies").alias("copies")
-    )
+    out = with_copies(docs.select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
 ORACLE = r"""

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tessera.llm.common import exact_rank, written
 
 SHARDS = 24
-ROUNDS = 8
+ROUNDS = 10
 SLACK = 0.02
 BINS = 4096
 
@@ -19,16 +19,21 @@ def _unit(column: Column) -> Column:
 
 
 def _propagate(pieces: DataFrame, n_rows: int, shards: int, rounds: int) -> DataFrame:
-    """Moves documents of a group towards the shard that holds most of it; ``pieces`` is (g, shard, n)."""
+    """Moves documents of a group towards the shards that hold most of it; ``pieces`` is (g, shard, n)."""
     capacity = int(n_rows / shards * (1 + SLACK)) + 1
     for _ in range(rounds):
         held = {r["shard"]: r["n"] for r in pieces.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row per shard
         room = F.element_at(F.array(*[F.lit(max(0, capacity - held.get(t, 0))).cast("long") for t in range(shards)]), F.col("t") + 1)
-        first = lambda s: F.struct("n", F.pmod(F.xxhash64("g", F.col(s)), F.lit(1 << 30)).alias("turn"), F.col(s).alias("t"))
-        open_to = pieces.withColumn("t", F.col("shard")).where(room > 0)
-        best = open_to.groupBy("g").agg(F.max(first("shard")).alias("best")).select(F.col("g").alias("bg"), "best.t", F.struct("best.n", "best.turn").alias("top"))
-        wish = pieces.join(best, F.col("g") == F.col("bg")).where((F.col("shard") != F.col("t")) & (F.struct("n", F.pmod(F.xxhash64("g", "shard"), F.lit(1 << 30)).alias("turn")) < F.col("top")))
-        wish = wish.select("g", "shard", "n", "t").withColumn("_tie", F.struct("g", "shard"))
+        # A group's counts, those in open shards and the large ones first: 24 at most.
+        held_by = pieces.withColumn("t", F.col("shard")).select("g", F.struct((room > 0).alias("open"), "n", F.pmod(F.xxhash64("g", "shard"), F.lit(1 << 30)).alias("turn"), "shard").alias("x"))
+        row = held_by.groupBy("g").agg(F.reverse(F.array_sort(F.collect_list("x"))).alias("xs"))
+        row = row.select("g", "xs", F.size(F.filter("xs", lambda x: x["open"])).alias("k"), F.posexplode("xs").alias("i", "x"))
+        # In open shards the smaller half goes to the larger half, the least to the largest; what is in full shards
+        # goes to the largest if it is less or fits in whole.
+        to = F.when(F.col("i") < F.col("k"), F.col("k") - 1 - F.col("i")).otherwise(0)
+        wish = row.where("k > 0").withColumn("y", F.get("xs", to)).where(F.col("i") > to).withColumn("t", F.col("y.shard"))
+        wish = wish.where((F.col("i") < F.col("k")) | (F.col("x.n") < F.col("y.n")) | (F.col("x.n") <= room))
+        wish = wish.select("g", F.col("x.shard").alias("shard"), F.col("x.n").alias("n"), "t").withColumn("_tie", F.struct("g", "shard"))
         # Wishes for a shard are granted in the order of a hash of the group until its room is used up.
         granted = exact_rank(wish, ["t"], _unit(F.col("g")), BINS, "before", "n").withColumn("m", F.least("n", room - F.col("before"))).where("m > 0")
         granted = written(granted.select("g", "shard", "t", "m"), "shard-moves")
@@ -43,8 +48,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of ``docs`` (doc_id, text).
 
     The law is ``rows``: shards' counts are at most one apart. Documents of equal text are linked. Each group starts
-    spread over the shards by a hash; in each round its documents ask for the shard that holds most of them and are let
-    in while that shard has room. Unlinked documents fill what is left, and the cut into equal counts runs along the
+    spread over the shards by a hash; in each round its documents ask for shards that hold more of them and are let in
+    while those have room. Unlinked documents fill what is left, and the cut into equal counts runs along the
     order of shards and groups, so it parts a group only where a shard is full. The documents of a group are
     interchangeable: rounds move counts of (group, shard), and only the end gives each document its place.
     A null text has size 8, no links and a null CRC. Repeated rows each get a slot. An empty table gives an empty one.
