@@ -18,6 +18,7 @@ from tessera.llm.quality import fold
 THRESHOLD = 0.3
 MOST_LABELLED = 400_000
 MOST_TERMS = 200_000
+PREFIXES = 3, 8
 PRIOR = 500.0
 FLAT_PRIOR = 0.5
 DRIFT = 0.25
@@ -65,36 +66,58 @@ def counted(docs: DataFrame, labels: pd.DataFrame) -> DataFrame:
 
 
 def lexicon(counts: DataFrame, most: int = MOST_TERMS) -> dict[bytes, float]:
-    """Tokens to their log-odds of toxic against clean text, for the ``most`` whose lower bound is highest above 0.
+    """Terms to their log-odds of toxic against clean text, for the ``most`` whose lower bound is highest above 0.
 
-    The Dirichlet prior is PRIOR times the token's share of the corpus plus FLAT_PRIOR; a token's score is its log-odds
-    less 1.96 standard errors, so that rare tokens need evidence.
+    Terms are tokens, and beginnings of labelled tokens (PREFIXES characters, written with a star), which tell of forms
+    that no labelled text has. The Dirichlet prior is PRIOR times the term's share of the corpus plus FLAT_PRIOR; the
+    score is the log-odds less 1.96 standard errors, so that rare terms need evidence.
     """
     counts = written(counts.where("toxic > 0 OR clean > 0 OR every > 1"), "toxic-counts")
     n = counts.agg(*[F.sum(c).cast("double").alias(c) for c in ("toxic", "clean", "every")], F.count("*").alias("kinds")).first()
     if not n["toxic"] or not n["clean"]:
         return {}
+    low, high = PREFIXES
+    starts = F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length("token") - 1)), lambda k: F.concat(F.substring("token", 1, k), F.lit("*")))
+    begun = counts.where((F.length("token") > low) & (F.col("toxic") + F.col("clean") > 0)).select(F.explode(starts).alias("token"), "toxic", "clean", "every")
+    begun = begun.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "every")])
     prior = F.col("every") / n["every"] * PRIOR + FLAT_PRIOR
     whole = PRIOR + FLAT_PRIOR * n["kinds"]
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / (n["toxic"] + whole - a)) - F.log(b / (n["clean"] + whole - b))
     bound = odds - 1.96 * F.sqrt(1 / a + 1 / b)
-    best = counts.where("toxic > 1").select("token", bound.alias("score")).where("score > 0").orderBy(F.desc("score"), "token").limit(most).collect()
+    best = counts.unionByName(begun).where("toxic > 1").select("token", bound.alias("score")).where("score > 0").orderBy(F.desc("score"), "token").limit(most).collect()
     return {r["token"].encode(): r["score"] for r in best}
 
 
-def segments(words: list[bytes], terms: dict[bytes, float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """(first, end, score) of all maximal scoring segments, disjoint, in order; a token outside ``terms`` scores -drift.
+class Scores(dict):
+    """Scores of tokens as they come up: that of the token or of its best known beginning, 0 for none."""
+
+    def __init__(self, terms: dict[bytes, float]):
+        super().__init__()
+        self.terms = terms
+
+    def __missing__(self, token: bytes) -> float:
+        if len(self) > 1_000_000:
+            self.clear()
+        word = token.decode("utf-8", "replace")
+        low, high = PREFIXES
+        begun = (self.terms.get((word[:k] + "*").encode(), 0.0) for k in range(low, min(high, len(word) - 1) + 1))
+        out = self[token] = max(self.terms.get(token, 0.0), max(begun, default=0.0))
+        return out
+
+
+def segments(scores: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
+    """(first, end, score) of all maximal scoring segments, disjoint, in order; a token of score 0 counts -drift.
 
     A scan in the style of Ruzzo and Tompa, linear in the number of tokens: runs without terms only lower the running
     total, so they are passed over in one step.
     """
-    hits = [i for i, w in enumerate(words) if w in terms]
+    hits = [i for i, x in enumerate(scores) if x]
     found: list[list[float]] = []  # first, end, total before, total after
     total, at = 0.0, 0
     for i in hits:
         total -= drift * (i - at)
-        left, total, at = total, total + terms[words[i]], i + 1
+        left, total, at = total, total + scores[i], i + 1
         new = [i, i + 1, left, total]
         while True:
             j = len(found) - 1
@@ -145,13 +168,14 @@ def passages(docs: DataFrame, terms: dict[bytes, float], drift: float = DRIFT) -
     schema = "doc_id long, n long, hits array<double>, firsts array<int>, ends array<int>, scores array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Scores(terms)
         for b in slices(batches, SLICE):
             out: dict[str, list] = {k: [] for k in ("n", "hits", "firsts", "ends", "scores")}
             for text in b.column("text").to_pylist():
-                words = tokens(text)
-                found = segments(words, terms, drift)
-                out["n"].append(len(words))
-                out["hits"].append([terms[w] for w in words if w in terms] if found else [])
+                scores = [known[w] for w in tokens(text)]
+                found = segments(scores, drift)
+                out["n"].append(len(scores))
+                out["hits"].append([x for x in scores if x] if found else [])
                 for k, i in (("firsts", 0), ("ends", 1), ("scores", 2)):
                     out[k].append([x[i] for x in found])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out["n"], pa.int64()), pa.array(out["hits"], pa.list_(pa.float64())), pa.array(out["firsts"], pa.list_(pa.int32())), pa.array(out["ends"], pa.list_(pa.int32())), pa.array(out["scores"], pa.list_(pa.float64()))], names=["doc_id", "n", "hits", "firsts", "ends", "scores"])
