@@ -32,7 +32,7 @@ SPAN = LENGTH - GRAM + 1  # anchors a string can have
 HALF = SPAN // 2
 SLICE = 1 << 17
 CHUNK_BITS = 1 << 16
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 NO_DOC = -(1 << 63)
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -180,7 +180,7 @@ def runs_of(docs: DataFrame) -> DataFrame:
             place = _packed(found.anchor - base, check, found.anchor - found.first, found.anchor - found.last)
             parts.append((found.gram, found.whole, docs_[found.row], place, check, found.first - base, found.last - base))
             held += len(place)
-            if held > 1_500_000:
+            if held > 750_000:
                 yield from settle()
                 held = 0
         if parts:

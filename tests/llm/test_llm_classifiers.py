@@ -50,7 +50,7 @@ def test_segments_against_all_subsegments():
         given = [0.6 if x < 0.3 else 0.0 for x in rng.random(int(rng.integers(0, 14)))]
         got = toxicity.segments(given, 0.25)
         scores = [x or -0.25 for x in given]
-        best = max((sum(scores[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)), default=0)
+        best = max((sum(scores[i:j]) for i in range(len(given)) for j in range(i + 1, len(given) + 1)), default=0)
         assert not got if best <= 0 else max(s for *_, s in got) == pytest.approx(best)
         assert all(a < b for a, b, _ in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:], strict=False))
         assert all(sum(scores[a:b]) == pytest.approx(s) for a, b, s in got)
