@@ -10,6 +10,7 @@ one row, about one for 39 bytes.
    one task, which numbers all strings of 8 bytes and then, doubling, sorts unsettled strings by the bucket numbers at
    their start and at a later offset, until strings of LENGTH bytes are told apart. Numbers of shorter strings are reused
    at each step, and a string alone in its bucket is settled.
+   A bucket of more than MOST_TOGETHER texts is not put into one task; its strings are grouped one by one.
 3. The starts found are put together by document, and the bytes they cover are removed.
 """
 
@@ -33,6 +34,7 @@ HALF = SPAN // 2
 SLICE = 1 << 17
 CHUNK_BITS = 1 << 16
 CHUNK = 2 << 20
+MOST_TOGETHER = 50_000
 NO_DOC = -(1 << 63)
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -363,11 +365,35 @@ def refined(texts: DataFrame) -> DataFrame:
     return texts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, place long, size long")
 
 
+def crowded(texts: DataFrame) -> DataFrame:
+    """doc, place and size of the starts that are repeats, for buckets too large for a task.
+
+    Every string becomes a row under a 128-bit hash; the earliest of each is found by a grouping, which sums up before
+    the shuffle, and those that are not it are joined back, so that no bucket meets anywhere.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts_, doc, place = b.column("text").to_pylist(), b.column("doc").to_numpy(), b.column("place").to_numpy()
+            counts = np.array([len(x) - LENGTH + 1 for x in texts_], np.int64)
+            keys = [hashlib.blake2b(x[i : i + LENGTH], digest_size=16).digest() for x in texts_ for i in range(len(x) - LENGTH + 1)]
+            offset = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.repeat(doc, counts)), pa.array(np.repeat(place, counts) + (offset << 30))], names=["string", "doc", "place"])
+
+    strings = texts.mapInArrow(run, "string binary, doc long, place long")
+    first = strings.groupBy("string").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("string").alias("s"), "first")
+    both = strings.join(first, F.col("string") == F.col("s")).where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place")))
+    return both.select("doc", "place", F.lit(1).cast("long").alias("size"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, place and size: the stretches of starts of strings of LENGTH bytes that also start earlier. ``docs`` has doc_id and text, no null."""
     first = written(bucketed(runs_of(docs)), "substring-buckets")
-    more = refined(contexts(docs, first.where("kind = 2")))
-    return first.where("kind = 1").select("doc", "place", "size").unionByName(more)
+    texts = written(contexts(docs, first.where("kind = 2")), "substring-contexts")
+    large = texts.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > MOST_TOGETHER).select(F.col("bucket").alias("large"))
+    on = F.col("bucket") == F.col("large")
+    found = first.where("kind = 1").select("doc", "place", "size")
+    return found.unionByName(refined(texts.join(large, on, "left_anti"))).unionByName(crowded(texts.join(large, on, "left_semi")))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

@@ -62,6 +62,13 @@ def test_small_batches(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ss, "MOST_TOGETHER", 2)
+    docs = corpus(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in ss.cleaned(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute(docs)
+
+
 def test_refinement_numbers_equal_strings_alike():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 400).astype(np.uint8)
@@ -76,7 +83,7 @@ def test_refinement_numbers_equal_strings_alike():
 
 
 def test_odd_tables(spark):
-    text = "".join(chr(97 + (i * i) % 23) for i in range(240))
+    text = "".join(chr(x) for x in np.random.default_rng(0).integers(97, 123, 240))
     rows = [(None, text, 1, "p"), (3, text, 2, "q"), (3, text, 2, "q"), (8, "no" + text, 3, None), (9, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, doc int, place string")
     got = {str(r.doc_id): (r.n_removed, r.n_spans) for r in ss.cleaned(docs).collect()}
