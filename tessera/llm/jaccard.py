@@ -4,7 +4,7 @@ How it goes, with sets of 64-bit hashes of word shingles:
 
 1. Equal sets meet in one class; only its smallest doc_id (the representative) is searched for.
 2. A shared order of shingles puts frequent ones last. Two sets that link share a shingle among the first
-   n - ceil(0.85 n) + 1 of each, so these are indexed, and a class's candidates stand in the lists of its own.
+   n - ceil(similar n) + 1 of each, so these are indexed, and a class's candidates stand in the lists of its own.
 3. A list is cut where sizes are too far apart to link; what is left of it belongs to its smallest representative, and
    all lists of one are a unit of search (in blocks, if it is large). So near copies, which share most lists, meet once
    or a few times and not once for each list.
@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import components, mix, slices, text_buffer, written
 
-WORDS = 4
-SIMILAR = 85  # hundredths
+WORDS = 5
+SIMILAR = 80  # hundredths
 SLICE = 6 << 20
 SKETCH = 128
 SAMPLE = 16

@@ -15,7 +15,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.joined(table(spark, sf_dir, "documents"))
+    return jaccard.joined(table(spark, sf_dir, "documents"), width=4, similar=85)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

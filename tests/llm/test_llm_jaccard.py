@@ -48,7 +48,7 @@ def test_against_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(jaccard, "BLOCK", 4)  # units in blocks
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined(df, 4, 85).collect()}
     assert got == brute(docs)
 
 
@@ -62,7 +62,7 @@ def test_search_and_bounds_against_brute_force():
             sets.append(np.unique(np.concatenate([base[keep], rng.integers(6000, 9000, int(rng.integers(0, 4))).astype(np.uint64)])))
     sets = sorted((s for s in sets if len(s)), key=len)
     linked = {(j, i) for i in range(len(sets)) for j in range(i) if 100 * (x := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - x)}
-    found = jaccard.t_occurrences(sets)
+    found = jaccard.t_occurrences(sets, 85)
     assert {(j, i) for i, j in found} <= linked
 
     def classes(pairs):
@@ -74,19 +74,19 @@ def test_search_and_bounds_against_brute_force():
 
     assert classes(found) == classes(linked)
     hashed = [jaccard.mix(s) for s in sets]
-    flags = jaccard.partnered(np.array(list(map(len, sets))), [jaccard.sketch_of(np.sort(h)) for h in hashed])
+    flags = jaccard.partnered(np.array(list(map(len, sets))), [jaccard.sketch_of(np.sort(h)) for h in hashed], 85)
     assert all(flags[i] and flags[j] for i, j in linked)
     big = [np.sort(jaccard.mix(np.arange(a, a + n).astype(np.uint64))) for a, n in ((0, 3000), (100, 3100), (9000, 3050))]
-    assert jaccard.partnered(np.array([3000, 3100, 3050])[[0, 2, 1]], [jaccard.sketch_of(big[i]) for i in (0, 2, 1)]).tolist() == [True, False, True]
+    assert jaccard.partnered(np.array([3000, 3100, 3050])[[0, 2, 1]], [jaccard.sketch_of(big[i]) for i in (0, 2, 1)], 85).tolist() == [True, False, True]
 
 
 def test_odd_tables(spark):
     text = "one two three four five six seven eight"
     rows = [(5, text, "a", 1), (3, text.upper(), "b", 2), (3, text.upper(), "b", 2), (None, text, "c", 3), (9, None, None, None), (8, "", "d", 4), (7, text + " nine ten", "e", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, rep string, other int")
-    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.joined(docs).collect())
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.joined(docs, 4, 85).collect())
     assert got == sorted([("5", 5, "3"), ("3", 5, "3"), ("3", 5, "3"), ("None", 5, "None"), ("9", 0, "9"), ("8", 0, "8"), ("7", 7, "7")])
-    one = jaccard.one_of_each(docs)
+    one = jaccard.one_of_each(docs, 4, 85)
     assert one.columns == docs.columns
     assert sorted(str(r.doc_id) for r in one.collect()) == ["3", "7", "8", "9", "None"]
     assert jaccard.joined(docs.limit(0)).count() == 0 and jaccard.one_of_each(docs.limit(0)).count() == 0

@@ -8,17 +8,17 @@ from tessera.llm.common import components, table, written
 
 
 def classes(docs):
-    """The smallest doc_id of each group of texts whose sets of four-word shingles are alike at .85, by all pairs."""
+    """The smallest doc_id of each group of texts whose sets of five-word shingles are alike at .8, by all pairs."""
     sets = {}
     for i, text in docs:
         words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
-        sets[i] = {tuple(words[k : k + 4]) for k in range(len(words) - 3)} or ({tuple(words)} if words else set())
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
     ids = sorted(sets)
     parent = {i: i for i in ids}
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                 p, q = sorted((parent[a], parent[b]))
                 parent = {k: p if v == q else v for k, v in parent.items()}
     return set(parent.values())
