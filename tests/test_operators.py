@@ -188,3 +188,16 @@ def test_search_in_blocks_and_ties(spark):
     assert whole == rows(edges.search(v, v, "id", "vec", 2, block=2), "query", "hit", "rank")
     assert (0, 3, 1) in whole and (0, 6, 2) in whole
     assert edges.search(v.limit(0), v, "id", "vec", 2).count() == 0
+
+
+def test_evidence(spark):
+    from tessera.operators import evidence
+
+    r = spark.range(1).select(evidence.visible_share(F.array(F.lit(0.9), F.lit(0.1)), 0.5).alias("v"), evidence.visible_share(F.lit(None).cast("array<double>"), 0.5).alias("n"), evidence.block_similarity(F.array(F.array(F.lit(1.0), F.lit(0.0))), F.array(F.array(F.lit(1.0), F.lit(0.0)))).alias("b"), evidence.block_similarity(F.array().cast("array<array<double>>"), F.array().cast("array<array<double>>")).alias("e")).first()
+    assert (r.v, r.n, r.b, r.e) == (0.5, None, pytest.approx(1.0), 0.5)
+    cut = evidence.attribute_blocks(F.col("x"), {"a": 2, "b": 1})
+    assert tuple(spark.createDataFrame([([1, 2, 3],)], "x array<int>").select(cut["a"].alias("a"), cut["b"].alias("b")).first()) == ([1, 2], [3])
+    merged = spark.createDataFrame([(1, [[0, 0, 1, 1], [2, 2, 3, 3]]), (2, [])], "track_id long, bodies array<array<int>>")
+    assert rows(evidence.split_merged(merged, "bodies"), "track_id", "body") == [(100001, [0, 0, 1, 1]), (2, None), (200001, [2, 2, 3, 3])]
+    seen = spark.createDataFrame([("k", 1, True, one(0)), ("k", 2, False, one(5)), ("k", 3, True, one(0)), ("k", 4, True, one(1))], "k string, t int, clean boolean, vec array<double>")
+    assert [(r.t, round(r.anchor, 6)) for r in evidence.anchor_check(seen, ["k"], "t", "clean", "vec").collect()] == [(3, 1.0)]
