@@ -8,9 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from tessera.functions.vectors import cosine
+
 BLOCK = 4096
 
 
@@ -124,3 +127,43 @@ def covisible(pairs: DataFrame, listed: DataFrame, camera_a: str, camera_b: str,
     known = listed.select(F.least("cam_a", "cam_b").alias("_x"), F.greatest("cam_a", "cam_b").alias("_y"), F.col("tolerance").alias("_t"))
     on = (F.least(camera_a, camera_b) == F.col("_x")) & (F.greatest(camera_a, camera_b) == F.col("_y"))
     return pairs.join(known, on, "left").withColumn("vetoed", F.coalesce(overlap > F.col("_t"), F.lit(False))).drop("_x", "_y", "_t")
+
+
+def hashed_search(queries: DataFrame, base: DataFrame, row: str, vector: str, k: int, apart: str | None = None, tables: int = 24, bits: int = 8, seed: int = 7) -> DataFrame:
+    """As ``search``, but only rows that share one of ``tables`` hashes with the query are compared: for large query sets.
+
+    A hash is the signs of ``bits`` random projections; more tables find more, more bits compare fewer. Scores are exact.
+    """
+    planes: dict[int, np.ndarray] = {}
+
+    def keys(dim: int) -> np.ndarray:
+        if dim not in planes:
+            planes[dim] = np.random.default_rng([seed, dim]).normal(size=(dim, tables * bits))
+        return planes[dim]
+
+    def hashed(df: DataFrame) -> DataFrame:
+        columns = [row, vector] + ([apart] if apart else [])
+        some = df.select(*columns).where(F.col(vector).isNotNull() & (F.size(vector) > 0))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            powers = 1 << np.arange(bits, dtype=np.int64)
+            for b in batches:
+                m = _matrix(b.column(vector))
+                if not len(m):
+                    continue
+                codes = ((m @ keys(m.shape[1])).reshape(len(m), tables, bits) > 0) @ powers + np.arange(tables, dtype=np.int64) * (1 << bits)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * tables, pa.array(codes.ravel()))], names=[*b.schema.names, "_codes"])
+
+        return some.mapInArrow(run, T.StructType([*some.schema.fields, T.StructField("_codes", T.ArrayType(T.LongType()))]))
+
+    group = [F.col(apart).alias("_ga")] if apart else []
+    q = hashed(queries)
+    asks = q.select(F.col(row).alias("query"), *group, F.explode("_codes").alias("_code"))
+    hits = hashed(base).select(F.col(row).alias("hit"), *([F.col(apart).alias("_gb")] if apart else []), F.explode("_codes").alias("_code"))
+    pairs = asks.join(hits, "_code").where("query <> hit")
+    pairs = pairs.where("NOT (_ga <=> _gb)") if apart else pairs
+    pairs = pairs.select("query", "hit").distinct()
+    a, b = queries.select(F.col(row).alias("query"), F.col(vector).alias("_a")), base.select(F.col(row).alias("hit"), F.col(vector).alias("_b"))
+    scored = pairs.join(a, "query").join(b, "hit").select("query", "hit", F.round(cosine(F.col("_a"), F.col("_b")), 4).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "hit"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import mean_vectors
 from tessera.operators.cluster import constrained_components, cut
-from tessera.operators.edges import mutual_best, search
+from tessera.operators.edges import hashed_search, mutual_best, search
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bars of a run; ``same_camera`` may be overridden by camera, and the strictest of a pair's cameras holds."""
+    """Bars of a run; ``same_camera`` may be overridden by camera, and the strictest of a pair's cameras holds.
+
+    ``hashed`` looks for neighbours by hashes (measured recall, not all): for more groups than all-pairs search can take.
+    """
 
     least_observations: int = 3
     same_camera: float = 0.75
@@ -22,6 +25,7 @@ class Settings:
     waiver: float = 0.90
     neighbours: int = 10
     rounds: int = 4
+    hashed: bool = False
     per_camera: tuple[tuple[str, float], ...] = ()
 
 
@@ -43,7 +47,11 @@ def _round(nodes: DataFrame, members: DataFrame, same: bool, settings: Settings)
     means = mean_vectors(groups, ["component"], "vec", "vec", weight=F.col("n"))
     cameras = groups.groupBy("component").agg(F.min("camera").alias("camera"), F.count_distinct("camera").alias("n_cameras"))
     table = cut(means.join(cameras, "component"), "reconcile-groups")
-    near = search(table.select("component", "vec"), table.select("component", "vec"), "component", "vec", settings.neighbours, least=min(settings.same_camera, settings.cross_camera))
+    groups = table.select("component", "vec")
+    if settings.hashed:
+        near = hashed_search(groups, groups, "component", "vec", settings.neighbours)
+    else:
+        near = search(groups, groups, "component", "vec", settings.neighbours, least=min(settings.same_camera, settings.cross_camera))
     side = lambda name, c: cameras.select(F.col("component").alias(name), F.col("camera").alias(c), F.col("n_cameras").alias(f"n_{c}"))
     pairs = near.select(F.col("query").alias("left"), F.col("hit").alias("right"), "score").join(side("left", "ca"), "left").join(side("right", "cb"), "right")
     if same:

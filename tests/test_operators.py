@@ -201,3 +201,14 @@ def test_evidence(spark):
     assert rows(evidence.split_merged(merged, "bodies"), "track_id", "body") == [(100001, [0, 0, 1, 1]), (2, None), (200001, [2, 2, 3, 3])]
     seen = spark.createDataFrame([("k", 1, True, one(0)), ("k", 2, False, one(5)), ("k", 3, True, one(0)), ("k", 4, True, one(1))], "k string, t int, clean boolean, vec array<double>")
     assert [(r.t, round(r.anchor, 6)) for r in evidence.anchor_check(seen, ["k"], "t", "clean", "vec").collect()] == [(3, 1.0)]
+
+
+def test_hashed_search_recall(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(100, 32))
+    df = spark.createDataFrame([(i, (centres[i % 100] + 0.4 * rng.normal(size=32)).tolist()) for i in range(300)], "vec_id long, vec array<double>")
+    want = {(r.query, r.hit): r.score for r in edges.search(df, df, "vec_id", "vec", 1).collect()}
+    got = {(r.query, r.hit): r.score for r in edges.hashed_search(df, df, "vec_id", "vec", 1).collect()}
+    best = {q: s for (q, _), s in want.items()}
+    found = {q: s for (q, _), s in got.items()}
+    assert sum(found.get(q) == s for q, s in best.items()) >= 0.9 * len(best)
