@@ -47,7 +47,7 @@ def counted(docs: DataFrame, labels: pd.DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             names = list(every)
-            b = pa.RecordBatch.from_pydict({"token": [x.decode("utf-8", "replace") for x in names], "toxic": pa.array([toxic[x] for x in names], pa.int64()), "clean": pa.array([clean[x] for x in names], pa.int64()), "every": pa.array([every[x] for x in names], pa.int64())})
+            b = pa.RecordBatch.from_pydict({"token": pa.array([x.decode("utf-8", "replace") for x in names], pa.string()), "toxic": pa.array([toxic[x] for x in names], pa.int64()), "clean": pa.array([clean[x] for x in names], pa.int64()), "every": pa.array([every[x] for x in names], pa.int64())})
             for c in (every, toxic, clean):
                 c.clear()
             return b

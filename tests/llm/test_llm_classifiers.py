@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import calibration, decontamination, quality, rules, toxicity
-from tessera.llm.common import table
+from tessera.llm.common import labelled_sample, table
 
 DIR = os.environ.get("TESSERA_TEST_DIR", "/root/testdata/sf0.001").replace("sf0.001", "sf0.01")
 
@@ -44,6 +44,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean(caught) >= 0.9
 
 
+def test_counts_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_COUNTED", 1)
+    docs = spark.createDataFrame([(1, "a b"), (2, "b b c"), (3, None)], "doc_id long, text string").repartition(2)
+    marks = labelled_sample(spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), 10)
+    got = {r.token: (r.toxic, r.clean, r.every) for r in toxicity.counted(docs, marks).collect()}
+    assert got == {"a": (1, 0, 1), "b": (1, 1, 2), "c": (0, 1, 1)}
+
+
 def test_segments_against_all_subsegments():
     rng = np.random.default_rng(1)
     for _ in range(200):
