@@ -10,7 +10,7 @@ one row, about one for 39 bytes.
    one task, which numbers all strings of 8 bytes and then, doubling, sorts unsettled strings by the bucket numbers at
    their start and at a later offset, until strings of LENGTH bytes are told apart. Numbers of shorter strings are reused
    at each step, and a string alone in its bucket is settled.
-   A bucket of more than MOST_TOGETHER texts is not put into one task; its strings are grouped one by one.
+   Where more than MOST_TOGETHER runs share a gram, they are not put into one task; their strings are grouped.
 3. The starts found are put together by document, and the bytes they cover are removed.
 """
 
@@ -182,7 +182,7 @@ def runs_of(docs: DataFrame) -> DataFrame:
             place = _packed(found.anchor - base, check, found.anchor - found.first, found.anchor - found.last)
             parts.append((found.gram, found.whole, docs_[found.row], place, check, found.first - base, found.last - base))
             held += len(place)
-            if held > 750_000:
+            if held > 400_000:
                 yield from settle()
                 held = 0
         if parts:
@@ -244,7 +244,7 @@ def _mark(n_marks: int, gram: np.ndarray, whole: np.ndarray, doc: np.ndarray, pl
 
 
 def contexts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The texts of the chosen runs, (bucket, doc, place of the first byte, text): strings left and right of the middle apart."""
+    """The texts of the chosen runs, (gram, bucket, doc, place of the first byte, text): strings left and right of the middle apart."""
 
     n_marks = 1 << min(29, max(20, int(32 * max(1, chosen.count())).bit_length()))
     words = CHUNK_BITS // 64
@@ -289,9 +289,9 @@ def contexts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 shared_text = r.stretch(a - HALF, a + GRAM) if left else r.stretch(a, a - HALF + 1 + LENGTH)
                 first, end = a - high[i], a - low[i] + LENGTH
                 texts = [r.data[x:y].tobytes() for x, y in zip(first.tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array((shared_text ^ _C[int(left)]).view(np.int64)), pa.array(docs_[r.row[i]]), pa.array(_packed(first - base[i], check[i])), pa.array(texts, pa.binary())], names=["bucket", "doc", "place", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(r.gram[i].view(np.int64)), pa.array((shared_text ^ _C[int(left)]).view(np.int64)), pa.array(docs_[r.row[i]]), pa.array(_packed(first - base[i], check[i])), pa.array(texts, pa.binary())], names=["gram", "bucket", "doc", "place", "text"])
 
-    return docs.mapInArrow(run, "bucket long, doc long, place long, text binary")
+    return docs.mapInArrow(run, "gram long, bucket long, doc long, place long, text binary")
 
 
 def refine(data: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -362,14 +362,14 @@ def refined(texts: DataFrame) -> DataFrame:
         if parts:
             yield settle(np.concatenate(docs), np.concatenate(places), parts)
 
-    return texts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, place long, size long")
+    return texts.select("bucket", "doc", "place", "text").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, place long, size long")
 
 
 def crowded(texts: DataFrame) -> DataFrame:
-    """doc, place and size of the starts that are repeats, for buckets too large for a task.
+    """doc, place and size of the starts that are repeats, for runs that are too many for a task.
 
     Every string becomes a row under a 128-bit hash; the earliest of each is found by a grouping, which sums up before
-    the shuffle, and those that are not it are joined back, so that no bucket meets anywhere.
+    the shuffle, and those that are not it are joined back, so that they meet nowhere.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,10 +389,12 @@ def crowded(texts: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, place and size: the stretches of starts of strings of LENGTH bytes that also start earlier. ``docs`` has doc_id and text, no null."""
     first = written(bucketed(runs_of(docs)), "substring-buckets")
-    texts = written(contexts(docs, first.where("kind = 2")), "substring-contexts")
-    large = texts.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > MOST_TOGETHER).select(F.col("bucket").alias("large"))
-    on = F.col("bucket") == F.col("large")
+    chosen = first.where("kind = 2")
+    large = written(chosen.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > MOST_TOGETHER).select(F.col("gram").alias("large")), "substring-large")
+    texts, on = contexts(docs, chosen), F.col("gram") == F.col("large")
     found = first.where("kind = 1").select("doc", "place", "size")
+    if not large.head(1):
+        return found.unionByName(refined(texts))
     return found.unionByName(refined(texts.join(large, on, "left_anti"))).unionByName(crowded(texts.join(large, on, "left_semi")))
 
 
