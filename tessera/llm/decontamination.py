@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import mix, slices
 from tessera.llm.toxicity import tokens
 
-EDITS = 0.15
+EDITS = 0.2
 TABLES = 24
 BITS = 4
 SEED = 7919
@@ -118,13 +118,13 @@ def edits(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int, int] |
     return (int(row[end]), end) if row[end] <= most else None
 
 
-def leaks_of(ids: np.ndarray, doc: np.ndarray, index: Index) -> dict[int, dict[int, tuple[int, int, int]]]:
-    """Row to (item to distance, first word in ``ids``, places) for the documents that ``doc`` numbers.
+def leaks_of(ids: np.ndarray, doc: np.ndarray, index: Index) -> dict[int, dict[int, tuple[tuple[int, int], int]]]:
+    """Row to (item to (distance, first word in ``ids``), places) for the documents that ``doc`` numbers.
 
     Windows with fewer words than any item of about their length needs, and then of exactly their length, hold no leak
     and are passed over; all others are embedded.
     """
-    found: dict[int, dict[int, tuple[int, int, int]]] = {}
+    found: dict[int, dict[int, tuple[tuple[int, int], int]]] = {}
     if not len(ids) or not index.items:
         return found
     counts = np.bincount(doc)
@@ -157,13 +157,18 @@ def leaks_of(ids: np.ndarray, doc: np.ndarray, index: Index) -> dict[int, dict[i
                 pairs.update((int(at[j]), n) for n in table[int(hashes[j, r])])
         for start, n in sorted(pairs):
             item = index.items[n][1]
-            k = budget(len(item))
-            if (start, n) in seen or (near := edits(item, ids[max(start - k, firsts[start]) : min(start + len(item) + k, ends[start])], k)) is None:
+            length, k = len(item), budget(len(item))
+            low, high = int(firsts[start]), int(ends[start])
+            if (start, n) in seen or edits(item, ids[max(start - k, low) : min(start + length + k, high)], k) is None:
                 continue
-            seen.update((s, n) for s in range(start, start + len(item)))  # the same place
+            # The nearest stretch around; a window that begins before it found it with more edits.
+            low = max(start - length, low)
+            distance, end = edits(item, ids[low : min(start + 2 * length, high)], k)
+            seen.update((s, n) for s in range(start, low + end))  # the same place
             here = found.setdefault(int(doc[start]), {})
-            old = here.get(n)
-            here[n] = (near[0], start, 1) if old is None else (min(old[0], near[0]), min(old[1], start), old[2] + 1)
+            new = (distance, max(low, low + end - length))
+            best, places = here.get(n, (new, 0))
+            here[n] = min(best, new), places + 1
     return found
 
 
@@ -206,7 +211,7 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for b in slices(batches, SLICE):
                 ids, doc = numbered(b.column("text").to_pylist(), index)
                 first = np.searchsorted(doc, np.arange(b.num_rows))
-                rows = [(d, index.items[n][0], x[0], x[1] - int(first[d]), x[2]) for d, here in leaks_of(ids, doc, index).items() for n, x in here.items()]
+                rows = [(d, index.items[n][0], near[0], near[1] - int(first[d]), places) for d, here in leaks_of(ids, doc, index).items() for n, (near, places) in here.items()]
                 if rows:
                     d, item, distance, word, places = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(word, pa.int32()), pa.array(places, pa.int32())], names=["doc_id", "item_id", "distance", "first_word", "places"])
