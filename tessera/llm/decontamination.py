@@ -19,9 +19,9 @@ BITS = 4
 SEED = 7919
 BLOCK = 400
 SLICE = 8 << 20
-ROWS = 1 << 14
 WALKS = 1 << 11
 COMMON = 4
+LEAST_RARE = 3
 
 
 class Index:
@@ -40,7 +40,7 @@ class Index:
         #: coins[step][table, word]: whether a walk moves on. picks[table]: which share of its steps are sampled.
         self.coins = rng.integers(0, 2, (2 * self.longest, TABLES, len(self.vocabulary) + 1), np.uint8)
         self.picks = np.sort(rng.random((TABLES, BITS)), axis=1)
-        self.classes = self._classes()
+        self.needs = self._needs()
         self.tables: list[dict[int, list[int]]] = [{} for _ in range(TABLES)]
         for size, members in self.by_size.items():
             hashes = self.sampled(np.stack([self.items[n][1] for n in members]), np.full(len(members), size))
@@ -49,8 +49,8 @@ class Index:
                     table.setdefault(h, []).append(n)
         self.keys = [np.array(sorted(t), np.uint64) for t in self.tables]
 
-    def _classes(self) -> list[list[tuple[int, int, np.ndarray]]]:
-        """Classes of (size, words needed, words that count) with sizes within a fifth of each other.
+    def _needs(self) -> list[tuple[int, int, np.ndarray, int]]:
+        """(span, words needed in it, words that count, length) for the items of each length.
 
         A stretch within the budget has all but that many of an item's words, and so of those that few other items have
         too; by these the items are counted, or by all words if they have hardly any such.
@@ -60,19 +60,12 @@ class Index:
         for _, words in self.items:
             size = len(words)
             own, few = words[~common[words]], False
-            if len(own) - budget(size) < 3:
+            if len(own) - budget(size) < LEAST_RARE:
                 own, few = words, True
             need, known = groups.setdefault((few, size), (size, np.zeros(len(self.vocabulary) + 1, np.uint8)))
             known[own] = 1
             groups[few, size] = min(need, len(own) - budget(size)), known
-        out: list[list[tuple[int, int, np.ndarray]]] = []
-        last = None
-        for (few, size), (need, known) in sorted(groups.items(), key=lambda x: x[0]):
-            if last is None or last[0] != few or size > 1.2 * last[1]:
-                out.append([])
-                last = few, size
-            out[-1].append((size, need, known))
-        return out
+        return [(size + budget(size), need, known, size) for (_, size), (need, known) in sorted(groups.items(), key=lambda x: x[0])]
 
     def sampled(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """For each row of words (``sizes`` of which count) and each table, a hash of BITS coordinates of its CGK embedding.
@@ -121,8 +114,7 @@ def edits(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int, int] |
 def leaks_of(ids: np.ndarray, doc: np.ndarray, index: Index) -> dict[int, dict[int, tuple[tuple[int, int], int]]]:
     """Row to (item to (distance, first word in ``ids``), places) for the documents that ``doc`` numbers.
 
-    Windows with fewer words than any item of about their length needs, and then of exactly their length, hold no leak
-    and are passed over; all others are embedded.
+    Windows with fewer words than any item of their length needs hold no leak and are passed over; all others are embedded.
     """
     found: dict[int, dict[int, tuple[tuple[int, int], int]]] = {}
     if not len(ids) or not index.items:
@@ -130,20 +122,14 @@ def leaks_of(ids: np.ndarray, doc: np.ndarray, index: Index) -> dict[int, dict[i
     counts = np.bincount(doc)
     ends, firsts = np.repeat(np.cumsum(counts), counts), np.repeat(np.cumsum(counts) - counts, counts)
     places, sizes = [], []
-    for members in index.classes:
-        large, need = max(m[0] + budget(m[0]) for m in members), min(m[1] for m in members)
-        sums = np.zeros(len(ids) + large + 1, np.int32)
-        np.cumsum(np.bitwise_or.reduce([m[2] for m in members])[ids], out=sums[1 : len(ids) + 1])
+    sums = np.zeros(len(ids) + 2 * index.longest + 1, np.int32)
+    for span, least, own, length in index.needs:
+        np.cumsum(own[ids], out=sums[1 : len(ids) + 1])
         sums[len(ids) + 1 :] = sums[len(ids)]
-        might = np.flatnonzero(sums[large : large + len(ids)] - sums[: len(ids)] >= need)
-        for size, least, own in members:
-            k = budget(size)
-            for part in np.array_split(might, len(might) // ROWS + 1):
-                wide = part[:, None] + np.arange(size + k)[None, :]
-                inside = wide < ends[part][:, None]
-                keep = part[(own[ids[np.minimum(wide, len(ids) - 1)]] * inside).sum(1) >= least]
-                places.append(keep)
-                sizes.append(np.full(len(keep), size))
+        might = np.flatnonzero(sums[span : span + len(ids)] - sums[: len(ids)] >= least)
+        keep = might[sums[np.minimum(might + span, ends[might])] - sums[might] >= least]
+        places.append(keep)
+        sizes.append(np.full(len(keep), length))
     place, size = np.concatenate(places), np.concatenate(sizes)
     seen: set[tuple[int, int]] = set()
     for i in range(0, len(place), WALKS):
