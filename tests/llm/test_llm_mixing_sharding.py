@@ -94,3 +94,11 @@ def test_shards_of_odd_tables(spark):
     check_shards(sharding.shard(docs.limit(1)).collect(), 1)
     same = spark.createDataFrame([(i, "same") for i in range(100)], "doc_id long, text string")
     check_shards(sharding.shard(same).collect(), 100)
+
+
+def test_mix_of_sources_without_words(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (3, "x y z", "b")]
+    got = {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in mixing.report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1] == (0, 0, 0.0, 0) and got[3][:3] == (3, 3, pytest.approx(4.5)) and got[3][3] in (3, 6)
+    none = mixing.report(spark.createDataFrame(rows[:2], "doc_id long, text string, source string")).collect()
+    assert [r.taken for r in none] == [0, 0]
