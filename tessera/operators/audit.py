@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def in_one_row(*frames: DataFrame) -> DataFrame:
+    """The columns of frames of one row each, as one row."""
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.unionByName(f, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def exclusions(candidates: DataFrame, known: list[str]) -> DataFrame:
     """reason and n, the reasons of ``known`` that never came up at 0."""
     rows = candidates.sparkSession.createDataFrame([(k,) for k in known], "reason string")
@@ -38,7 +46,7 @@ def fragmentation(mapping: DataFrame) -> DataFrame:
     by = mapping.where("gid IS NOT NULL").groupBy("gid").agg(F.count("*").alias("n"), F.count_distinct("camera").alias("cameras"))
     whole = mapping.agg(F.count("*").alias("n_tracklets"), F.count_if(F.col("gid").isNull()).alias("n_suppressed"))
     sizes = by.agg(F.count("*").alias("n_identities"), F.round(F.avg("n"), 6).alias("mean_size"), F.max("n").alias("largest"), F.count_if(F.col("n") > 1).alias("n_fragmented"), F.count_if(F.col("cameras") > 1).alias("n_multi_camera"))
-    return whole.crossJoin(sizes)  # a row each
+    return in_one_row(whole, sizes)
 
 
 def camera_pairs(decisions: DataFrame) -> DataFrame:

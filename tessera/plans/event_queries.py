@@ -240,7 +240,7 @@ def survivor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = events(spark, sf_dir).select(F.col("track").alias("component"), F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 500).alias("had"))
     ids = identity.survivors(m, 100_000)
     n = m.select("component").distinct().agg(F.count("*").alias("n_tracks"))
-    return ids.agg(F.count("*").alias("n_components"), F.count_distinct("gid").alias("n_distinct")).crossJoin(n)  # a row each
+    return audit.in_one_row(ids.agg(F.count("*").alias("n_components"), F.count_distinct("gid").alias("n_distinct")), n)
 
 
 @add("numbered_identities", f"{EV}, f AS (SELECT track AS component, min(t) AS t0 FROM e GROUP BY track) SELECT component, 'G' || lpad(CAST(row_number() OVER (ORDER BY t0, component) AS VARCHAR), 6, '0') AS gid FROM f")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.scores import score_bucket
 from tessera.functions.vectors import cosine, leave_one_out, mean_vectors, norm
-from tessera.operators import edges, evaluate, identity, reconcile, scoring
+from tessera.operators import audit, edges, evaluate, identity, intervals, reconcile, scoring
 from tessera.operators.cluster import assignment, components, constrained_components, cut, greedy_matching
 from tessera.plans.base import add
 
@@ -147,7 +147,7 @@ def greedy_matching_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = pairs.join(cam.select(F.col("vec_id").alias("left"), F.col("cam").alias("ca")), "left").join(cam.select(F.col("vec_id").alias("right"), F.col("cam").alias("cb")), "right").where("ca < cb")
     taken = cut(greedy_matching(pairs, ["ca", "cb"]), "matched")
     twice = lambda side: taken.groupBy("ca", "cb", side).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n")).select(F.col("n").alias(f"n_twice_{side}"))
-    return twice("left").crossJoin(twice("right"))  # a row each
+    return audit.in_one_row(twice("left"), twice("right"))
 
 
 @add("constrained_identities_invariant", "SELECT 0::BIGINT AS n_violations")
@@ -176,17 +176,42 @@ def assignment_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.groupBy("right").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n_twice"))
 
 
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of tracklets cut from the vectors: four rows of one label and camera are one."""
+    number = F.row_number().over(Window.partitionBy("label", "cam").orderBy("vec_id")) - 1
+    v = vectors(spark, sf_dir).withColumn("piece", F.floor(number / 4))
+    return v.select(F.concat_ws(":", "cam", "label", "piece").alias("key"), F.col("cam").cast("string").alias("camera"), F.col("vec_id").cast("double").alias("ts"), "vec")
+
+
 @add("reconciled_identities", None)
 def reconciled_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identities of tracklets cut from the vectors: four rows of one label and camera are one."""
+    return reconcile.reconcile(pieces(spark, sf_dir))
+
+
+@add("reconciled_identities_invariant", f"{ALL}, k AS (SELECT cam, label, (row_number() OVER (PARTITION BY label, cam ORDER BY vec_id) - 1) // 4 AS piece FROM v), t AS (SELECT 1 FROM k GROUP BY cam, label, piece HAVING count(*) >= 3) SELECT count(*) AS n_tracklets, 0::BIGINT AS n_violations FROM t")
+def reconciled_identities_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracklets with an identity, and pairs of one identity that one camera saw at one time, of which there are none."""
+    obs = pieces(spark, sf_dir)
+    found = cut(reconcile.reconcile(obs), "reconciled")
+    spans = obs.groupBy("key").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")).join(found, "key")
+    bad = intervals.violations(spans, "component", "camera", "t0", "t1", "key", 64.0).agg(F.count("*").alias("n_violations"))
+    return audit.in_one_row(found.agg(F.count("*").alias("n_tracklets")), bad)
+
+
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a tracklet of half a unit of time."""
     v = vectors(spark, sf_dir)
-    number = F.row_number().over(Window.partitionBy("label", "cam").orderBy("vec_id")) - 1
-    obs = v.withColumn("piece", F.floor(number / 4)).select(F.concat_ws(":", "cam", "label", "piece").alias("key"), F.col("cam").cast("string").alias("camera"), F.col("vec_id").cast("double").alias("ts"), "vec")
-    return reconcile.reconcile(obs)
+    return v.select(F.col("vec_id").alias("key"), F.col("cam").cast("string").alias("camera"), F.col("vec_id").cast("double").alias("start"), (F.col("vec_id") + 0.5).alias("end"), F.lit(0.7).alias("evidence"), "vec")
 
 
 @add("local_identities", None)
 def local_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir)
-    rows = v.select(F.col("vec_id").alias("key"), F.col("cam").cast("string").alias("camera"), F.col("vec_id").cast("double").alias("start"), (F.col("vec_id") + 0.5).alias("end"), F.lit(0.7).alias("evidence"), "vec")
-    return identity.solve_local(rows)
+    return identity.solve_local(moments(spark, sf_dir))
+
+
+@add("local_identities_invariant", "SELECT count(*) AS n_tracklets, 0::BIGINT AS n_gaps FROM embeddings")
+def local_identities_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tracklets get an identity of their camera, and cameras' first identities are numbered from 1."""
+    got = cut(identity.solve_local(moments(spark, sf_dir)), "solved")
+    first = got.groupBy("camera").agg(F.min("gid").alias("low")).where("low <> 1").agg(F.count("*").alias("n_gaps"))
+    return audit.in_one_row(got.where("gid IS NOT NULL").agg(F.count("*").alias("n_tracklets")), first)

@@ -212,3 +212,8 @@ def test_hashed_search_recall(spark):
     best = {q: s for (q, _), s in want.items()}
     found = {q: s for (q, _), s in got.items()}
     assert sum(found.get(q) == s for q, s in best.items()) >= 0.9 * len(best)
+
+
+def test_no_points_are_neutral(spark):
+    none = F.array().cast("array<struct<x:double,y:double,ts:double>>")
+    assert spark.range(1).select(scoring.trajectory(none, none, F.lit(1.0), F.lit(2.0)).alias("t")).first().t == 0.5
