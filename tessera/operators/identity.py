@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tessera.functions.scores import gid
 from tessera.functions.vectors import cosine, leave_one_out, mean_vectors
 from tessera.operators.cluster import cut
+from tessera.operators.edges import search
 
 
 def majority(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -123,10 +124,13 @@ def quality_out(members: DataFrame) -> DataFrame:
     ``members`` has key, gid and vec.
     """
     rest = leave_one_out(members, ["gid"], "vec").select("key", "gid", "vec", "rest")
-    means = mean_vectors(members, ["gid"], "vec", "mean").select(F.col("gid").alias("other"), "mean")
     fit = rest.withColumn("fit", cosine(F.col("vec"), F.col("rest")))
-    best = fit.join(means, F.col("gid") != F.col("other")).groupBy("key").agg(F.max(cosine(F.col("vec"), F.col("mean"))).alias("_best"))
-    return fit.join(best, "key", "left").select("key", "gid", "fit", (F.col("fit") - F.col("_best")).alias("margin"))
+    own = F.col("gid").cast("string").alias("gid")
+    asks = members.select(F.concat(F.lit("k:"), F.col("key").cast("string")).alias("id"), "vec", own)
+    means = mean_vectors(members, ["gid"], "vec", "vec").select(F.concat(F.lit("g:"), F.col("gid").cast("string")).alias("id"), "vec", own)
+    best = search(asks, means, "id", "vec", 1, "gid").select(F.col("query").alias("_id"), F.col("score").alias("_best"))
+    joined = fit.join(best, F.concat(F.lit("k:"), F.col("key").cast("string")) == F.col("_id"), "left")
+    return joined.select("key", "gid", "fit", (F.col("fit") - F.col("_best")).alias("margin"))
 
 
 def weakest_links(edges: DataFrame, mapping: DataFrame) -> DataFrame:
