@@ -52,6 +52,26 @@ def grams8(data: np.ndarray) -> np.ndarray:
     return (four[:-4] | (four[4:] << np.uint64(32)))[: len(data)]
 
 
+def least_positions(gram: np.ndarray) -> np.ndarray:
+    """The position of the least hash (leftmost of equal ones) in each window of SPAN.
+
+    Hash and position share a number, the position in its low bits: they are taken from pieces that these bits can
+    count, overlapping by a window less one, so that a text may be of any length.
+    """
+    most = int(_LOW) + 1
+    out = np.zeros(len(gram) - SPAN + 1, np.uint64)
+    for at in range(0, len(out), most - SPAN + 1):
+        low = gram[at : at + most] & ~_LOW
+        low |= np.arange(len(low), dtype=np.uint64)
+        n, width = len(low) - SPAN + 1, 1
+        while 2 * width <= SPAN:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        low = np.minimum(low[:n], low[SPAN - width : SPAN - width + n])
+        out[at : at + n] = (low & _LOW) + np.uint64(at)
+    return out
+
+
 class _Powers:
     """Powers of the stretch hash's base and of its inverse, kept for the longest slice so far."""
 
@@ -79,14 +99,7 @@ class Runs:
         gram += eight[8 : n - GRAM + 9] * _C[1]
         gram += eight[16 : n - GRAM + 17] * _C[2]
         gram = mix(gram)
-        low = gram & ~_LOW
-        low |= np.arange(len(gram), dtype=np.uint64)
-        width = 1
-        while 2 * width <= SPAN:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        low = np.minimum(low[: n - LENGTH + 1], low[SPAN - width : SPAN - width + n - LENGTH + 1])
-        low &= _LOW
+        low = least_positions(gram)
         # Strings that cross into the next text are none: runs are cut where a text starts and after its last string.
         step = np.ones(len(low), bool)
         np.not_equal(low[1:], low[:-1], out=step[1:])

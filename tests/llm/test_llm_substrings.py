@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import substrings as ss
@@ -91,3 +92,28 @@ def test_odd_tables(spark):
     assert ss.cleaned(docs).count() == 5 and ss.cleaned(docs.limit(0)).count() == 0
     two = spark.createDataFrame([(1, text), (1, "zz" + text), (2, text)], "doc_id long, text string")
     assert sorted(r.n_removed for r in ss.cleaned(two).collect()) == [0, 240, 240]
+
+
+@pytest.mark.parametrize("n", [100, 255, 256, 278, 279, 280, 1000, 5000])
+def test_anchors_of_texts_longer_than_the_position_bits(monkeypatch, n):
+    monkeypatch.setattr(ss, "_LOW", np.uint64(255))
+    text = "".join(np.random.default_rng(n).choice(list("abc"), n))
+    r = ss.Runs(pa.array([text[:150], text]))
+    gram = np.array([int(x) & ~255 for x in ss.mix(sum(ss.grams8(r.data)[8 * k : len(r.data) - ss.GRAM + 1 + 8 * k] * ss._C[k] for k in range(3)))], object)
+    seen = 0
+    for first, last, anchor, row in zip(r.first.tolist(), r.last.tolist(), r.anchor.tolist(), r.row.tolist(), strict=True):
+        assert r.starts[row] <= first <= last <= r.starts[row + 1] - ss.LENGTH
+        for i in range(first, last + 1):
+            assert anchor == min(range(i, i + ss.SPAN), key=lambda p: (gram[p], p))
+        seen += last - first + 1
+    assert seen == max(0, min(n, 150) - 99) + n - 99
+
+
+def test_repeats_past_8_mb_of_a_text(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    passage, head, tail = word(300), word((1 << 23) + 5000), word(400)
+    docs = [(1, word(50) + passage + word(70)), (2, head + passage + tail), (3, word(30) + tail)]
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in ss.cleaned(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {1: (0, 0, sha(docs[0][1])), 2: (300, 1, sha(head + tail)), 3: (400, 1, sha(docs[2][1][:30]))}
