@@ -78,7 +78,7 @@ class Union:
             self.members[a] += self.members.pop(b)
 
 
-def _overlap(x: tuple[str, float, float], y: tuple[str, float, float]) -> bool:
+def _overlap(x: tuple[str, float, float, float], y: tuple[str, float, float, float]) -> bool:
     return x[0] == y[0] and not (x[2] < y[1] or y[2] < x[1])
 
 
@@ -86,14 +86,16 @@ def constrained_components(edges: DataFrame, nodes: DataFrame, rule: str = "over
     """(key, component) of every node; edges (left, right, score) join in order of score unless the rule forbids it.
 
     ``overlap``: no two members of one camera at one time. ``camera``: no two members of one camera. ``nodes`` has key,
-    camera, start and end. Ties go by left and right. Components are named by their smallest key.
+    camera, start and end, and may have bar: members of one camera then join by edges of that score only. Ties go by left
+    and right. Components are named by their smallest key.
     """
+    bar = F.col("bar").cast("double") if "bar" in nodes.columns else F.lit(float("-inf"))
     loose = components(edges)
-    tagged = edges.join(loose.select(F.col("key").alias("left"), "component"), "left").select("component", F.lit(0).alias("kind"), F.col("left").alias("a"), F.col("right").alias("b"), F.col("score").cast("double").alias("score"), F.lit(None).cast("string").alias("camera"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"))
-    held = nodes.join(loose, "key").select("component", F.lit(1).alias("kind"), F.col("key").alias("a"), F.lit(None).cast(nodes.schema["key"].dataType).alias("b"), F.lit(None).cast("double").alias("score"), F.col("camera").cast("string").alias("camera"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    tagged = edges.join(loose.select(F.col("key").alias("left"), "component"), "left").select("component", F.lit(0).alias("kind"), F.col("left").alias("a"), F.col("right").alias("b"), F.col("score").cast("double").alias("score"), F.lit(None).cast("string").alias("camera"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), F.lit(None).cast("double").alias("bar"))
+    held = nodes.join(loose, "key").select("component", F.lit(1).alias("kind"), F.col("key").alias("a"), F.lit(None).cast(nodes.schema["key"].dataType).alias("b"), F.lit(None).cast("double").alias("score"), F.col("camera").cast("string").alias("camera"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), bar.alias("bar"))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        spans = {r.a: (r.camera, r.start, r.end) for r in rows[rows.kind == 1].itertuples()}
+        spans = {r.a: (r.camera, r.start, r.end, r.bar) for r in rows[rows.kind == 1].itertuples()}
         sets = Union()
         links = rows[rows.kind == 0].sort_values(["score", "a", "b"], ascending=[False, True, True], kind="stable")
         for r in links.itertuples():
@@ -101,7 +103,7 @@ def constrained_components(edges: DataFrame, nodes: DataFrame, rule: str = "over
             if x == y:
                 continue
             pairs = ((spans.get(p), spans.get(q)) for p in sets.members[x] for q in sets.members[y])
-            bad = any(p and q and (p[0] == q[0] if rule == "camera" else _overlap(p, q)) for p, q in pairs)
+            bad = any(p and q and p[0] == q[0] and (rule == "camera" or r.score < max(p[3], q[3]) or _overlap(p, q)) for p, q in pairs)
             if not bad:
                 sets.join(x, y)
         keys = sorted(spans)

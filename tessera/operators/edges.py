@@ -70,6 +70,44 @@ def search(queries: DataFrame, base: DataFrame, row: str, vector: str, k: int, a
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def over(queries: DataFrame, base: DataFrame, row: str, vector: str, least: float, side: str | None = None, alike: bool = False, block: int = BLOCK) -> DataFrame:
+    """Every pair of a query and another row of ``base`` whose cosine (4 places) is ``least`` or more: query, hit, score.
+
+    With ``side``, only pairs whose values of it differ (``alike``: are equal), which tasks see to before they give pairs.
+    """
+    columns = [row, vector] + ([side] if side else [])
+    base = base.select(*columns).where(F.col(vector).isNotNull() & (F.size(vector) > 0))
+    queries = queries.select(*columns).where(F.col(vector).isNotNull() & (F.size(vector) > 0))
+    schema = f"query {queries.schema[row].dataType.simpleString()}, hit {base.schema[row].dataType.simpleString()}, score double"
+    kinds = [to_arrow_type(df.schema[row].dataType) for df in (queries, base)]
+    parts = []
+    rows = queries.toLocalIterator(prefetchPartitions=True)
+    while chunk := [r for _, r in zip(range(block), rows)]:
+        asks = np.array([r[vector] for r in chunk], float)
+        asks /= np.linalg.norm(asks, axis=1, keepdims=True) + 1e-12
+        names, sides = np.array([r[row] for r in chunk], object), np.array([r[side] for r in chunk], object) if side else None
+
+        def found(batches: Iterator[pa.RecordBatch], asks=asks, names=names, sides=sides) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    s = np.round(np.clip(asks @ _matrix(part.column(vector)).T, -1, 1), 4)
+                    ids = np.array(part.column(row).to_pylist(), object)
+                    keep = (s >= least) & (names[:, None] != ids[None, :])
+                    if sides is not None:
+                        keep &= (sides[:, None] == np.array(part.column(side).to_pylist(), object)[None, :]) == alike
+                    q, j = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[q].tolist(), kinds[0]), pa.array(ids[j].tolist(), kinds[1]), pa.array(s[q, j])], names=["query", "hit", "score"])
+
+        parts.append(base.mapInArrow(found, schema))
+    if not parts:
+        return base.sparkSession.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def ranked(pairs: DataFrame, side: str, score: str, tie: str, out: str) -> DataFrame:
     return pairs.withColumn(out, F.row_number().over(Window.partitionBy(side).orderBy(F.desc(score), tie)))
 

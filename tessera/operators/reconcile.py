@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import mean_vectors
 from tessera.operators.cluster import constrained_components, cut
-from tessera.operators.edges import hashed_search, mutual_best, search
+from tessera.operators.edges import hashed_search, mutual_best, over
+
+ALL = (1 << 31) - 1
 
 
 @dataclass(frozen=True)
@@ -23,8 +25,6 @@ class Settings:
     same_camera: float = 0.75
     cross_camera: float = 0.65
     waiver: float = 0.90
-    neighbours: int = 10
-    rounds: int = 4
     hashed: bool = False
     per_camera: tuple[tuple[str, float], ...] = ()
 
@@ -42,23 +42,28 @@ def bars(nodes: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _round(nodes: DataFrame, members: DataFrame, same: bool, settings: Settings) -> DataFrame:
-    """(left, right, score): edges between the groups of ``members`` (key, component) that pass bar, choice and veto."""
+    """(left, right, score): edges between the groups of ``members`` (key, component) that pass veto, bar and choice, of all pairs."""
     groups = nodes.join(members, "key")
     means = mean_vectors(groups, ["component"], "vec", "vec", weight=F.col("n"))
     cameras = groups.groupBy("component").agg(F.min("camera").alias("camera"), F.count_distinct("camera").alias("n_cameras"))
-    table = cut(means.join(cameras, "component"), "reconcile-groups")
-    groups = table.select("component", "vec")
+    # Groups of one and the same camera have one side, and any other group a side of its own.
+    side = F.when(F.col("n_cameras") == 1, F.concat(F.lit("1:"), "camera")).otherwise(F.concat(F.lit("2:"), F.col("component").cast("string")))
+    table = cut(means.join(cameras, "component").select("component", "vec", side.alias("side")), "reconcile-groups")
+    spans = cut(groups.join(F.broadcast(bars(nodes, settings)), "camera", "left").select("component", "camera", "start", "end", "bar"), "reconcile-spans")
+    least = min([settings.same_camera, settings.cross_camera, *(b for _, b in settings.per_camera)])
     if settings.hashed:
-        near = hashed_search(groups, groups, "component", "vec", settings.neighbours)
-    else:
-        near = search(groups, groups, "component", "vec", settings.neighbours, least=min(settings.same_camera, settings.cross_camera))
-    side = lambda name, c: cameras.select(F.col("component").alias(name), F.col("camera").alias(c), F.col("n_cameras").alias(f"n_{c}"))
-    pairs = near.select(F.col("query").alias("left"), F.col("hit").alias("right"), "score").join(side("left", "ca"), "left").join(side("right", "cb"), "right")
-    if same:
-        bar = bars(nodes, settings)
-        pairs = pairs.where("ca = cb AND n_ca = 1 AND n_cb = 1").join(bar, pairs["ca"] == bar["camera"]).where(F.col("score") >= F.col("bar"))
+        sides = lambda name: table.select(F.col("component").alias(name), F.col("side").alias(f"_{name}"))
+        near = hashed_search(table, table, "component", "vec", ALL).join(sides("query"), "query").join(sides("hit"), "hit")
+        near = near.where((F.col("_query") == F.col("_hit")) == F.lit(same))
     else:
-        pairs = pairs.where(~((F.col("ca") == F.col("cb")) & (F.col("n_ca") == 1) & (F.col("n_cb") == 1)) & (F.col("score") >= settings.cross_camera))
+        near = over(table, table, "component", "vec", least, "side", same)
+    pairs = cut(near.select(F.col("query").alias("left"), F.col("hit").alias("right"), "score").where(F.col("score") >= least), "reconcile-pairs")
+    # What a pair has in common: the strictest bar of its cameras, and whether both were seen by one at one time.
+    x = spans.select(F.col("component").alias("left"), "camera", F.col("start").alias("sa"), F.col("end").alias("ea"), "bar")
+    y = spans.select(F.col("component").alias("right"), "camera", F.col("start").alias("sb"), F.col("end").alias("eb"))
+    meets = (F.col("sa") <= F.col("eb")) & (F.col("sb") <= F.col("ea"))
+    common = pairs.select("left", "right").join(x, "left").join(y, ["right", "camera"]).groupBy("left", "right").agg(F.max("bar").alias("bar"), F.max(meets).alias("meets"))
+    pairs = pairs.join(common, ["left", "right"], "left").where(~F.coalesce("meets", F.lit(False)) & (F.col("score") >= F.coalesce("bar", F.lit(settings.cross_camera))))
     pairs = pairs.select("left", "right", "score")
     chosen = mutual_best(pairs).unionByName(pairs.where(F.col("score") >= settings.waiver))
     return chosen.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "score").distinct()
@@ -67,30 +72,30 @@ def _round(nodes: DataFrame, members: DataFrame, same: bool, settings: Settings)
 def reconcile(observations: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """key, camera, component: the identity of every tracklet of ``observations`` (key, camera, ts, vec).
 
-    Groups that look alike join if each is the other's best (or the score is beyond doubt) and no two members would be
-    in one camera at one time. Within cameras first, to a fixpoint or ``rounds``, then across. Edges between groups
-    stand for their members; the veto is taken over all of them.
+    Groups that look alike join if no two members would be in one camera at one time and, of all such pairs, each is the
+    other's best (or the score is beyond doubt). Groups that share a camera need its bar. Within cameras first, then
+    across, each until nothing grows. Edges between groups stand for their members; the veto is taken over all of them.
     """
     nodes = cut(tracklets(observations, settings.least_observations), "reconcile-tracklets")
     members = nodes.select("key", F.col("key").alias("component"))
     for same in (True, False):
-        for _ in range(settings.rounds):
+        while True:
             edges = cut(_round(nodes, members, same, settings), "reconcile-edges")
             if not edges.head(1):
                 break
-            members, changed = _joined(nodes, members, edges)
+            members, changed = _joined(nodes, members, edges, settings)
             if not changed:
                 break
     return nodes.select("key", "camera").join(members, "key")
 
 
-def _joined(nodes: DataFrame, members: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
+def _joined(nodes: DataFrame, members: DataFrame, edges: DataFrame, settings: Settings) -> tuple[DataFrame, bool]:
     """Members after the edges are folded in; and whether any group grew.
 
     Links inside a group come first (score 2), so the fold sees whole groups.
     """
     inside = members.where("key <> component").select(F.col("component").alias("left"), F.col("key").alias("right"), F.lit(2.0).alias("score"))
-    new = constrained_components(inside.unionByName(edges.select("left", "right", F.col("score").cast("double"))), nodes.select("key", "camera", "start", "end"))
+    new = constrained_components(inside.unionByName(edges.select("left", "right", F.col("score").cast("double"))), nodes.join(F.broadcast(bars(nodes, settings)), "camera", "left").select("key", "camera", "start", "end", "bar"))
     new = cut(new, "reconcile-members")
     grew = new.select("component").distinct().count() < members.select("component").distinct().count()
     return new, grew

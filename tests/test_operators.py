@@ -92,6 +92,72 @@ def test_reconciliation_keeps_what_overlaps_apart(spark):
     assert again == got
 
 
+def brute_reconciled(tracks, same_camera=0.75, cross_camera=0.65, waiver=0.90):
+    """All pairs of groups, conflicts out first, rounds to a fixpoint; ``tracks``: key -> (camera, start, end, unit vec), of equal n."""
+    group = {k: k for k in tracks}
+
+    def allowed(x, y, score):
+        for p in (tracks[k] for k in tracks if group[k] == x):
+            for q in (tracks[k] for k in tracks if group[k] == y):
+                if p[0] == q[0] and (score < same_camera or not (p[2] < q[1] or q[2] < p[1])):
+                    return False
+        return True
+
+    for same in (True, False):
+        while True:
+            roots = sorted(set(group.values()))
+            vec = {r: sum(tracks[k][3] for k in tracks if group[k] == r) for r in roots}
+            cams = {r: {tracks[k][0] for k in tracks if group[k] == r} for r in roots}
+            pairs = {}
+            for a in roots:
+                for b in roots:
+                    lone = len(cams[a] | cams[b]) == 1
+                    if a == b or lone != same:
+                        continue
+                    s = round(float(vec[a] @ vec[b] / np.linalg.norm(vec[a]) / np.linalg.norm(vec[b])), 4)
+                    if s >= (same_camera if cams[a] & cams[b] else cross_camera) and allowed(a, b, s):
+                        pairs[a, b] = s
+            best = {a: min((-s, y) for (x, y), s in pairs.items() if x == a)[1] for a in {x for x, _ in pairs}}
+            take = sorted((-s, a, b) for (a, b), s in pairs.items() if a < b and (s >= waiver or (best[a] == b and best[b] == a)))
+            if not take:
+                break
+            for s, a, b in take:
+                x, y = sorted((group[a], group[b]))
+                if x != y and allowed(x, y, -s):
+                    group = {k: x if g == y else g for k, g in group.items()}
+    return group
+
+
+def reconciled(spark, tracks):
+    obs = [(k, c, a + (b - a) * j / 3, v.tolist()) for k, (c, a, b, v) in tracks.items() for j in range(4)]
+    return {r.key: r.component for r in reconcile.reconcile(spark.createDataFrame(obs, "key string, camera string, ts double, vec array<double>")).collect()}
+
+
+def test_reconciliation_sees_past_ten_closer_fragments(spark):
+    # Fourteen fragments of one camera at one time are closer to each other than each to its partner elsewhere.
+    def at(i, tilt, far):
+        v = np.zeros(32)
+        v[0], v[1 + i], v[20] = 1.0, tilt, far
+        return v / np.linalg.norm(v)
+
+    tracks = {f"a:{i:02}": ("a", 0.0, 9.0, at(i, 0.4, 0.0)) for i in range(14)} | {f"b:{i:02}": ("b", 0.0, 9.0, at(i, 0.4, 0.9)) for i in range(14)}
+    got = reconciled(spark, tracks)
+    assert got == {f"{c}:{i:02}": f"a:{i:02}" for c in "ab" for i in range(14)}
+    assert got == brute_reconciled(tracks)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reconciliation_against_all_pairs(spark, seed):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(2, 16))
+    tracks = {}
+    for i in range(36):
+        v = centre[i % 2] + rng.normal(size=16) * 0.7
+        start = float(rng.integers(0, 60))
+        tracks[f"k{i:02}"] = ("abc"[int(rng.integers(0, 3))], start, start + 9.0, v / np.linalg.norm(v))
+    assert reconciled(spark, tracks) == brute_reconciled(tracks)
+
+
 def brute_constrained(links, spans):
     sets = {k: {k} for k in spans}
     for a, b, _ in sorted(links, key=lambda e: (-e[2], e[0], e[1])):
