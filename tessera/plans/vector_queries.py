@@ -138,14 +138,38 @@ def quorum_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.quorum(label_pairs(spark, sf_dir), ["label", "ca"], "cos", 0.5, 0.6)
 
 
+def lane_pairs(rows: DataFrame, key: str) -> DataFrame:
+    """(ca, cb, left, right, score): all pairs of positive score, a lane for each two cameras."""
+    cam = cut(rows.select(key, "cam", "vec"), "lane-rows")
+    found = edges.over(cam, cam, key, "vec", 0.0001, "cam").select(F.col("query").alias("left"), F.col("hit").alias("right"), "score")
+    found = found.join(cam.select(F.col(key).alias("left"), F.col("cam").alias("ca")), "left").join(cam.select(F.col(key).alias("right"), F.col("cam").alias("cb")), "right")
+    return found.where("ca < cb").select("ca", "cb", "left", "right", "score")
+
+
+def prototype_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lanes of the cameras' prototypes of labels. A label's prototypes in two cameras are two keys."""
+    protos = mean_vectors(vectors(spark, sf_dir), ["label", "cam"], "vec", "vec")
+    return lane_pairs(protos.withColumn("key", F.concat_ws(":", "cam", "label")), "key")
+
+
+def totals(taken: DataFrame) -> DataFrame:
+    return taken.groupBy("ca", "cb").agg(F.count("*").alias("n_matched"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@add("greedy_matching_totals", None)
+def greedy_matching_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return totals(greedy_matching(lane_pairs(vectors(spark, sf_dir), "vec_id"), ["ca", "cb"]))
+
+
+@add("assignment_totals", None)
+def assignment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return totals(assignment(prototype_pairs(spark, sf_dir), ["ca", "cb"]))
+
+
 @add("greedy_matching_invariant", "SELECT 0::BIGINT AS n_twice_left, 0::BIGINT AS n_twice_right")
 def greedy_matching_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a key is used twice in a lane by the greedy matching across cameras."""
-    v = vectors(spark, sf_dir)
-    cam = v.select("vec_id", "cam")
-    pairs = near(spark, sf_dir, 5, "cam").select(F.col("query").alias("left"), F.col("hit").alias("right"), "score")
-    pairs = pairs.join(cam.select(F.col("vec_id").alias("left"), F.col("cam").alias("ca")), "left").join(cam.select(F.col("vec_id").alias("right"), F.col("cam").alias("cb")), "right").where("ca < cb")
-    taken = cut(greedy_matching(pairs, ["ca", "cb"]), "matched")
+    taken = cut(greedy_matching(lane_pairs(vectors(spark, sf_dir), "vec_id"), ["ca", "cb"]), "matched")
     twice = lambda side: taken.groupBy("ca", "cb", side).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n")).select(F.col("n").alias(f"n_twice_{side}"))
     return audit.in_one_row(twice("left"), twice("right"))
 
@@ -168,12 +192,9 @@ def link_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("assignment_invariant", "SELECT 0::BIGINT AS n_twice")
 def assignment_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that the best assignment between two cameras' prototypes uses twice."""
-    protos = mean_vectors(vectors(spark, sf_dir), ["label", "cam"], "vec", "vec")
-    a, b = protos.where("cam = 0").select("label", "vec"), protos.where("cam = 1").select("label", "vec")
-    pairs = edges.search(a, b, "label", "vec", 10).select(F.lit(0).alias("lane"), F.col("query").alias("left"), F.col("hit").alias("right"), "score")
-    taken = assignment(pairs, ["lane"])
-    return taken.groupBy("right").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n_twice"))
+    """Keys that the best assignments between cameras' prototypes use twice."""
+    taken = assignment(prototype_pairs(spark, sf_dir), ["ca", "cb"])
+    return taken.groupBy("ca", "cb", "right").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n_twice"))
 
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
+from tessera.operators.cluster import hungarian
 from tessera.plans import registry
 
 DIR = os.environ.get("TESSERA_TEST_DIR", "/root/testdata/sf0.001")
@@ -37,3 +39,19 @@ def test_against_duckdb(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_matchings_see_all_competitors(spark, tmp_path):
+    # Sixteen a camera, all alike: more than the ten or five nearest compete for each.
+    rng = np.random.default_rng(4)
+    vec = np.abs(rng.normal(size=(64, 12))) + 1.0
+    spark.createDataFrame([(i, i // 4, v.tolist()) for i, v in enumerate(vec)], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = np.float32(vec).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    best = {(r.ca, r.cb): (r.n_matched, r.total) for r in registry.QUERIES["assignment_totals"](spark, str(tmp_path)).collect()}
+    greedy = {(r.ca, r.cb): r.n_matched for r in registry.QUERIES["greedy_matching_totals"](spark, str(tmp_path)).collect()}
+    assert set(best) == set(greedy) == {(a, b) for a in range(4) for b in range(a + 1, 4)}
+    for (a, b), (n, total) in best.items():
+        gain = np.round(unit[a::4] @ unit[b::4].T, 4)
+        assert n == greedy[a, b] == 16
+        assert total == pytest.approx(sum(gain[i, j] for i, j in hungarian(gain)), abs=2e-3)
