@@ -113,11 +113,11 @@ def lanes(df: DataFrame, keys: list[str], start: str, end: str, tie: str) -> Dat
 
 
 def sample_and_hold(df: DataFrame, keys: list[str], at: str, value: str, step: float, hold: float) -> DataFrame:
-    """A row each ``step`` from a key's first to its last time, with the last value; null once it is older than ``hold``."""
+    """A row each ``step`` from a key's first to its last time, with the last value (of several at one time the largest); null once it is older than ``hold``."""
     ends = df.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
     grid = ends.select(*keys, F.explode(F.sequence(F.lit(0), F.floor((F.col("_b") - F.col("_a")) / step).cast("int"))).alias("_i"), "_a").select(*keys, (F.col("_a") + F.col("_i") * step).alias(at), F.lit(None).cast(df.schema[value].dataType).alias(value), F.lit(True).alias("_grid"))
     both = df.select(*keys, F.col(at).cast("double").alias(at), value).withColumn("_grid", F.lit(False)).unionByName(grid)
-    seen = Window.partitionBy(*keys).orderBy(at, "_grid").rowsBetween(Window.unboundedPreceding, 0)
+    seen = Window.partitionBy(*keys).orderBy(at, "_grid", value).rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(~F.col("_grid"), F.struct(F.col(at).alias("t"), F.col(value).alias("v")))
     held = both.withColumn("_last", F.last(mark, ignorenulls=True).over(seen)).where("_grid")
     return held.select(*keys, at, F.when(F.col(at) - F.col("_last.t") <= hold, F.col("_last.v")).alias(value))

@@ -283,3 +283,10 @@ def test_hashed_search_recall(spark):
 def test_no_points_are_neutral(spark):
     none = F.array().cast("array<struct<x:double,y:double,ts:double>>")
     assert spark.range(1).select(scoring.trajectory(none, none, F.lit(1.0), F.lit(2.0)).alias("t")).first().t == 0.5
+
+
+def test_held_value_of_one_time_is_the_largest(spark):
+    df = spark.createDataFrame([("a", 0.0, v) for v in (1.0, 9.0, 4.0)] + [("a", 10.0, 2.0), ("a", 10.0, 1.0)], "k string, t double, v double")
+    for order in (F.asc("v"), F.desc("v")):
+        got = sessions.sample_and_hold(df.orderBy(order), ["k"], "t", "v", 5.0, 6.0)
+        assert sorted((r.t, r.v) for r in got.collect()) == [(0.0, 9.0), (5.0, 9.0), (10.0, 2.0)]
