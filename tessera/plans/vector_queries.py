@@ -102,6 +102,29 @@ def row_and_column_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.margins(pairs).select("left", "right", "score", F.round("margin_left", 4).alias("margin_left"), F.round("margin_right", 4).alias("margin_right"))
 
 
+ROW_COLUMN_ALL = f"{PAIRS}, r AS (SELECT ca, cb, q, h, score FROM p WHERE ca < cb), w AS (SELECT *, max(score) OVER (PARTITION BY q, cb) AS mq, max(score) OVER (PARTITION BY h, ca) AS mh, row_number() OVER (PARTITION BY q, cb ORDER BY score DESC, h) AS i, row_number() OVER (PARTITION BY h, ca ORDER BY score DESC, q) AS j, nth_value(score, 2) OVER (PARTITION BY q, cb ORDER BY score DESC, h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS sq, nth_value(score, 2) OVER (PARTITION BY h, ca ORDER BY score DESC, q ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS sh FROM r) SELECT q AS \"left\", h AS \"right\", score, round(score - CASE WHEN i = 1 THEN coalesce(sq, 0) ELSE mq END, 4) AS margin_left, round(score - CASE WHEN j = 1 THEN coalesce(sh, 0) ELSE mh END, 4) AS margin_right FROM w WHERE i = 1 OR j = 1"
+
+
+@add("row_and_column_margins_all", ROW_COLUMN_ALL)
+def row_and_column_margins_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``row_and_column_margins``, whose SQL takes one lane and the five nearest: the best pair of each row and of each
+    column of every lane, with margins over the whole row and column."""
+    v = vectors(spark, sf_dir)
+    sides = [edges.search(v, v.where(F.col("cam") == c), "vec_id", "vec", 2, "cam").withColumn("to", F.lit(c)) for c in sorted(r.cam for r in v.select("cam").distinct().collect())]
+    two = sides[0]
+    for s in sides[1:]:
+        two = two.unionByName(s)
+    two = cut(two.groupBy("query", "to").agg(F.max(F.when(F.col("rank") == 1, F.col("hit"))).alias("best"), F.max("score").alias("first"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second")), "two-nearest")
+    cam = v.select("vec_id", "cam")
+    found = two.join(cam.select(F.col("vec_id").alias("query"), F.col("cam").alias("of")), "query")
+    is_left = F.col("of") < F.col("to")
+    pairs = found.select(F.when(is_left, F.col("query")).otherwise(F.col("best")).alias("left"), F.when(is_left, F.col("best")).otherwise(F.col("query")).alias("right"), F.least("of", "to").alias("ca"), F.greatest("of", "to").alias("cb"), F.col("first").alias("score")).distinct()
+    side = lambda name, to, x: two.select(F.col("query").alias(name), F.col("to").alias(to), F.col("best").alias(f"b{x}"), F.col("first").alias(f"f{x}"), F.col("second").alias(f"s{x}"))
+    both = pairs.join(side("left", "cb", "l"), ["left", "cb"]).join(side("right", "ca", "r"), ["right", "ca"])
+    margin = lambda x, other: F.round(F.col("score") - F.when(F.col(f"b{x}") == F.col(other), F.coalesce(f"s{x}", F.lit(0.0))).otherwise(F.col(f"f{x}")), 4)
+    return both.select("left", "right", "score", margin("l", "right").alias("margin_left"), margin("r", "left").alias("margin_right"))
+
+
 @add("reciprocal_jaccard", f"{PAIRS}, r AS (SELECT q, h, row_number() OVER (PARTITION BY q ORDER BY score DESC, h) AS n FROM p QUALIFY n <= 8), m AS (SELECT x.q, x.h FROM r x JOIN r y ON x.q = y.h AND x.h = y.q UNION SELECT DISTINCT q, q FROM r), s AS (SELECT q, list(h) AS s FROM m GROUP BY q) SELECT r.q AS query, r.h AS hit, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 4) AS jaccard FROM r JOIN s a ON a.q = r.q JOIN s b ON b.q = r.h")
 def reciprocal_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut(near(spark, sf_dir, 8), "near")
