@@ -11,11 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import labelled_sample, mix, slices
+from tessera.llm.common import mix, slices
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
-MOST_TRUSTED = 200_000
 THRESHOLD = -0.12
 LEAST_WORDS = 20
 MOST_REPEATED = 30
@@ -90,25 +89,29 @@ def buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.int64), np.concatenate([words.doc, words.doc[:-1][same]])
 
 
-def ratios(docs: DataFrame, labels: DataFrame, most_trusted: int = MOST_TRUSTED) -> np.ndarray:
-    """log p(bucket | trusted) - log p(bucket | raw) of the hash buckets, the raw side counted over every document.
-
-    Trusted are the documents labelled of good quality, ``most_trusted`` of them at most (the first by a hash): their
-    ids go to the tasks, so that texts are read once and not shuffled. BUCKETS rows reach the driver, whatever the input.
-    """
-    good = labelled_sample(labels.where("quality = 1"), most_trusted)["doc_id"].to_numpy()
+def bucket_counts(docs: DataFrame) -> DataFrame:
+    """(bucket, n): how often n-grams of each hash bucket stand in ``docs``; a task gives BUCKETS rows at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for b in slices(batches, SLICE):
-            found, rows = buckets(Words(b.column("text")))
-            raw += np.bincount(found, minlength=BUCKETS)
-            ids = b.column("doc_id").to_pandas()
-            trusted += np.bincount(found[np.isin(ids, good)[rows]], minlength=BUCKETS)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_pydict({"bucket": some.astype(np.int32), "raw": raw[some], "trusted": trusted[some]})
-
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "bucket int, raw long, trusted long")
+            total += np.bincount(buckets(Words(b.column("text")))[0], minlength=BUCKETS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"bucket": some.astype(np.int32), "n": total[some]})
+
+    return docs.select("text").mapInArrow(count, "bucket int, n long")
+
+
+def ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """log p(bucket | trusted) - log p(bucket | raw) of the hash buckets, both sides counted over every document of theirs.
+
+    Trusted are all documents labelled of good quality, found by a semi-join (of the ids alone, where they are few enough
+    to be broadcast). BUCKETS rows reach the driver, whatever the input.
+    """
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_d"))
+    trusted_docs = docs.select(F.col("doc_id").cast("long").alias("_i"), "text").join(good, F.col("_i") == F.col("_d"), "left_semi")
+    counts = bucket_counts(docs).select("bucket", F.col("n").alias("raw"), F.lit(0).cast("long").alias("trusted"))
+    counts = counts.unionByName(bucket_counts(trusted_docs).select("bucket", F.lit(0).cast("long").alias("raw"), F.col("n").alias("trusted")))
     found = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toPandas()
     raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[found["bucket"]], trusted[found["bucket"]] = found["raw"], found["trusted"]
