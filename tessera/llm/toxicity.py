@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,6 @@ from tessera.llm.quality import fold
 
 THRESHOLD = 0.3
 MOST_LABELLED = 400_000
-MOST_TERMS = 200_000
 PREFIXES = 3, 8
 PRIOR = 500.0
 FLAT_PRIOR = 0.5
@@ -65,17 +65,37 @@ def counted(docs: DataFrame, labels: pd.DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "token string, toxic long, clean long, every long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "every")])
 
 
-def lexicon(counts: DataFrame, most: int = MOST_TERMS) -> dict[bytes, float]:
-    """Terms to their log-odds of toxic against clean text, for the ``most`` whose lower bound is highest above 0.
+class Terms:
+    """Scores of terms, by the 64-bit hashes of these: 12 bytes a term, so that all terms go to the tasks."""
+
+    def __init__(self, names: list[str], scores: np.ndarray):
+        keys = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in names), np.uint64, len(names))
+        order = np.argsort(keys)
+        self.keys, self.scores = keys[order], np.asarray(scores, np.float32)[order]
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def get(self, term: bytes) -> float:
+        if not len(self.keys):
+            return 0.0
+        key = np.uint64(xxhash.xxh3_64_intdigest(term))
+        at = int(np.searchsorted(self.keys, key))
+        return float(self.scores[at]) if at < len(self.keys) and self.keys[at] == key else 0.0
+
+
+def lexicon(counts: DataFrame) -> Terms:
+    """All terms whose log-odds of toxic against clean text have a lower bound above 0, and that bound.
 
     Terms are tokens, and beginnings of labelled tokens (PREFIXES characters, written with a star), which tell of forms
-    that no labelled text has. The Dirichlet prior is PRIOR times the term's share of the corpus plus FLAT_PRIOR; the
-    score is the log-odds less 1.96 standard errors, so that rare terms need evidence.
+    that no labelled text has. The Dirichlet prior is PRIOR times the term's share of the corpus plus FLAT_PRIOR, with
+    every token of every document in the totals; the score is the log-odds less 1.96 standard errors, so that rare terms
+    need evidence. A term stands in two toxic texts of the labelled sample at least: the sample's size bounds the lexicon.
     """
-    counts = written(counts.where("toxic > 0 OR clean > 0 OR every > 1"), "toxic-counts")
+    counts = written(counts, "toxic-counts")
     n = counts.agg(*[F.sum(c).cast("double").alias(c) for c in ("toxic", "clean", "every")], F.count("*").alias("kinds")).first()
     if not n["toxic"] or not n["clean"]:
-        return {}
+        return Terms([], np.zeros(0))
     low, high = PREFIXES
     starts = F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length("token") - 1)), lambda k: F.concat(F.substring("token", 1, k), F.lit("*")))
     begun = counts.where((F.length("token") > low) & (F.col("toxic") + F.col("clean") > 0)).select(F.explode(starts).alias("token"), "toxic", "clean", "every")
@@ -85,14 +105,14 @@ def lexicon(counts: DataFrame, most: int = MOST_TERMS) -> dict[bytes, float]:
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / (n["toxic"] + whole - a)) - F.log(b / (n["clean"] + whole - b))
     bound = odds - 1.96 * F.sqrt(1 / a + 1 / b)
-    best = counts.unionByName(begun).where("toxic > 1").select("token", bound.alias("score")).where("score > 0").orderBy(F.desc("score"), "token").limit(most).collect()
-    return {r["token"].encode(): r["score"] for r in best}
+    best = counts.unionByName(begun).where("toxic > 1").select("token", bound.alias("score")).where("score > 0").toPandas()
+    return Terms(best["token"].tolist(), best["score"].to_numpy())
 
 
 class Scores(dict):
     """Scores of tokens as they come up: that of the token or of its best known beginning, 0 for none."""
 
-    def __init__(self, terms: dict[bytes, float]):
+    def __init__(self, terms: Terms):
         super().__init__()
         self.terms = terms
 
@@ -101,31 +121,34 @@ class Scores(dict):
             self.clear()
         word = token.decode("utf-8", "replace")
         low, high = PREFIXES
-        begun = (self.terms.get((word[:k] + "*").encode(), 0.0) for k in range(low, min(high, len(word) - 1) + 1))
-        out = self[token] = max(self.terms.get(token, 0.0), max(begun, default=0.0))
+        begun = (self.terms.get((word[:k] + "*").encode()) for k in range(low, min(high, len(word) - 1) + 1))
+        out = self[token] = max(self.terms.get(token), max(begun, default=0.0))
         return out
 
 
 def segments(scores: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """(first, end, score) of all maximal scoring segments, disjoint, in order; a token of score 0 counts -drift.
 
-    A scan in the style of Ruzzo and Tompa, linear in the number of tokens: runs without terms only lower the running
-    total, so they are passed over in one step.
+    Ruzzo and Tompa's scan: a new segment is joined to the nearest earlier one that began lower, if that ended no higher.
+    ``lower`` holds the segments that such a search can still reach, each beginning higher than the one before; what a
+    search passes over begins no lower than the new segment and is closed to later ones, so every segment enters and
+    leaves once: linear in the number of tokens. Runs without terms only lower the total and are passed over in a step.
     """
-    hits = [i for i, x in enumerate(scores) if x]
     found: list[list[float]] = []  # first, end, total before, total after
+    lower: list[int] = []
     total, at = 0.0, 0
-    for i in hits:
+    for i in [i for i, x in enumerate(scores) if x]:
         total -= drift * (i - at)
         left, total, at = total, total + scores[i], i + 1
         new = [i, i + 1, left, total]
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
+            while lower and found[lower[-1]][2] >= new[2]:
+                lower.pop()
+            if not lower or found[lower[-1]][3] >= new[3]:
+                lower.append(len(found))
                 found.append(new)
                 break
+            j = lower.pop()
             new = [found[j][0], new[1], found[j][2], new[3]]
             del found[j:]
     return [(int(f), int(e), r - b) for f, e, b, r in found]
@@ -163,12 +186,13 @@ def fit_law(clean: DataFrame, drift: float) -> Law:
     return Law(low, max(1e-9, seen / max(tokens_n, 1) * float(np.exp(low * decay))))
 
 
-def passages(docs: DataFrame, terms: dict[bytes, float], drift: float = DRIFT) -> DataFrame:
+def passages(docs: DataFrame, terms: Terms, drift: float = DRIFT) -> DataFrame:
     """doc_id, n, hits, firsts, ends and scores: the term scores and the maximal segments of every document."""
     schema = "doc_id long, n long, hits array<double>, firsts array<int>, ends array<int>, scores array<double>"
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Scores(terms)
+        known = Scores(shared.value)
         for b in slices(batches, SLICE):
             out: dict[str, list] = {k: [] for k in ("n", "hits", "firsts", "ends", "scores")}
             for text in b.column("text").to_pylist():
@@ -209,7 +233,7 @@ def scores(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2) ->
     def calibrated(x: pd.Series) -> pd.Series:
         return pd.Series(apply_isotonic(x.to_numpy(), knots))
 
-    score = calibrated(raw) if terms else F.lit(0.0)
+    score = calibrated(raw) if len(terms) else F.lit(0.0)
     spans = F.filter(F.transform(F.arrays_zip("firsts", "ends", "scores"), lambda x: F.struct(x["firsts"].alias("first"), x["ends"].alias("end"), x["scores"].alias("score"), expected(x["scores"]).alias("expected"))), lambda x: x["expected"] < SIGNIFICANT)
     out = found.select("doc_id", (F.col("fold") == held).alias("held_out"), score.alias("score"), spans.alias("passages"))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"), "passages")

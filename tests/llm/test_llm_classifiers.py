@@ -1,5 +1,6 @@
 import os
 import re
+import time
 import zlib
 
 import numpy as np
@@ -64,6 +65,127 @@ def test_segments_against_all_subsegments():
         assert all(sum(scores[a:b]) == pytest.approx(s) for a, b, s in got)
 
 
+def by_recursion(scores, first=0):
+    """Maximal segments as they are defined: the best contiguous one (the shortest of ties), then those left and right of it."""
+    best = None
+    for i in range(len(scores)):
+        for j in range(i + 1, len(scores) + 1):
+            x = sum(scores[i:j])
+            if x > 0 and (best is None or x > best[0] + 1e-9 or (abs(x - best[0]) < 1e-9 and j - i < best[2] - best[1])):
+                best = (x, i, j)
+    if best is None:
+        return []
+    x, i, j = best
+    return by_recursion(scores[:i], first) + [(first + i, first + j, x)] + by_recursion(scores[j:], first + j)
+
+
+def test_segments_against_the_definition():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        given = [float(rng.choice([0.31, 0.77, 1.9])) * (1 + rng.random() / 50) if x < 0.4 else 0.0 for x in rng.random(int(rng.integers(0, 22)))]
+        got = toxicity.segments(given, 0.25)
+        want = by_recursion([x or -0.25 for x in given])
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+        assert np.allclose([s for *_, s in got], [s for *_, s in want])
+
+
+def test_a_million_hits_take_linear_time():
+    began = time.time()
+    scores = np.zeros(10_000_000)
+    scores[::10] = 1.3
+    assert len(toxicity.segments(scores.tolist())) == 1_000_000
+    assert time.time() - began < 40
+
+
+def test_lexicon_law_and_scores_against_plain_python(spark):
+    """The whole of op3 on a small corpus: counts, prior, log-odds, beginnings, segments, law, evidence, calibration."""
+    rng = np.random.default_rng(12)
+    vile, plain = ["vile", "viles", "vileness", "rotten"], [f"word{i}" for i in range(40)]
+    docs, labels = [], []
+    for d in range(240):
+        own = [plain[i] for i in rng.integers(0, 40, int(rng.integers(5, 40)))]
+        if d % 3 == 0:
+            own[2:2] = [vile[i] for i in rng.integers(0, 4, 5)]
+        docs.append((d, " ".join(own)))
+        if d % 2 == 0:
+            labels.append((d, int(d % 3 == 0)))
+    got = {r.doc_id: r for r in toxicity.scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+
+    folds = {d: zlib.crc32(str(d).encode()) % 4 for d, _ in docs}
+    learn = {d: y for d, y in labels if folds[d] in (0, 1)}
+    counts = {}
+    for d, text in docs:
+        for w in set(text.split()):
+            c = counts.setdefault(w, [0, 0, 0])
+            c[2] += 1
+            if d in learn:
+                c[0 if learn[d] else 1] += 1
+    sums = [sum(c[i] for c in counts.values()) for i in range(3)]
+    terms = {w: list(c) for w, c in counts.items()}
+    for w, c in counts.items():
+        if len(w) > 3 and c[0] + c[1] > 0:
+            for k in range(3, min(8, len(w) - 1) + 1):
+                own = terms.setdefault(w[:k] + "*", [0, 0, 0])
+                for i in range(3):
+                    own[i] += c[i]
+    whole = toxicity.PRIOR + toxicity.FLAT_PRIOR * len(counts)
+    lexicon = {}
+    for w, (t, c, e) in terms.items():
+        prior = e / sums[2] * toxicity.PRIOR + toxicity.FLAT_PRIOR
+        a, b = t + prior, c + prior
+        bound = np.log(a / (sums[0] + whole - a)) - np.log(b / (sums[1] + whole - b)) - 1.96 * np.sqrt(1 / a + 1 / b)
+        if t > 1 and bound > 0:
+            lexicon[w] = bound
+    assert lexicon
+
+    def score(w):
+        return max([lexicon.get(w, 0.0)] + [lexicon.get(w[:k] + "*", 0.0) for k in range(3, min(8, len(w) - 1) + 1)])
+
+    found = {d: by_recursion([score(w) or -toxicity.DRIFT for w in text.split()]) for d, text in docs}
+    known = {d: y for d, y in labels if folds[d] == 3}
+    hits = [score(w) for d, text in docs if known.get(d) == 0 and found[d] for w in text.split() if score(w)]
+    n_clean = sum(len(text.split()) for d, text in docs if known.get(d) == 0)
+    lam, k = 1.0, 0.1
+    if hits:
+        steps = [-toxicity.DRIFT] * (n_clean - len(hits)) + [(min(255, int(x * 16)) + 0.5) / 16 for x in hits]
+        lam = next(x for x in np.arange(0.001, 64, 0.001) if np.mean(np.exp(x * np.array(steps))) >= 1)
+        clean_scores = [x for d in found if known.get(d) == 0 for *_, x in found[d]]
+        k = len(clean_scores) / n_clean * np.exp(lam * min(clean_scores))
+    evidence = {}
+    for d, text in docs:
+        expected = {(a, b): k * len(text.split()) * np.exp(-lam * x) for a, b, x in found[d]}
+        mine = {(x["first"], x["end"]): x["expected"] for x in got[d].passages}
+        sure = {s: x for s, x in expected.items() if abs(x - toxicity.SIGNIFICANT) > 0.01 * toxicity.SIGNIFICANT}
+        assert {s for s, x in sure.items() if x < toxicity.SIGNIFICANT} == {s for s in mine if s in sure}
+        assert all(x == pytest.approx(expected[s], rel=0.03) for s, x in mine.items())
+        evidence[d] = sum(-np.log10(x) for x in mine.values())
+        assert got[d].held_out == (folds[d] == 2)
+    # Scores rise with the evidence, and separate the two kinds.
+    order = sorted(evidence, key=evidence.get)
+    assert all(got[a].score <= got[b].score + 1e-9 for a, b in zip(order, order[1:], strict=False))
+    assert any(evidence[d] > 0 for d in evidence if d % 3 == 0) and not any(evidence[d] > 0 for d in evidence if d % 3)
+
+
+def test_ridge_against_one_machine(spark):
+    rng = np.random.default_rng(6)
+    stats = rng.normal(size=(300, quality.N_STATS)).astype(np.float32)
+    label = (stats[:, 0] + stats[:, 3] > 0).astype(float)
+    features = quality.Fourier(np.zeros(quality.N_STATS), np.ones(quality.N_STATS))
+    train = spark.createDataFrame([(x.tolist(), float(y)) for x, y in zip(stats, label, strict=True)], "stats array<float>, label double").repartition(5)
+    z = features(stats.astype(np.float64))
+    want = np.linalg.solve(z.T @ z / 300 + quality.RIDGE * np.eye(z.shape[1]) / z.shape[1], z.T @ label / 300)
+    got = quality.fit_ridge(train, features)
+    assert np.allclose(z @ got, z @ want, atol=1e-6)
+
+
+def test_fourier_features_approximate_the_gaussian_kernel():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, quality.N_STATS))
+    z = quality.Fourier(np.zeros(quality.N_STATS), np.ones(quality.N_STATS), size=20_000)(x)[:, :-1]
+    far = ((x[:, None] - x[None]) ** 2).sum(-1)
+    assert np.allclose(z @ z.T, np.exp(-far / (2 * quality.N_STATS)), atol=0.05)
+
+
 def test_isotonic_against_brute_force(spark):
     rows = [(0.1, 0.0), (0.2, 1.0), (0.3, 0.0), (0.4, 1.0), (0.6, 1.0)]
     x, y = calibration.fit_isotonic(spark.createDataFrame(rows, "raw double, label double"), 0.0, 1.0, 64)
@@ -116,6 +238,16 @@ def test_ratios_against_brute_force(spark):
     assert np.allclose(got, np.log(p / q), atol=1e-5)
 
 
+def test_ids_beyond_doubles_beside_nulls(spark):
+    big = 2**53 + 1
+    texts = [(big, "good words here"), (big - 1, "other words there"), (None, "none at all")]
+    labels = spark.createDataFrame([(big, 1)], "doc_id long, quality int")
+    got = rules.ratios(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), labels)
+    own = set(rules.buckets(rules.Words(pa.array(["good words here"])))[0].tolist())
+    other = set(rules.buckets(rules.Words(pa.array(["other words there"])))[0].tolist())
+    assert all(got[b] > 0 for b in own - other) and all(got[b] < 0 for b in other - own)
+
+
 ODD = [(1, None, None, None), (2, "", "x", 1), (None, "some words here", "y", 2), (3, "word " * 30_000, None, 3), (3, "word " * 30_000, None, 3), (4, "\x00 ퟿ ok", "z", 4)]
 
 
