@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,8 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
         self.ends: list[set[tuple[int, int]]] = [set()]
+        self.sequences = sequences
+        self._endings: dict[int, list[tuple[int, int, int]]] = {}
         for t, words in enumerate(sequences):
             last = 0
             for end, w in enumerate(words):
@@ -86,21 +89,40 @@ class Automaton:
             self.link[new] = q if self.size[q] == self.size[p] + 1 else self._split(p, q, w)
         return new
 
-    def matches(self, words: list[int], least: int) -> Iterator[tuple[int, int, int]]:
-        """(end, length, state) of the matches that the next word does not lengthen, ``least`` words long or more."""
+    def endings(self, state: int, least: int) -> list[tuple[int, int, int]]:
+        """(template, end, most words) of the strings of ``least`` words or more that end where those of ``state`` do.
+
+        A template that shares only a shorter end of what was read is found along the suffix links.
+        """
+        if state not in self._endings:
+            out: dict[tuple[int, int], int] = {}
+            at = state
+            while at > 0 and self.size[at] >= least:
+                for place in self.ends[at]:
+                    out.setdefault(place, self.size[at])
+                at = self.link[at]
+            self._endings[state] = [(*place, most) for place, most in sorted(out.items())]
+        return self._endings[state]
+
+    def matches(self, words: list[int], least: int) -> Iterator[tuple[int, int, int, int]]:
+        """(end in the text, template, end in it, length) of all matches of ``least`` words or more that neither side lengthens.
+
+        The automaton gives the matching statistics of the stream; a match ends where the template goes on with another
+        word than the text. They come in the order of their end.
+        """
         state = length = 0
-        before = (0, 0)
         for i, w in enumerate(words):
             while state and w not in self.next[state]:
                 state = self.link[state]
                 length = self.size[state]
             if w in self.next[state]:
                 state, length = self.next[state][w], length + 1
-            if before[0] >= least and length <= before[0]:
-                yield i - 1, *before
-            before = (length, state)
-        if before[0] >= least:
-            yield len(words) - 1, *before
+            if length >= least:
+                after = words[i + 1] if i + 1 < len(words) else None
+                for t, end, most in self.endings(state, least):
+                    sequence = self.sequences[t]
+                    if end + 1 == len(sequence) or sequence[end + 1] != after:
+                        yield i, t, end, min(most, length)
 
 
 class Scanner:
@@ -118,9 +140,11 @@ class Scanner:
         """First words of the places where a phrase stands, and the labels of those phrases."""
         line, places, labels = b" " + b" ".join(words) + b" ", [], set()
         for phrase, label in self.phrases:
-            at = line.find(phrase)
+            at, seen, n = line.find(phrase), 0, 0
             while at >= 0:
-                places.append(line.count(b" ", 0, at))
+                n += line.count(b" ", seen, at)  # counted on from the last place
+                seen = at
+                places.append(n)
                 labels.add(label)
                 at = line.find(phrase, at + 1)
         return places, labels
@@ -129,32 +153,52 @@ class Scanner:
         """(label, first word, end, covered share of the template) of the chains that cover LEAST_COVER of one."""
         ids = np.fromiter(map(self.vocabulary.get, words, [-1] * len(words)), np.int64, len(words))
         known = np.flatnonzero(ids >= 0)
-        chains: dict[int, list[list[int]]] = {}
+        chains: dict[int, Chains] = {}
         for run in np.split(known, np.flatnonzero(np.diff(known) > 1) + 1):
             if len(run) < LEAST_MATCH:  # no match can be long enough
                 continue
-            for end, length, state in self.automaton.matches(ids[run].tolist(), LEAST_MATCH):
+            for end, t, t_end, length in self.automaton.matches(ids[run].tolist(), LEAST_MATCH):
                 stop = int(run[0]) + end + 1
-                for t, t_end in self.automaton.ends[state]:
-                    self._chain(chains.setdefault(t, []), stop - length, stop, t_end + 1 - length, t_end + 1)
-        found = [(self.labels[t], c[0], c[1], c[3] / self.sizes[t]) for t, cs in chains.items() for c in cs if c[3] >= LEAST_COVER * self.sizes[t]]
+                if t not in chains:
+                    chains[t] = Chains()
+                chains[t].add(stop - length, stop, t_end + 1 - length, t_end + 1)
+        found = [(self.labels[t], first, end, cover / self.sizes[t]) for t, c in chains.items() for first, end, cover in c.apart(LEAST_COVER * self.sizes[t])]
         return sorted(found, key=lambda x: (x[1], -x[2], x[0]))
 
-    @staticmethod
-    def _chain(chains: list[list[int]], first: int, stop: int, t_first: int, t_stop: int) -> None:
-        """Lengthens the best open chain, or starts one: [first, end, template end, words covered]. Matches come in order of their end."""
-        best = None
-        for c in reversed(chains):
-            if c[1] < first - MOST_GAP:
+
+class Chains:
+    """Best chains of matches with one template: words in order on both sides, MOST_GAP words of the text apart at most.
+
+    ``add`` takes matches in the order of their end and finds the best chain that ends with each: only those that ended
+    MOST_GAP words before it or later can be lengthened, and these are the last ones.
+    """
+
+    def __init__(self) -> None:
+        self.nodes: list[tuple[int, int, int, int]] = []  # first word of the chain, end, template end, words covered
+
+    def add(self, first: int, stop: int, t_first: int, t_stop: int) -> None:
+        best = (stop - first, -first)
+        for begin, end, t_end, cover in reversed(self.nodes):
+            if end < first - MOST_GAP:
                 break
-            over = max(0, c[1] - first, c[2] - t_first)
-            gain = stop - first - over
-            if gain > 0 and (best is None or c[3] + gain > best[0]):
-                best = (c[3] + gain, c)
-        if best:
-            best[1][1:] = [stop, t_stop, best[0]]
-        else:
-            chains.append([first, stop, t_stop, stop - first])
+            gain = stop - first - max(0, end - first, t_end - t_first)
+            if gain > 0:
+                best = max(best, (cover + gain, -begin))
+        self.nodes.append((-best[1], stop, t_stop, best[0]))
+
+    def apart(self, least: float) -> list[tuple[int, int, int]]:
+        """(first word, end, words covered) of the chains that cover ``least``, the best first, none across another."""
+        firsts: list[int] = []
+        ends: list[int] = []
+        out: list[tuple[int, int, int]] = []
+        for first, end, _, cover in sorted((n for n in self.nodes if n[3] >= least), key=lambda n: (-n[3], n[1], -n[0])):
+            i = bisect.bisect_right(firsts, first)
+            if (i and ends[i - 1] > first) or (i < len(firsts) and firsts[i] < end):
+                continue
+            firsts.insert(i, first)
+            ends.insert(i, end)
+            out.append((first, end, cover))
+        return out
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,end:long,cover:double>>"

@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 
@@ -24,19 +25,87 @@ def test_base_labels_against_brute_force(spark):
         assert labels <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
 
 
-def test_matching_statistics_against_brute_force():
+def maximal(sequences, text, least):
+    """All (end, template, end in it, length) of matches that no word lengthens on either side, by comparing all places."""
+    out = set()
+    for t, s in enumerate(sequences):
+        for i in range(len(text)):
+            for j in range(len(s)):
+                if i and j and text[i - 1] == s[j - 1]:
+                    continue
+                n = 0
+                while i + n < len(text) and j + n < len(s) and text[i + n] == s[j + n]:
+                    n += 1
+                if n >= least:
+                    out.add((i + n - 1, t, j + n - 1, n))
+    return out
+
+
+def test_matches_against_brute_force():
     rng = np.random.default_rng(3)
-    for _ in range(40):
-        sequences = [rng.integers(0, 4, int(rng.integers(1, 9))).tolist() for _ in range(3)]
-        text = rng.integers(0, 5, 20).tolist()
-        a = licenses.Automaton(sequences)
-        inside = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
-        longest = [max((n for n in range(i + 2) if tuple(text[i + 1 - n : i + 1]) in inside or n == 0), default=0) for i in range(len(text))]
-        want = [(i, n) for i, n in enumerate(longest) if n >= 2 and (i + 1 == len(text) or longest[i + 1] <= n)]
-        got = list(a.matches(text, 2))
-        assert [(i, n) for i, n, _ in got] == want
-        for i, n, state in got:
-            assert {(t, e) for t, s in enumerate(sequences) for e in range(n - 1, len(s)) if s[e + 1 - n : e + 1] == text[i + 1 - n : i + 1]} == a.ends[state]
+    for _ in range(150):
+        sequences = [rng.integers(0, 4, int(rng.integers(1, 12))).tolist() for _ in range(3)]
+        text = rng.integers(0, 5, 25).tolist()
+        got = list(licenses.Automaton(sequences).matches(text, 2))
+        assert len(got) == len(set(got)) and set(got) == maximal(sequences, text, 2)
+        assert [x[0] for x in got] == sorted(x[0] for x in got)
+
+
+def best_chains(matches):
+    """Most words that a chain ending with each match covers, over all chains."""
+    out = []
+    for i, (first, stop, t_first, t_stop) in enumerate(matches):
+        best = stop - first
+        for (_, end, _, t_end), cover in zip(matches[:i], out, strict=True):
+            gain = stop - first - max(0, end - first, t_end - t_first)
+            if end >= first - licenses.MOST_GAP and gain > 0:
+                best = max(best, cover + gain)
+        out.append(best)
+    return out
+
+
+def test_chains_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        template = [int(x) for x in rng.integers(0, 12, 30)]
+        text = []
+        for w in template * 2:
+            if rng.random() < 0.85:
+                text.append(w)
+            if rng.random() < 0.2:
+                text.append(99)
+        found = sorted(maximal([template], text, licenses.LEAST_MATCH))
+        given = [(end + 1 - n, end + 1, t_end + 1 - n, t_end + 1) for end, _, t_end, n in found]
+        chains = licenses.Chains()
+        for m in given:
+            chains.add(*m)
+        want = best_chains(given)
+        assert [n[3] for n in chains.nodes] == want
+        apart = chains.apart(10)
+        assert max((c for *_, c in apart), default=0) == max((c for c in want if c >= 10), default=0)
+        assert all(x[1] <= y[0] or y[1] <= x[0] for i, x in enumerate(apart) for y in apart[:i])
+
+
+def test_stray_words_at_any_joints_lose_no_template():
+    parts = [[f"{k}{i}" for i in range(10)] for k in "pqr"]
+    joint = ["xx", "yy", "zz"]
+    template = [*parts[0], *joint, *parts[1], *joint, *parts[2]]
+    scanner = licenses.Scanner([("own", " ".join(template))])
+    for pattern in range(16):
+        text = []
+        for k, piece in enumerate([parts[0], joint, parts[1], joint, parts[2]]):
+            text += piece + (["stray"] if k < 4 and pattern >> k & 1 else [])
+        assert [s[0] for s in scanner.spans([w.encode() for w in text])] == ["own"], pattern
+        assert scanner.spans([w.encode() for w in text])[0][3] == 1.0
+
+
+def test_long_texts_of_hits_take_linear_time():
+    began = time.time()
+    scanner = licenses.Scanner()
+    words = licenses.words_of("cc by " * 1_000_000)
+    assert len(scanner.base(words)[0]) == 1_000_000 and scanner.spans(words) == []
+    assert len(scanner.spans(licenses.words_of("released under the mit license " * 100_000))) >= 100_000
+    assert time.time() - began < 60
 
 
 def test_spans_survive_edits():
