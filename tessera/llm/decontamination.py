@@ -1,9 +1,14 @@
-"""Benchmark decontamination: CGK embeddings of item-sized windows, bit-sampling LSH, exact edit verification."""
+"""Benchmark decontamination: CGK embeddings of item-sized windows, bit-sampling LSH, exact edit verification.
+
+All items are one index, whatever their number (blocks of WORDS words, for one scan of the corpus each), which is built
+on the driver and broadcast. Windows are embedded only where an item can begin: an item of n words with at most k edits,
+cut into k + 1 pieces, keeps a piece as it is, so windows around places where no piece of an item of their length stands
+hold no leak. This bound is exact.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +22,14 @@ EDITS = 0.2
 TABLES = 24
 BITS = 4
 SEED = 7919
-BLOCK = 400
+WORDS = 16 << 20
 SLICE = 8 << 20
 WALKS = 1 << 11
-COMMON = 4
-LEAST_RARE = 3
+SIEVE = 1 << 22
 
 
 class Index:
-    """The items of a block: words as numbers from 1, the walks' coins, and the LSH tables by length and repetition."""
+    """The items of a block: words as numbers from 1, the walks' coins, the pieces' hashes, and the LSH tables by length and repetition."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         split = [(i, w) for i, text in items if (w := tokens(text))]
@@ -35,37 +39,40 @@ class Index:
         self.by_size: dict[int, list[int]] = {}
         for n, (_, words) in enumerate(self.items):
             self.by_size.setdefault(len(words), []).append(n)
-        self.longest = max(self.by_size, default=0)
+        longest = max(self.by_size, default=0)
         rng = np.random.default_rng(SEED)
-        #: coins[step][table, word]: whether a walk moves on. picks[table]: which share of its steps are sampled.
-        self.coins = rng.integers(0, 2, (2 * self.longest, TABLES, len(self.vocabulary) + 1), np.uint8)
+        #: A walk's coin for (step, table, word) is the top bit of the word's hash times an odd number of (step, table).
+        self.hashes = mix(np.arange(len(self.vocabulary) + 1, dtype=np.uint64) + np.uint64(SEED))
+        self.odd = rng.integers(0, 1 << 63, (2 * longest, TABLES), np.uint64) * np.uint64(2) + np.uint64(1)
+        #: picks[table]: which share of a walk's steps are sampled.
         self.picks = np.sort(rng.random((TABLES, BITS)), axis=1)
-        self.needs = self._needs()
-        self.tables: list[dict[int, list[int]]] = [{} for _ in range(TABLES)]
+        self.pieces = self._pieces()
+        hashed = np.zeros((len(self.items), TABLES), np.uint64)
         for size, members in self.by_size.items():
-            hashes = self.sampled(np.stack([self.items[n][1] for n in members]), np.full(len(members), size))
-            for n, row in zip(members, hashes.tolist(), strict=True):
-                for table, h in zip(self.tables, row, strict=True):
-                    table.setdefault(h, []).append(n)
-        self.keys = [np.array(sorted(t), np.uint64) for t in self.tables]
-
-    def _needs(self) -> list[tuple[int, int, np.ndarray, int]]:
-        """(span, words needed in it, words that count, length) for the items of each length.
-
-        A stretch within the budget has all but that many of an item's words, and so of those that few other items have
-        too; by these the items are counted, or by all words if they have hardly any such.
-        """
-        common = np.bincount(np.concatenate([np.unique(w) for _, w in self.items]), minlength=len(self.vocabulary) + 1) >= COMMON if self.items else np.zeros(1, bool)
-        groups: dict[tuple[bool, int], tuple[int, np.ndarray]] = {}
-        for _, words in self.items:
-            size = len(words)
-            own, few = words[~common[words]], False
-            if len(own) - budget(size) < LEAST_RARE:
-                own, few = words, True
-            need, known = groups.setdefault((few, size), (size, np.zeros(len(self.vocabulary) + 1, np.uint8)))
-            known[own] = 1
-            groups[few, size] = min(need, len(own) - budget(size)), known
-        return [(size + budget(size), need, known, size) for (_, size), (need, known) in sorted(groups.items(), key=lambda x: x[0])]
+            for at in range(0, len(members), WALKS):
+                some = members[at : at + WALKS]
+                hashed[some] = self.sampled(np.stack([self.items[n][1] for n in some]), np.full(len(some), size))
+        order = np.argsort(hashed, axis=0, kind="stable")
+        self.tables = [(hashed[order[:, t], t], order[:, t].astype(np.int32)) for t in range(TABLES)]
+
+    def _pieces(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Words of a piece to (its hash, sorted, the item's length, the piece's place in the item), each triple once, and a sieve of the hashes."""
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for size, members in self.by_size.items():
+            k = budget(size)
+            width = size // (k + 1)
+            words = np.stack([self.items[n][1] for n in members])
+            for place in range(0, width * (k + 1), width):
+                keys = np.unique(run_hashes(self.hashes[words[:, place : place + width]], width)[:, 0])
+                found.setdefault(width, []).append((keys, np.full(len(keys), size, np.int32), np.full(len(keys), place, np.int32)))
+        out = {}
+        for width, parts in found.items():
+            keys, sizes, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(keys, kind="stable")
+            sieve = np.zeros(SIEVE, bool)
+            sieve[(keys % np.uint64(SIEVE)).astype(np.int64)] = True
+            out[width] = keys[order], sizes[order], places[order], sieve
+        return out
 
     def sampled(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """For each row of words (``sizes`` of which count) and each table, a hash of BITS coordinates of its CGK embedding.
@@ -78,10 +85,16 @@ class Index:
         steps = 2 * int(sizes.max())
         base, flat = (np.arange(n, dtype=np.int32) * (width + 1))[:, None], padded.ravel()
         at, last = np.zeros((n, TABLES), np.int32), sizes[:, None].astype(np.int32)
-        read, lane = np.empty((steps, n, TABLES), np.int32), (np.arange(TABLES) * (len(self.vocabulary) + 1))[None, :]
+        read = np.empty((steps, n, TABLES), np.int32)
+        flips = self.hashes[flat]
         for step in range(steps):
-            word = read[step] = flat[base + at]
-            at = np.minimum(at + self.coins[step].ravel()[lane + word], last)
+            here = base + at
+            read[step] = flat[here]
+            coin = flips[here]
+            coin *= self.odd[step]
+            coin >>= np.uint64(63)
+            at += coin.astype(np.int32)
+            np.minimum(at, last, out=at)
         out = np.repeat(mix(sizes.astype(np.uint64))[:, None], TABLES, axis=1)
         rows_, tables = np.arange(n)[:, None], np.arange(TABLES)[None, :]
         for pick in range(BITS):
@@ -89,6 +102,47 @@ class Index:
             out = mix(out ^ (read[step, rows_, tables].astype(np.uint64) + np.uint64(pick << 40)))
         return out
 
+    def windows(self, ids: np.ndarray, firsts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, length) of the windows that can hold an item: those around a piece, as far as the budget can move it."""
+        places, sizes = [], []
+        for width, (keys, lengths, offsets, sieve) in self.pieces.items():
+            if len(ids) < width:
+                continue
+            run = run_hashes(self.hashes[ids][None, :], width)[0]
+            might = np.flatnonzero(sieve[(run % np.uint64(SIEVE)).astype(np.int64)])
+            might = might[might + width <= ends[might]]
+            low, high = np.searchsorted(keys, run[might], "left"), np.searchsorted(keys, run[might], "right")
+            n = high - low
+            which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            begin, size = np.repeat(might, n) - offsets[which], lengths[which]
+            owner = np.repeat(might, n)
+            places.append(begin)
+            sizes.append(np.stack([size, owner], 1) if len(size) else np.zeros((0, 2), np.int64))
+        if not places:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        begin, both = np.concatenate(places), np.concatenate(sizes)
+        size, owner = both[:, 0].astype(np.int64), both[:, 1].astype(np.int64)
+        if not len(begin):
+            return begin.astype(np.int64), size
+        # Beginnings near one another, for items of one length and in one document, share their windows.
+        top = int(size.max()) + 1
+        key = np.unique((np.maximum(begin, firsts[owner])) * top + size)
+        begin, size = key // top, key % top
+        k = (EDITS * size).astype(np.int64)
+        number = np.repeat(begin - k, 2 * k + 1) + np.arange((2 * k + 1).sum()) - np.repeat(np.cumsum(2 * k + 1) - (2 * k + 1), 2 * k + 1)
+        size, low, high = np.repeat(size, 2 * k + 1), np.repeat(firsts[begin], 2 * k + 1), np.repeat(ends[begin], 2 * k + 1)
+        inside = (number >= low) & (number < high)
+        key = np.unique(number[inside] * top + size[inside])
+        return key // top, key % top
+
+
+def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the ``width`` words from each place of each row of word hashes."""
+    out = words[:, : words.shape[1] - width + 1].copy()
+    for i in range(1, width):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[:, i : words.shape[1] - width + 1 + i])
+    return out
+
 
 def budget(size: int) -> int:
     """Edits that an item of ``size`` words may have."""
@@ -114,23 +168,14 @@ def edits(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int, int] |
 def leaks_of(ids: np.ndarray, doc: np.ndarray, index: Index) -> dict[int, dict[int, tuple[tuple[int, int], int]]]:
     """Row to (item to (distance, first word in ``ids``), places) for the documents that ``doc`` numbers.
 
-    Windows with fewer words than any item of their length needs hold no leak and are passed over; all others are embedded.
+    Windows away from any piece of an item of their length hold no leak and are passed over; all others are embedded.
     """
     found: dict[int, dict[int, tuple[tuple[int, int], int]]] = {}
     if not len(ids) or not index.items:
         return found
     counts = np.bincount(doc)
     ends, firsts = np.repeat(np.cumsum(counts), counts), np.repeat(np.cumsum(counts) - counts, counts)
-    places, sizes = [], []
-    sums = np.zeros(len(ids) + 2 * index.longest + 1, np.int32)
-    for span, least, own, length in index.needs:
-        np.cumsum(own[ids], out=sums[1 : len(ids) + 1])
-        sums[len(ids) + 1 :] = sums[len(ids)]
-        might = np.flatnonzero(sums[span : span + len(ids)] - sums[: len(ids)] >= least)
-        keep = might[sums[np.minimum(might + span, ends[might])] - sums[might] >= least]
-        places.append(keep)
-        sizes.append(np.full(len(keep), length))
-    place, size = np.concatenate(places), np.concatenate(sizes)
+    place, size = index.windows(ids, firsts, ends)
     seen: set[tuple[int, int]] = set()
     for i in range(0, len(place), WALKS):
         at, width = place[i : i + WALKS], size[i : i + WALKS]
@@ -138,9 +183,10 @@ def leaks_of(ids: np.ndarray, doc: np.ndarray, index: Index) -> dict[int, dict[i
         rows = np.where(wide < ends[at][:, None], ids[np.minimum(wide, len(ids) - 1)], 0)
         hashes = index.sampled(rows, width)
         pairs: set[tuple[int, int]] = set()
-        for r, table in enumerate(index.tables):
-            for j in np.flatnonzero(np.isin(hashes[:, r], index.keys[r])):
-                pairs.update((int(at[j]), n) for n in table[int(hashes[j, r])])
+        for r, (keys, order) in enumerate(index.tables):
+            low, high = np.searchsorted(keys, hashes[:, r], "left"), np.searchsorted(keys, hashes[:, r], "right")
+            for j in np.flatnonzero(high > low):
+                pairs.update((int(at[j]), n) for n in order[low[j] : high[j]].tolist())
         for start, n in sorted(pairs):
             item = index.items[n][1]
             length, k = len(item), budget(len(item))
@@ -168,53 +214,69 @@ def numbered(texts: list[str | None], index: Index) -> tuple[np.ndarray, np.ndar
     return np.array(ids, np.int32), np.repeat(np.arange(len(texts)), counts)
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of ``most``: a block's size is bounded, whatever the number of items."""
+def indexes(benchmark: DataFrame, most: int = WORDS) -> Iterator[Index]:
+    """Indexes of the items, each of ``most`` words (some 100,000 items) or one item at least: a bounded part passes through the driver."""
     block: list[tuple[int, str | None]] = []
-    for r in benchmark.where("item_id IS NOT NULL").select("item_id", "text").toLocalIterator():
+    held = 0
+    for r in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
         block.append((r["item_id"], r["text"]))
-        if len(block) == most:
-            yield block
-            block = []
+        held += r["text"].count(" ") + 1
+        if held >= most:
+            yield Index(block)
+            block, held = [], 0
     if block:
-        yield block
+        yield Index(block)
 
 
 OUT = "doc_id long, item_id long, distance int, first_word int, places int"
+Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def found(docs: DataFrame, benchmark: DataFrame, most: int = WORDS) -> DataFrame:
     """doc_id, item_id, distance (word edits), first_word and places for each item that a row of ``docs`` contains.
 
     A document contains an item if a stretch of it is within budget(item's words) word edits, case and punctuation
     aside. Items without words match nothing, as do null and empty texts; repeated rows are each reported; items with
-    the same id are matched apart. No items, or no documents, give no rows. Items are handled in blocks.
+    the same id are matched apart. No items, or no documents, give no rows. ``docs`` is read once for each ``most``
+    words of items.
     """
+    context = docs.sparkSession.sparkContext
+
+    def scanner(index: Index) -> Scan:
+        shared = context.broadcast(index)
 
-    def scanner(items: list[tuple[int, str | None]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(items)
+            index = shared.value
             for b in slices(batches, SLICE):
                 ids, doc = numbered(b.column("text").to_pylist(), index)
                 first = np.searchsorted(doc, np.arange(b.num_rows))
                 rows = [(d, index.items[n][0], near[0], near[1] - int(first[d]), places) for d, here in leaks_of(ids, doc, index).items() for n, (near, places) in here.items()]
                 if rows:
                     d, item, distance, word, places = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(word, pa.int32()), pa.array(places, pa.int32())], names=["doc_id", "item_id", "distance", "first_word", "places"])
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("doc_id").take(pa.array(d)), pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(word, pa.int32()), pa.array(places, pa.int32())],
+                        names=["doc_id", "item_id", "distance", "first_word", "places"],
+                    )
 
         return run
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = [slim.mapInArrow(scanner(items), OUT) for items in blocks(benchmark)]
-    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], OUT)
+    out = docs.sparkSession.createDataFrame([], OUT)
+    for i, index in enumerate(indexes(benchmark, most)):
+        part = slim.mapInArrow(scanner(index), OUT)
+        out = part if i == 0 else out.unionByName(part)
+    return out
+
 
+def clean(docs: DataFrame, benchmark: DataFrame, most: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` that contain no item, with all their columns; no text is shuffled, and ``docs`` is read once."""
+    context = docs.sparkSession.sparkContext
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns; no text is shuffled."""
+    def scanner(index: Index) -> Scan:
+        shared = context.broadcast(index)
 
-    def scanner(items: list[tuple[int, str | None]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(items)
+            index = shared.value
             for b in slices(batches, SLICE):
                 hit = np.zeros(b.num_rows, bool)
                 hit[list(leaks_of(*numbered(b.column("text").to_pylist(), index), index))] = True
@@ -222,6 +284,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    for items in blocks(benchmark):
-        docs = docs.mapInArrow(scanner(items), docs.schema)
+    for index in indexes(benchmark, most):
+        docs = docs.mapInArrow(scanner(index), docs.schema)
     return docs

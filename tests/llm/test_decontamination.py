@@ -67,3 +67,38 @@ def test_odd_tables(spark):
     assert dc.clean(docs, items).count() == 2
     assert dc.clean(docs, items).columns == docs.columns
     assert dc.found(docs, items.limit(0)).count() == 0 and dc.found(docs.limit(0), items).count() == 0
+
+
+def test_windows_cover_every_leak():
+    """The pass over pieces is exact: a stretch within the budget has a window within it, whatever the edits."""
+    rng = np.random.default_rng(9)
+    items = [(i, " ".join(words(rng, int(rng.integers(1, 45)), 60))) for i in range(50)]
+    index = dc.Index(items)
+    for n, (_, text) in enumerate(items):
+        item = text.split()
+        k = dc.budget(len(item))
+        for _ in range(6):
+            before, own = words(rng, int(rng.integers(0, 30)), 300), edited(rng, item, k)
+            ids, doc = dc.numbered([" ".join(before + own + words(rng, 10, 300))], index)
+            start, size = index.windows(ids, np.zeros(len(ids), np.int64), np.full(len(ids), len(ids)))
+            near = [int(s) for s, z in zip(start, size, strict=True) if z == len(item)]
+            assert any(abs(s - len(before)) <= k for s in near) or not own
+
+
+def test_items_in_blocks_are_found_alike(spark):
+    rng = np.random.default_rng(10)
+    items = spark.createDataFrame([(i, " ".join(words(rng, 20, 400))) for i in range(30)] + [(30, "single")], "item_id long, text string")
+    texts = [r.text for r in items.collect()]
+    docs = spark.createDataFrame([(d, " ".join(words(rng, 30, 400) + [texts[d % 31]] + words(rng, 9, 400))) for d in range(60)], "doc_id long, text string")
+    rows = lambda most: sorted(map(tuple, dc.found(docs, items, most).collect()))
+    whole = rows(dc.WORDS)
+    assert {(d, i) for d, i, *_ in whole} >= {(d, d % 31) for d in range(60)} and whole == rows(25)
+    assert dc.clean(docs, items, 25).count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(11)
+    item = " ".join(words(rng, 30, 400))
+    text = "filler " * 400_000 + item + " filler" * 400_000
+    got = dc.found(spark.createDataFrame([(1, text), (2, "filler " * 500_000)], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.distance, r.first_word) for r in got] == [(1, 5, 0, 400_000)]
