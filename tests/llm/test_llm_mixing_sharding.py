@@ -3,7 +3,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import mixing, registry, sharding
 
@@ -54,10 +56,38 @@ def test_mix_meets_its_targets(spark):
     assert mixing.report(docs.limit(0)).count() == 0
 
 
-def test_tilts_solve_the_dual(spark):
-    sized = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 10), (None, 500)], "source string, size long")
-    for r in mixing.targets(sized).collect():
-        assert r.rate * r.source_size == pytest.approx(r.target)
+def test_duals_meet_the_token_constraints(spark):
+    rng = np.random.default_rng(2)
+    sizes = {s: rng.integers(0, 400, n) for s, n in (("a", 50), ("b", 500), ("c", 7), (None, 90))}
+    sizes["d"] = np.array([1, 1, 1, 20_000])
+    sized = spark.createDataFrame([(s, int(x)) for s, v in sizes.items() for x in v], "source string, size long")
+    counts = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
+    for aims in ((0.001, 0.3, 0.9, 1.0, 1.2), (1.9, 1.999, 0.05, 1.5, 1e-5)):
+        aim = dict(zip(sizes, aims, strict=True))
+        rows = [(s, int(v.sum()), float((v * v).sum() / v.sum()), aim[s] * float(v.sum())) for s, v in sizes.items()]
+        by = spark.createDataFrame(rows, "source string, source_size long, mean double, target double")
+        for r in mixing.duals(by, counts).collect():
+            v = sizes[r.source]
+            rates = np.minimum(2.0, np.exp(np.minimum(r.lam * v / r.mean, 50)))
+            assert rates @ v == pytest.approx(r.target, rel=1e-9)
+            # Least relative entropy: the ratio of log rates to sizes is one number for all documents below the ceiling.
+            inner = (v > 0) & (rates < 2) & (rates > 1e-300)
+            assert np.allclose(np.log(rates[inner]) / v[inner], r.lam / r.mean, rtol=1e-6, atol=1e-12)
+
+
+def test_null_and_repeated_ids_are_taken_row_by_row(spark):
+    rows = [(None, f"n{i} " + "word " * 9, "a") for i in range(100)] + [(i, "word " * 10, "b") for i in range(100)] + [(7, "same " * 10, "c")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.report(docs).collect()
+    taken = Counter()
+    for r in got:
+        taken[round(r.target, 3)] += r.taken
+    assert len(got) == 300 and all(abs(words - target) <= 10 for target, words in taken.items())
+    assert sum(taken.values()) == pytest.approx(4500, abs=30)
+    again = mixing.mixed(docs)
+    assert Counter(r.source for r in again.collect()).total() == sum(r.copies for r in got)
+    ids = Counter(r.source for r in again.collect())
+    assert abs(10 * ids["c"] - 5000 / 3) <= 10  # the ceiling of a, 2000 words, leaves 2500 to b and c
 
 
 def check_shards(rows, n):
