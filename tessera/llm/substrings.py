@@ -10,7 +10,8 @@ one row, about one for 39 bytes.
    one task, which numbers all strings of 8 bytes and then, doubling, sorts unsettled strings by the bucket numbers at
    their start and at a later offset, until strings of LENGTH bytes are told apart. Numbers of shorter strings are reused
    at each step, and a string alone in its bucket is settled.
-   Where more than MOST_TOGETHER runs share a gram, they are not put into one task; their strings are grouped.
+   Buckets of more than MOST_TOGETHER runs are first refined into narrower ones, of strings whose anchor stands in half
+   as many places and which so share a longer stretch, again and again; in the last, all strings are equal.
 3. The starts found are put together by document, and the bytes they cover are removed.
 """
 
@@ -35,6 +36,7 @@ SLICE = 1 << 17
 CHUNK_BITS = 1 << 16
 CHUNK = 2 << 20
 MOST_TOGETHER = 50_000
+WIDTHS = 16, 8, 4, 2, 1
 NO_DOC = -(1 << 63)
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -256,8 +258,11 @@ def _mark(n_marks: int, gram: np.ndarray, whole: np.ndarray, doc: np.ndarray, pl
     return mix(gram.view(np.uint64) + mix(whole.view(np.uint64) + mix(doc.view(np.uint64) + place.view(np.uint64)))) & np.uint64(n_marks - 1)
 
 
+CONTEXT = "bucket long, doc long, place long, ahead int, text binary"
+
+
 def contexts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The texts of the chosen runs, (gram, bucket, doc, place of the first byte, text): strings left and right of the middle apart."""
+    """The texts of the chosen runs (CONTEXT: place of the first byte, and how far ahead the anchor is): strings left and right of the middle apart."""
 
     n_marks = 1 << min(29, max(20, int(32 * max(1, chosen.count())).bit_length()))
     words = CHUNK_BITS // 64
@@ -302,9 +307,11 @@ def contexts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 shared_text = r.stretch(a - HALF, a + GRAM) if left else r.stretch(a, a - HALF + 1 + LENGTH)
                 first, end = a - high[i], a - low[i] + LENGTH
                 texts = [r.data[x:y].tobytes() for x, y in zip(first.tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(r.gram[i].view(np.int64)), pa.array((shared_text ^ _C[int(left)]).view(np.int64)), pa.array(docs_[r.row[i]]), pa.array(_packed(first - base[i], check[i])), pa.array(texts, pa.binary())], names=["gram", "bucket", "doc", "place", "text"])
+                bucket = mix(shared_text ^ _C[int(left)]).view(np.int64)
+                columns = [pa.array(bucket), pa.array(docs_[r.row[i]]), pa.array(_packed(first - base[i], check[i])), pa.array(high[i].astype(np.int32)), pa.array(texts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "doc", "place", "ahead", "text"])
 
-    return docs.mapInArrow(run, "gram long, bucket long, doc long, place long, text binary")
+    return docs.mapInArrow(run, CONTEXT)
 
 
 def refine(data: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -378,37 +385,62 @@ def refined(texts: DataFrame) -> DataFrame:
     return texts.select("bucket", "doc", "place", "text").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, place long, size long")
 
 
-def crowded(texts: DataFrame) -> DataFrame:
-    """doc, place and size of the starts that are repeats, for runs that are too many for a task.
+def narrowed(texts: DataFrame, large: DataFrame, width: int) -> DataFrame:
+    """The texts of the ``large`` buckets in buckets of strings whose anchor stands in ``width`` places.
 
-    Every string becomes a row under a 128-bit hash; the earliest of each is found by a grouping, which sums up before
-    the shuffle, and those that are not it are joined back, so that they meet nowhere.
+    Strings of a bucket are refined by the hash of what all strings share whose anchors stand in these places: it is
+    longer than before, and whole strings at a width of 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts_, doc, place = b.column("text").to_pylist(), b.column("doc").to_numpy(), b.column("place").to_numpy()
-            counts = np.array([len(x) - LENGTH + 1 for x in texts_], np.int64)
-            keys = [hashlib.blake2b(x[i : i + LENGTH], digest_size=16).digest() for x in texts_ for i in range(len(x) - LENGTH + 1)]
-            offset = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.repeat(doc, counts)), pa.array(np.repeat(place, counts) + (offset << 30))], names=["string", "doc", "place"])
-
-    strings = texts.mapInArrow(run, "string binary, doc long, place long")
-    first = strings.groupBy("string").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("string").alias("s"), "first")
-    both = strings.join(first, F.col("string") == F.col("s")).where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place")))
+            out: dict[str, list] = {k: [] for k in ("bucket", "doc", "place", "ahead", "text")}
+            for bucket, doc, place, ahead, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "doc", "place", "ahead", "text")), strict=True):
+                low = ahead - (len(text) - LENGTH)  # the anchor stands low to ahead bytes into the strings
+                for k in range(low // width * width, ahead + 1, width):
+                    first, last = min(ahead, k + width - 1), max(low, k)
+                    # All strings of these places have the bytes from k before the anchor to what the one that begins first has.
+                    shared = text[ahead - k : ahead - (k + width - 1) + LENGTH]
+                    key = hashlib.blake2b(shared, digest_size=8, key=b"%d %d %d" % (bucket, k, width)).digest()
+                    out["bucket"].append(int.from_bytes(key, "little", signed=True))
+                    out["doc"].append(doc)
+                    out["place"].append(place + ((ahead - first) << 30))
+                    out["ahead"].append(first)
+                    out["text"].append(text[ahead - first : ahead - last + LENGTH])
+            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["place"], pa.int64()), pa.array(out["ahead"], pa.int32()), pa.array(out["text"], pa.binary())], names=list(out))
+
+    return texts.join(large, F.col("bucket") == F.col("large"), "left_semi").mapInArrow(run, CONTEXT)
+
+
+def alike(strings: DataFrame) -> DataFrame:
+    """doc, place and size of all but the earliest of equal strings; the earliest are found before anything is shuffled."""
+    first = strings.groupBy("text").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("text").alias("t"), "first")
+    both = strings.join(first, F.col("text") == F.col("t")).where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place")))
     return both.select("doc", "place", F.lit(1).cast("long").alias("size"))
 
 
+def _large(rows: DataFrame, key: str) -> DataFrame:
+    return written(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > MOST_TOGETHER).select(F.col(key).alias("large")), "substring-large")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, place and size: the stretches of starts of strings of LENGTH bytes that also start earlier. ``docs`` has doc_id and text, no null."""
     first = written(bucketed(runs_of(docs)), "substring-buckets")
     chosen = first.where("kind = 2")
-    large = written(chosen.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > MOST_TOGETHER).select(F.col("gram").alias("large")), "substring-large")
-    texts, on = contexts(docs, chosen), F.col("gram") == F.col("large")
     found = first.where("kind = 1").select("doc", "place", "size")
+    large, on = _large(chosen, "gram"), F.col("gram") == F.col("large")
     if not large.head(1):
-        return found.unionByName(refined(texts))
-    return found.unionByName(refined(texts.join(large, on, "left_anti"))).unionByName(crowded(texts.join(large, on, "left_semi")))
+        return found.unionByName(refined(contexts(docs, chosen)))
+    found = found.unionByName(refined(contexts(docs, chosen.join(large, on, "left_anti"))))
+    texts = contexts(docs, chosen.join(large, on, "left_semi"))
+    for width in WIDTHS:
+        texts = written(texts, "substring-contexts")
+        large = _large(texts, "bucket")
+        found = found.unionByName(refined(texts.join(large, F.col("bucket") == F.col("large"), "left_anti")))
+        if not large.head(1):
+            return found
+        texts = narrowed(texts, large, width)
+    return found.unionByName(alike(texts))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

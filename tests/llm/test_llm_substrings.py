@@ -63,13 +63,33 @@ def test_small_batches(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(ss, "MOST_TOGETHER", 2)
-    docs = corpus(5)
+@pytest.mark.parametrize("most", [2, 5])
+def test_large_buckets_are_refined_in_steps(spark, monkeypatch, most):
+    monkeypatch.setattr(ss, "MOST_TOGETHER", most)
+    docs = corpus(5 + most)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in ss.cleaned(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     assert got == brute(docs)
 
 
+def test_narrowed_buckets_keep_every_string_and_part_unequal_ones(spark):
+    rng = np.random.default_rng(1)
+    rows, strings = [], []
+    for d in range(12):
+        ahead, low = int(rng.integers(40, 77)), int(rng.integers(0, 40))
+        text = bytes(rng.integers(97, 99, ahead - low + 100).astype(np.uint8)) if d % 3 else b"a" * (ahead - low + 100)
+        rows.append((7, d, 1000 << 30, ahead, text))
+        strings += [(d, 1000 + i, text[i : i + 100]) for i in range(ahead - low + 1)]
+    texts, large = spark.createDataFrame(rows, ss.CONTEXT), spark.createDataFrame([(7,)], "large long")
+    for width in ss.WIDTHS:
+        out = ss.narrowed(texts, large, width).collect()
+        got = [(r.doc, (r.place >> 30) + i, bytes(r.text[i : i + 100]), r.bucket, r.ahead - i) for r in out for i in range(len(r.text) - 99)]
+        assert sorted(x[:3] for x in got) == sorted(strings)
+        buckets, of = {}, {}
+        for *_, string, bucket, at in got:
+            assert buckets.setdefault((string, at), bucket) == bucket  # equal strings at equal anchors stay together
+            assert width > 1 or of.setdefault(bucket, (string, at)) == (string, at)
+
+
 def test_refinement_numbers_equal_strings_alike():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 400).astype(np.uint8)
