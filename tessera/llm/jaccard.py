@@ -5,12 +5,17 @@ How it goes, with sets of 64-bit hashes of word shingles:
 1. Equal sets meet in one class; only its smallest doc_id (the representative) is searched for.
 2. A shared order of shingles puts frequent ones last. Two sets that link share a shingle among the first
    n - ceil(similar n) + 1 of each, so these are indexed, and a class's candidates stand in the lists of its own.
-3. A list is cut where sizes are too far apart to link; what is left of it belongs to its smallest representative, and
-   all lists of one are a unit of search (in blocks, if it is large). So near copies, which share most lists, meet once
-   or a few times and not once for each list.
-4. In a unit, documents whose hashes' histograms leave no partner possible are dropped (an exact bound); the T-occurrence
-   search then links the others. What a unit has put into one component needs no further link, so a unit gives fewer
-   links than it has documents and no pairs are ever made.
+3. A list is cut where sizes are too far apart to link; what is left of it belongs to its smallest representative, the
+   pivot, and all lists of one are searched together. So near copies, which share most lists, meet once or a few times
+   and not once for each list. Lists of very many documents (found in a sample; either way gives the same links) are
+   not sorted: they get their pivot by a broadcast and a grouping.
+4. A pivot of up to BLOCK documents is one unit of search. In a unit, documents whose hashes' histograms leave no partner
+   possible are dropped (an exact bound); the T-occurrence search then links the others. What a unit has put into one
+   component needs no further link, so a unit gives fewer links than it has documents and no pairs are ever made.
+5. A larger pivot is dealt into blocks by a hash; one document of each component found goes into the next, smaller
+   round of blocks, until one block is left. Then the documents outside the pivot's largest component, the rest, meet
+   all its documents, block by block, and only those of other components can link. For a group of near copies the rest
+   is empty or small, so the work grows with the group's size; it is quadratic in blocks only for a rest that stays large.
 """
 
 from __future__ import annotations
@@ -35,7 +40,8 @@ HOT_LEAST = 3
 HOT_MOST = 500_000
 DIVIDE = 0.01
 BLOCK = 1024
-MARKS = 1 << 23
+MOST_MARKS = 1 << 27
+LONG_LIST = 20_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -154,8 +160,8 @@ def sketch_of(hashes: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((hashes >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells), 255).astype(np.uint8)
 
 
-def partnered(sizes: np.ndarray, sketches: list[np.ndarray], similar: int = SIMILAR) -> np.ndarray:
-    """Flags the documents (in the order of size) whose histograms leave a link with another possible.
+def partnered(sizes: np.ndarray, sketches: list[np.ndarray], similar: int = SIMILAR, groups: np.ndarray | None = None) -> np.ndarray:
+    """Flags the documents (in the order of size) whose histograms leave a link with another (of another group, if given) possible.
 
     Of two histograms the finer is summed to the coarser's cells; what is beyond 255 in a cell adds to the bound.
     """
@@ -175,31 +181,40 @@ def partnered(sizes: np.ndarray, sketches: list[np.ndarray], similar: int = SIMI
             others = rows[x:y]
             bound = np.minimum(table[x:y], mine).sum(1, dtype=np.int64) + np.minimum(extra[others], extra[i])
             good = (100 + similar) * bound >= similar * (sizes[others] + sizes[i])
+            if groups is not None:
+                good &= groups[others] != groups[i]
             if good.any():
                 out[i] = True
                 out[others[good]] = True
     return out
 
 
-def t_occurrences(sets: list[np.ndarray], similar: int = SIMILAR) -> list[tuple[int, int]]:
-    """Links (i, j) that make the components of ``sets`` (sorted hashes, in the order of size, none empty).
+def t_occurrences(sets: list[np.ndarray], similar: int = SIMILAR, groups: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links, labels): links (i, j) that make the components of ``sets`` (sorted hashes, in the order of size, none empty), and those.
 
-    A set's query takes the inverted lists of its shingles. The longest are put aside; the others are merged
-    (concatenated and counted, the array form of a heap's merge), and only sets with enough occurrences there to reach
-    their threshold with the help of all long lists are probed for the rest, by binary search, the likeliest first. Sets
-    that stand in the query's component by then are passed over.
+    Sets of one of ``groups``, if given, are of one component already. A set's query takes the inverted lists of its
+    shingles, by DivideSkip: the longest are put aside; the others are merged (concatenated and counted, the array form
+    of a heap's merge), and for sets with enough occurrences there to reach their threshold with the help of all long
+    lists these are probed by binary search, the likeliest first. Sets that stand in the query's component by then are
+    passed over.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    tokens = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    sizes, n_sets = np.array([len(s) for s in sets], np.int64), len(sets)
+    tokens = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int64)
     own = np.split(tokens, np.cumsum(sizes)[:-1])
-    lists = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[np.argsort(tokens, kind="stable")]
+    # All lists in one array, each in the order of its sets.
+    entries = np.sort(tokens * n_sets + np.repeat(np.arange(n_sets), sizes))
+    lists = (entries % n_sets).astype(np.int32)
     lengths = np.bincount(tokens)
     ends = np.cumsum(lengths)
-    parent = np.arange(len(sets))
+    if groups is None:
+        parent = np.arange(n_sets)
+    else:
+        _, head, inverse = np.unique(groups, return_index=True, return_inverse=True)
+        parent = head[inverse]
     out: list[tuple[int, int]] = []
-    for i in range(1, len(sets)):
+    for i in range(1, n_sets):
         low = int(np.searchsorted(sizes[:i], least_overlap(int(sizes[i]), similar)))
-        if low == i:
+        if low == i or (parent[low:i] == parent[i]).all():
             continue
         need = -(-similar * (sizes[low:i] + sizes[i]) // (100 + similar))
         mine = own[i][np.argsort(lengths[own[i]], kind="stable")]
@@ -212,35 +227,47 @@ def t_occurrences(sets: list[np.ndarray], similar: int = SIMILAR) -> list[tuple[
         for j in (alive[np.argsort(-count[alive], kind="stable")] + low).tolist():
             if parent[j] == parent[i]:
                 continue
-            where = np.minimum(np.searchsorted(own[j], long), len(own[j]) - 1)
-            if count[j - low] + int((own[j][where] == long).sum()) >= need[j - low]:
+            probes = long * n_sets + j
+            hits = entries[np.minimum(np.searchsorted(entries, probes), len(entries) - 1)] == probes
+            if count[j - low] + int(hits.sum()) >= need[j - low]:
                 out.append((i, j))
                 a, b = sorted((parent[i], parent[j]))
                 parent[parent == b] = a
-    return out
+    return out, parent
+
+
+UNIT = "unit long, rep long, n long, pivot long, known long"
 
 
-def links(units: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, similar: int) -> DataFrame:
-    """Links (a, b) within the units (unit, rep, n) that make the components; only sets of possible partners are made anew."""
+def searched(units: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, similar: int) -> DataFrame:
+    """(a, b, pivot, n): links within the units that make the components; only sets of possible partners are made anew.
+
+    ``units`` has UNIT: documents of one ``known`` component need no link. Where a unit is a part of a large pivot, a row
+    with a = b (and its size n) stands for each component found.
+    """
     spark = docs.sparkSession
+    names = ["unit", "rep", "n", "pivot", "known"]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
-        for unit, (reps, sizes, cells) in _grouped(batches, ("rep", "n", "sketch")):
-            good = partnered(np.array(sizes, np.int64), [np.frombuffer(x, np.uint8) for x in cells], similar)
-            out += [(unit, reps[i], sizes[i]) for i in np.flatnonzero(good)]
+        out: list[tuple] = []
+        for unit, (reps, sizes, cells, pivots, known) in _grouped(batches, ("rep", "n", "sketch", "pivot", "known")):
+            good = partnered(np.array(sizes, np.int64), [np.frombuffer(x, np.uint8) for x in cells], similar, np.array(known, np.int64))
+            out += [(unit, reps[i], sizes[i], pivots[i], known[i]) for i in np.flatnonzero(good)]
             if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["unit", "rep", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=names)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["unit", "rep", "n"])
-
-    rows = units.join(sketches, "rep").repartition("unit").sortWithinPartitions("unit", "n", "rep").select("unit", "rep", "n", "sketch")
-    members = written(rows.mapInArrow(keep, "unit long, rep long, n long"), "jaccard-members")
-    ids = members.select(F.col("rep").alias("id")).distinct()
-    # A bitmap of the ids, of fixed size, keeps other texts from being shuffled; those it lets through by chance do no harm.
-    marks = ids.select(F.pmod(F.xxhash64("id"), F.lit(MARKS)).alias("bit")).groupBy(F.floor(F.col("bit") / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 32).cast("int"))).alias("m")).toPandas()
-    bitmap = np.zeros(MARKS // 32, np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=names)
+
+    rows = units.join(sketches, "rep").repartition("unit").sortWithinPartitions("unit", "n", "rep").select(*names, "sketch")
+    members = written(rows.mapInArrow(keep, UNIT), "jaccard-members")
+    ids = written(members.select(F.col("rep").alias("id")).distinct(), "jaccard-ids")
+    # A bitmap of the ids keeps other texts from being shuffled; those it lets through by chance do no harm.
+    n_marks = min(MOST_MARKS, 1 << max(16, (16 * ids.count()).bit_length()))
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(n_marks))
+    bits = ids.select(mark("id").alias("bit")).groupBy(F.floor(F.col("bit") / 32).cast("int").alias("w"))
+    marks = bits.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 32).cast("int"))).alias("m")).toPandas()
+    bitmap = np.zeros(n_marks // 32, np.uint32)
     bitmap[marks["w"].to_numpy(np.int64)] = marks["m"].to_numpy(np.int64).astype(np.uint32)
     shared = spark.sparkContext.broadcast(bitmap)
 
@@ -251,20 +278,85 @@ def links(units: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, si
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([_ids(b), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), width)], pa.binary())], names=["rep", "hashes"])
 
-    sets = docs.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))).mapInArrow(make, "rep long, hashes binary")
+    sets = docs.withColumn("place", mark("doc_id")).mapInArrow(make, "rep long, hashes binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        for _, (reps, sizes, hashes) in _grouped(batches, ("rep", "n", "hashes")):
+        out: list[tuple] = []
+        for _, (reps, sizes, hashes, pivots, known) in _grouped(batches, ("rep", "n", "hashes", "pivot", "known")):
             sets_ = [np.frombuffer(x, np.uint64) for x in hashes]
             # A row that repeats an id with another text has a set of another size; its class is another.
             good = [i for i, (s, n) in enumerate(zip(sets_, sizes, strict=True)) if len(s) == n]
-            out += [(reps[good[i]], reps[good[j]]) for i, j in t_occurrences([sets_[i] for i in good], similar)] if len(good) > 1 else []
-        a, b = zip(*out, strict=True) if out else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if len(good) > 1:
+                found, labels = t_occurrences([sets_[i] for i in good], similar, np.array([known[i] for i in good], np.int64))
+                out += [(reps[good[i]], reps[good[j]], None, None) for i, j in found]
+                if pivots[0] is not None:
+                    heads, counts = np.unique(labels, return_counts=True)
+                    out += [(reps[good[i]], reps[good[i]], pivots[0], sizes[good[i]]) for i in heads[counts > 1].tolist()]
+        columns = zip(*out, strict=True) if out else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "pivot", "n"])
+
+    rows = members.join(sets, "rep").repartition("unit").sortWithinPartitions("unit", "n", "rep").select(*names, "hashes")
+    return written(rows.mapInArrow(search, "a long, b long, pivot long, n long"), "jaccard-links")
+
 
-    rows = members.join(sets, "rep").repartition("unit").sortWithinPartitions("unit", "n", "rep").select("unit", "rep", "n", "hashes")
-    return written(rows.mapInArrow(search, "a long, b long"), "jaccard-links")
+def pivots_of(classes: DataFrame, similar: int) -> DataFrame:
+    """(pivot, rep, n): the representatives that share a list, or a part of one, under its smallest."""
+    lists = classes.select("rep", "n", F.explode("prefix").alias("shingle"))
+    some = classes.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLE)) == 0).select(F.explode("prefix").alias("long"))
+    long = written(some.groupBy("long").agg(F.count("*").alias("_n")).where(F.col("_n") * SAMPLE > LONG_LIST).select("long"), "jaccard-long")
+    on = F.col("shingle") == F.col("long")
+    by_size = Window.partitionBy("shingle").orderBy("n", "rep")
+    far = F.coalesce(100 * F.lag("n").over(by_size) < similar * F.col("n"), F.lit(True)).cast("int")
+    cut = lists.join(long, on, "left_anti").withColumn("far", far).withColumn("run", F.sum("far").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("shingle", "run")
+    members = cut.withColumn("pivot", F.min("rep").over(run)).withColumn("together", F.count("*").over(run)).where("together > 1").select("pivot", "rep", "n")
+    if long.head(1):
+        in_long = lists.join(long, on).select("shingle", "rep", "n")
+        least = written(in_long.groupBy("shingle").agg(F.min("rep").alias("pivot")).withColumnRenamed("shingle", "s"), "jaccard-long-pivots")
+        members = members.unionByName(in_long.join(least, F.col("shingle") == F.col("s")).select("pivot", "rep", "n"))
+    return members.distinct()
+
+
+def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with their unit: UNIT, the large pivots and their numbers of blocks: p, k)."""
+    large = members.groupBy("pivot").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK).select(F.col("pivot").alias("p"), F.ceil(F.col("_n") / BLOCK).alias("k"))
+    large = written(large, "jaccard-large")
+    dealt = members.join(large, F.col("pivot") == F.col("p"), "left").withColumn("block", F.pmod(F.xxhash64("rep"), F.coalesce("k", F.lit(1))))
+    return dealt.select(F.xxhash64("pivot", "block").alias("unit"), "rep", "n", F.col("p").alias("pivot"), F.col("rep").alias("known")), large
+
+
+def rest_units(members: DataFrame, large: DataFrame, labels: DataFrame) -> DataFrame:
+    """UNIT rows in which the documents of large pivots that stand outside its largest component meet all of its documents."""
+    of = members.join(large, F.col("pivot") == F.col("p")).select("pivot", "rep", "n", "k")
+    of = written(of.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("known", F.coalesce("component", "rep")).drop("component"), "jaccard-known")
+    main = of.groupBy("pivot", "known").agg(F.count("*").alias("_n")).groupBy("pivot").agg(F.max(F.struct("_n", "known")).alias("_m"), F.sum("_n").alias("_all"))
+    main = written(main.select(F.col("pivot").alias("p"), F.col("_m.known").alias("main"), F.ceil((F.col("_all") - F.col("_m._n")) / BLOCK).alias("parts")).where("parts > 0"), "jaccard-main")
+    of = of.join(main, F.col("pivot") == F.col("p")).drop("p")
+    mine = F.pmod(F.xxhash64("rep"), F.col("k"))
+    both = of.select("pivot", "rep", "n", "known", mine.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    rest = of.where("known <> main").withColumn("part", F.pmod(F.xxhash64("rep", F.lit("rest")), F.col("parts")))
+    rest = rest.select("pivot", "rep", "n", "known", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("block"), "part")
+    rows = both.unionByName(rest).select(F.xxhash64("pivot", "block", "part", F.lit("rest")).alias("unit"), "rep", "n", F.lit(None).cast("long").alias("pivot"), "known")
+    return rows.distinct()
+
+
+def linked(classes: DataFrame, docs: DataFrame, width: int, similar: int) -> DataFrame:
+    """Links (a, b) of representatives that make the components of all links."""
+    sketches = classes.select("rep", "sketch")
+    members = written(pivots_of(classes, similar), "jaccard-pivots")
+    units, large = _blocks(members)
+    all_large, found = large, searched(written(units, "jaccard-units"), sketches, docs, width, similar)
+    links = found.select("a", "b")
+    if not all_large.head(1):
+        return links
+    while large.head(1):
+        heads = written(found.where("a = b").select("pivot", F.col("a").alias("rep"), "n"), "jaccard-heads")
+        units, large = _blocks(heads)
+        found = searched(written(units, "jaccard-units"), sketches, docs, width, similar)
+        links = links.unionByName(found.select("a", "b"))
+    labels = written(components(links, "jaccard-blocks"), "jaccard-labels")
+    units = written(rest_units(members, all_large, labels), "jaccard-units")
+    return links.unionByName(searched(units, sketches, docs, width, similar).select("a", "b"))
 
 
 def joined(docs: DataFrame, width: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -279,17 +371,7 @@ def joined(docs: DataFrame, width: int = WORDS, similar: int = SIMILAR) -> DataF
     sets = known.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(sets.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "jaccard-classes")
 
-    lists = classes.select("rep", "n", F.explode("prefix").alias("shingle"))
-    by_size = Window.partitionBy("shingle").orderBy("n", "rep")
-    far = F.coalesce(100 * F.lag("n").over(by_size) < similar * F.col("n"), F.lit(True)).cast("int")
-    lists = lists.withColumn("far", far).withColumn("run", F.sum("far").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy("shingle", "run")
-    lists = lists.withColumn("pivot", F.min("rep").over(run)).withColumn("together", F.count("*").over(run)).where("together > 1")
-    members = lists.select("pivot", "rep", "n").distinct()
-    here = Window.partitionBy("pivot")
-    members = members.withColumn("block", F.floor((F.row_number().over(here.orderBy("n", "rep")) - 1) / BLOCK)).withColumn("last", F.floor((F.count("*").over(here) - 1) / BLOCK))
-    units = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).select(F.xxhash64("pivot", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "rep", "n")
-    found = links(written(units, "jaccard-units"), classes.select("rep", "sketch"), docs, width, similar)
+    found = linked(classes, docs, width, similar)
 
     own = sets.select("doc_id", "n", "k1", "k2")
     same_id = own.distinct().groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id")
