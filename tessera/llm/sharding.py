@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import exact_rank, written
 
 SHARDS = 24
-ROUNDS = 10
-SLACK = 0.02
 BINS = 4096
 
 
@@ -18,13 +16,29 @@ def _unit(column: Column) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(1 << 30)) / float(1 << 30)
 
 
-def _propagate(pieces: DataFrame, n_rows: int, shards: int, rounds: int) -> DataFrame:
-    """Moves documents of a group towards the shards that hold most of it; ``pieces`` is (g, shard, n)."""
-    capacity = int(n_rows / shards * (1 + SLACK)) + 1
-    for _ in range(rounds):
-        held = {r["shard"]: r["n"] for r in pieces.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row per shard
-        room = F.element_at(F.array(*[F.lit(max(0, capacity - held.get(t, 0))).cast("long") for t in range(shards)]), F.col("t") + 1)
-        # A group's counts, those in open shards and the large ones first: 24 at most.
+def quotas(n_rows: int, shards: int) -> list[int]:
+    return [n_rows // shards + (t < n_rows % shards) for t in range(shards)]
+
+
+def _observed(pieces: DataFrame, shards: int) -> tuple[DataFrame, list[int], int]:
+    """``pieces`` written, with the rows of each shard and the sum of the pieces' squares, which the same job takes."""
+    seen = Observation()
+    sums = [F.sum(F.when(F.col("shard") == t, F.col("n"))).alias(f"s{t}") for t in range(shards)]
+    out = written(pieces.observe(seen, *sums, F.sum(F.col("n") * F.col("n")).alias("squares")), "shard-pieces")
+    return out, [seen.get[f"s{t}"] or 0 for t in range(shards)], seen.get["squares"] or 0
+
+
+def _propagate(pieces: DataFrame, n_rows: int, shards: int) -> tuple[DataFrame, list[int]]:
+    """Moves documents of a group towards the shards that hold most of it, until no move is left; ``pieces`` is (g, shard, n).
+
+    A move takes rows to a piece that is no smaller, or a whole piece: it adds linked pairs that share a shard (they grow
+    with the sum of the pieces' squares), so that rounds end. Gives the pieces and the rows of each shard.
+    """
+    quota = quotas(n_rows, shards)
+    pieces, held, squares = _observed(pieces, shards)
+    while True:
+        room = F.element_at(F.array(*[F.lit(max(0, quota[t] - held[t])).cast("long") for t in range(shards)]), F.col("t") + 1)
+        # A group's counts, those in open shards and the large ones first: one for each shard at most.
         held_by = pieces.withColumn("t", F.col("shard")).select("g", F.struct((room > 0).alias("open"), "n", F.pmod(F.xxhash64("g", "shard"), F.lit(1 << 30)).alias("turn"), "shard").alias("x"))
         row = held_by.groupBy("g").agg(F.reverse(F.array_sort(F.collect_list("x"))).alias("xs"))
         row = row.select("g", "xs", F.size(F.filter("xs", lambda x: x["open"])).alias("k"), F.posexplode("xs").alias("i", "x"))
@@ -32,19 +46,21 @@ def _propagate(pieces: DataFrame, n_rows: int, shards: int, rounds: int) -> Data
         # goes to the largest if it is less or fits in whole.
         to = F.when(F.col("i") < F.col("k"), F.col("k") - 1 - F.col("i")).otherwise(0)
         wish = row.where("k > 0").withColumn("y", F.get("xs", to)).where(F.col("i") > to).withColumn("t", F.col("y.shard"))
-        wish = wish.where((F.col("i") < F.col("k")) | (F.col("x.n") < F.col("y.n")) | (F.col("x.n") <= room))
-        wish = wish.select("g", F.col("x.shard").alias("shard"), F.col("x.n").alias("n"), "t").withColumn("_tie", F.struct("g", "shard"))
+        whole = F.col("x.n") > F.col("y.n")
+        wish = wish.where(~whole | (F.col("x.n") <= room))
+        wish = wish.select("g", F.col("x.shard").alias("shard"), F.col("x.n").alias("n"), "t", whole.alias("whole")).withColumn("_tie", F.struct("g", "shard"))
         # Wishes for a shard are granted in the order of a hash of the group until its room is used up.
-        granted = exact_rank(wish, ["t"], _unit(F.col("g")), BINS, "before", "n").withColumn("m", F.least("n", room - F.col("before"))).where("m > 0")
-        granted = written(granted.select("g", "shard", "t", "m"), "shard-moves")
-        if not granted.head(1):
-            break
-        moved = pieces.select("g", "shard", "n").unionByName(granted.select("g", "shard", (-F.col("m")).alias("n"))).unionByName(granted.select("g", F.col("t").alias("shard"), F.col("m").alias("n")))
-        pieces = written(moved.groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "shard-pieces")
-    return pieces
+        granted = exact_rank(wish, ["t"], _unit(F.col("g")), BINS, "before", "n").withColumn("m", F.least("n", room - F.col("before")))
+        granted = granted.where((F.col("m") > 0) & (~F.col("whole") | (F.col("m") == F.col("n"))))
+        both = F.explode(F.array(F.struct("shard", (-F.col("m")).alias("n")), F.struct(F.col("t").alias("shard"), F.col("m").alias("n"))))
+        moved = pieces.select("g", "shard", "n").unionByName(granted.select("g", both.alias("x")).select("g", "x.shard", "x.n"))
+        before = squares
+        pieces, held, squares = _observed(moved.groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"), shards)
+        if squares == before:
+            return pieces, held
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of ``docs`` (doc_id, text).
 
     The law is ``rows``: shards' counts are at most one apart. Documents of equal text are linked. Each group starts
@@ -52,13 +68,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     while those have room. Unlinked documents fill what is left, and the cut into equal counts runs along the
     order of shards and groups, so it parts a group only where a shard is full. The documents of a group are
     interchangeable: rounds move counts of (group, shard), and only the end gives each document its place.
-    A null text has size 8, no links and a null CRC. Repeated rows each get a slot. An empty table gives an empty one.
+    Places follow from doc_id and text, however rows are dealt. A null text has size 8, no links and a null CRC. Repeated
+    rows each get a slot. An empty table gives an empty one.
     """
     text = F.col("text")
     slim = docs.select(
-        "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("g"), F.monotonically_increasing_id().alias("row"),
+        "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("g"),
     )
-    slim = written(slim, "shard-rows")
+    slim = written(slim.withColumn("row", F.xxhash64("doc_id", "g")), "shard-rows")
     counts = slim.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("n_group")).where("n_group > 1")
     counts = written(counts.select(F.col("g").alias("lg"), "n_group"), "shard-groups")
     tagged = slim.join(counts, F.col("g") == F.col("lg"), "left")
@@ -67,15 +84,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     n_rows, n_linked = slim.count(), counts.agg(F.coalesce(F.sum("n_group"), F.lit(0))).first()[0]
 
     pieces = linked.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).groupBy("g", "shard").agg(F.count("*").alias("n"))
-    pieces = _propagate(written(pieces, "shard-pieces"), n_rows, shards, rounds)
-    held = {r["shard"]: r["n"] for r in pieces.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    quota = [n_rows // shards + (t < n_rows % shards) for t in range(shards)]
+    pieces, held = _propagate(pieces, n_rows, shards)
+    quota = quotas(n_rows, shards)
     fill, rest = [], n_rows - n_linked
     for t in range(shards):
-        fill.append(min(rest, max(0, quota[t] - held.get(t, 0))))
+        fill.append(min(rest, max(0, quota[t] - held[t])))
         rest -= fill[-1]
     fill[-1] += rest
-    start = [sum(held.get(j, 0) + fill[j] for j in range(t)) for t in range(shards + 1)]
+    start = [sum(held[j] + fill[j] for j in range(t)) for t in range(shards + 1)]
     filled = [sum(fill[:t]) for t in range(shards + 1)]
     bound = [sum(quota[:t]) for t in range(shards + 1)]
     at = lambda values, i: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), i + 1)
@@ -85,17 +101,25 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     placed = exact_rank(pieces.withColumn("_tie", F.col("g")), ["shard"], _unit(F.col("g")), BINS, "before", "n").withColumn("place", at(start, F.col("shard")) + F.col("before"))
     runs = placed.withColumn("first", F.sum("n").over(Window.partitionBy("g").orderBy("shard")) - F.col("n"))
     runs = runs.groupBy("g").agg(F.collect_list(F.struct("first", "n", "place")).alias("runs")).select(F.col("g").alias("rg"), "runs")  # one for each shard at most
-    inner = exact_rank(linked.withColumn("_tie", F.col("row")), ["g"], _unit(F.col("row")), BINS, "r")
+    inner = exact_rank(linked.withColumn("_tie", F.struct("row", "doc_id")), ["g"], _unit(F.col("row")), BINS, "r")
     inner = inner.join(runs, F.col("g") == F.col("rg"))
     mine = F.filter("runs", lambda x: (x["first"] <= F.col("r")) & (F.col("r") < x["first"] + x["n"]))[0]
     inner = inner.select("doc_id", "size", "text_crc32", (mine["place"] + F.col("r") - mine["first"]).alias("place"))
 
-    outer = exact_rank(single.withColumn("_tie", F.col("row")), [], _unit(F.col("row")), BINS, "r")
+    outer = exact_rank(single.withColumn("_tie", F.struct("row", "doc_id", "g")), [], _unit(F.col("row")), BINS, "r")
     label = last_not_above(filled, F.col("r"))
     last_of = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda t: (at(filled, t) <= F.col("r")) & (F.col("r") < at(filled, t + 1))))
     outer = outer.withColumn("label", last_of) if n_rows else outer.withColumn("label", label)
-    outer = outer.select("doc_id", "size", "text_crc32", (at(start, F.col("label")) + at([held.get(t, 0) for t in range(shards)], F.col("label")) + F.col("r") - at(filled, F.col("label"))).alias("place"))
+    outer = outer.select("doc_id", "size", "text_crc32", (at(start, F.col("label")) + at([held[t] for t in range(shards)], F.col("label")) + F.col("r") - at(filled, F.col("label"))).alias("place"))
 
     shard_of = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda t: (at(bound, t) <= F.col("place")) & (F.col("place") < at(bound, t + 1))))
     out = inner.unionByName(outer).withColumn("shard", shard_of.cast("int"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("place") - at(bound, F.col("shard"))).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def cut(placed: DataFrame) -> DataFrame:
+    """(links, cut), one row: pairs of rows of equal text, and those whose rows stand in different shards; ``placed`` is ``shard``'s result."""
+    pairs = lambda n: n * (n - 1) / 2
+    inside = placed.where("text_crc32 IS NOT NULL").groupBy("size", "text_crc32", "shard").agg(F.count("*").alias("n"))
+    groups = inside.groupBy("size", "text_crc32").agg(F.sum("n").alias("n"), F.sum(pairs(F.col("n"))).alias("kept"))
+    return groups.agg(F.coalesce(F.sum(pairs(F.col("n"))), F.lit(0)).cast("long").alias("links"), F.coalesce(F.sum(pairs(F.col("n")) - F.col("kept")), F.lit(0)).cast("long").alias("cut"))
