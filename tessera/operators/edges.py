@@ -6,15 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from pyspark.sql.window import Window
 
 from tessera.functions.vectors import cosine
 
-BLOCK = 4096
+CELL = 16_384
+CELL_OF_PAIRS = 2_048
+SLAB = 512
+UNLIKE = -90_000
+NAMES = "_row", "_vector", "_group"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -24,88 +29,101 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)
 
 
-def search(queries: DataFrame, base: DataFrame, row: str, vector: str, k: int, apart: str | None = None, least: float = -1.0, block: int = BLOCK) -> DataFrame:
+def _numbers(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of two columns as integers that are equal for equal values and keep their order."""
+    both = pa.chunked_array([*left.chunks, *right.chunks])
+    order = pc.rank(both, tiebreaker="dense", null_placement="at_start").to_numpy().astype(np.int64)
+    return order[: len(left)], order[len(left) :]
+
+
+def _cells(queries: DataFrame, base: DataFrame, columns: list[str], size: int) -> tuple[PandasCogroupedOps, DataFrame, DataFrame]:
+    """Rows of both sides dealt by a hash into strips and lanes of about ``size``, met in one group for each two of them.
+
+    A group holds one strip and one lane, so what a task holds is bounded, whatever the number of rows; each row is
+    shuffled once for each strip or lane of the other side.
+    """
+    vector = columns[1]
+    # The two sides may be one table: columns under names of their own keep them apart.
+    ready = lambda df: df.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(*[F.col(c).alias(n) for c, n in zip(columns, NAMES, strict=False)])
+    queries, base = ready(queries), ready(base)
+    strips, lanes = (max(1, -(-df.count() // size)) for df in (queries, base))
+    dealt = lambda n, name: F.pmod(F.xxhash64(NAMES[0]), F.lit(n)).cast("int").alias(name)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    a = queries.select("*", dealt(strips, "_strip")).select("*", every(lanes, "_lane"))
+    b = base.select("*", dealt(lanes, "_lane")).select("*", every(strips, "_strip"))
+    return a.groupBy("_strip", "_lane").cogroup(b.groupBy("_strip", "_lane")), queries, base
+
+
+def _pair_schema(queries: DataFrame, base: DataFrame) -> str:
+    return f"query {queries.schema[NAMES[0]].dataType.simpleString()}, hit {base.schema[NAMES[0]].dataType.simpleString()}, score double"
+
+
+def _compared(left: pa.Table, right: pa.Table, side: bool, alike: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, scores) of slabs of SLAB queries: cosines in 1e-4, UNLIKE where a pair is not to be compared."""
+    row, vector, group = NAMES
+    a, b = _matrix(left.column(vector)), _matrix(right.column(vector))
+    name_a, name_b = _numbers(left.column(row), right.column(row))
+    side_a, side_b = _numbers(left.column(group), right.column(group)) if side else (None, None)
+    for at in range(0, len(a), SLAB):
+        s = np.round(np.clip(a[at : at + SLAB] @ b.T, -1, 1) * 10_000).astype(np.int64)
+        s[name_a[at : at + SLAB, None] == name_b[None, :]] = UNLIKE
+        if side_a is not None:
+            s[(side_a[at : at + SLAB, None] == side_b[None, :]) != alike] = UNLIKE
+        yield at, s
+
+
+def search(queries: DataFrame, base: DataFrame, row: str, vector: str, k: int, apart: str | None = None, least: float = -1.0, size: int = CELL) -> DataFrame:
     """The ``k`` rows of ``base`` most alike each query (cosine rounded to 4 places): query, hit, score, rank.
 
-    Queries go to the tasks in blocks of ``block`` vectors, so what a task holds is bounded; each task gives its best
-    ``k`` a query and only those are shuffled. A row is not its own hit, nor one with the same ``apart`` value.
+    Both sides meet in cells of about ``size`` by ``size`` rows; each gives its best ``k`` a query and only those are
+    shuffled. A task holds two strips of vectors and one slab of scores (64 MB). A row is not its own hit, nor one with
+    the same ``apart`` value.
     """
-    columns = [row, vector] + ([apart] if apart else [])
-    base = base.select(*columns).where(F.col(vector).isNotNull() & (F.size(vector) > 0))
-    queries = queries.select(*columns).where(F.col(vector).isNotNull() & (F.size(vector) > 0))
-    schema = f"query {queries.schema[row].dataType.simpleString()}, hit {base.schema[row].dataType.simpleString()}, score double"
-    kinds = [to_arrow_type(df.schema[row].dataType) for df in (queries, base)]
-    parts = []
-    rows = queries.orderBy(row).toLocalIterator(prefetchPartitions=True)
-    while chunk := [r for _, r in zip(range(block), rows)]:
-        asks = np.array([r[vector] for r in chunk], float)
-        asks /= np.linalg.norm(asks, axis=1, keepdims=True) + 1e-12
-        names, groups = [r[row] for r in chunk], np.array([r[apart] for r in chunk], object) if apart else None
-
-        def best(batches: Iterator[pa.RecordBatch], asks=asks, names=names, groups=groups) -> Iterator[pa.RecordBatch]:
-            top_s, top_i = np.full((len(names), 0), -9.0), np.full((len(names), 0), None, object)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                s = np.round(np.clip(asks @ _matrix(b.column(vector)).T, -1, 1), 4)
-                ids = np.array(b.column(row).to_pylist(), object)
-                s[np.array(names, object)[:, None] == ids[None, :]] = -9.0
-                if groups is not None:
-                    s[groups[:, None] == np.array(b.column(apart).to_pylist(), object)[None, :]] = -9.0
-                s[s < least] = -9.0
-                all_s, all_i = np.hstack([top_s, s]), np.hstack([top_i, np.broadcast_to(ids, s.shape)])
-                # Scores tie after rounding; the smaller id is first.
-                order = np.lexsort((np.array([np.argsort(np.argsort(r, kind="stable"), kind="stable") for r in all_i]), -all_s), axis=1)[:, :k]
-                top_s, top_i = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-            q, j = np.nonzero(top_s > -9.0)
-            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], kinds[0]), pa.array([top_i[x, y] for x, y in zip(q, j, strict=True)], kinds[1]), pa.array(top_s[q, j])], names=["query", "hit", "score"])
-
-        parts.append(base.mapInArrow(best, schema))
-    if not parts:
-        return base.sparkSession.createDataFrame([], schema + ", rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    cells, queries, base = _cells(queries, base, [row, vector] + ([apart] if apart else []), size)
+    bar = round(least * 10_000)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, h, scores = [], [], []
+        if left.num_rows and right.num_rows:
+            right = right.sort_by(NAMES[0])  # scores tie after rounding: the smaller id is first
+            place = np.arange(right.num_rows)[None, :]
+            for at, s in _compared(left, right, bool(apart), False):
+                key = s * (1 << 32) - place
+                some = np.argpartition(-key, min(k, key.shape[1]) - 1, axis=1)[:, :k]
+                i, j = np.nonzero(np.take_along_axis(s, some, 1) >= bar)
+                hit = some[i, j]
+                q.append(i + at)
+                h.append(hit)
+                scores.append(s[i, hit] / 10_000)
+        q, h, scores = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (q, h, scores))
+        return pa.table({"query": left.column(NAMES[0]).take(pa.array(q)), "hit": right.column(NAMES[0]).take(pa.array(h)), "score": pa.array(scores, pa.float64())})
+
+    found = cells.applyInArrow(best, _pair_schema(queries, base))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "hit"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def over(queries: DataFrame, base: DataFrame, row: str, vector: str, least: float, side: str | None = None, alike: bool = False, block: int = BLOCK) -> DataFrame:
+def over(queries: DataFrame, base: DataFrame, row: str, vector: str, least: float, side: str | None = None, alike: bool = False, size: int = CELL_OF_PAIRS) -> DataFrame:
     """Every pair of a query and another row of ``base`` whose cosine (4 places) is ``least`` or more: query, hit, score.
 
     With ``side``, only pairs whose values of it differ (``alike``: are equal), which tasks see to before they give pairs.
+    A cell gives ``size`` squared pairs at most.
     """
-    columns = [row, vector] + ([side] if side else [])
-    base = base.select(*columns).where(F.col(vector).isNotNull() & (F.size(vector) > 0))
-    queries = queries.select(*columns).where(F.col(vector).isNotNull() & (F.size(vector) > 0))
-    schema = f"query {queries.schema[row].dataType.simpleString()}, hit {base.schema[row].dataType.simpleString()}, score double"
-    kinds = [to_arrow_type(df.schema[row].dataType) for df in (queries, base)]
-    parts = []
-    rows = queries.toLocalIterator(prefetchPartitions=True)
-    while chunk := [r for _, r in zip(range(block), rows)]:
-        asks = np.array([r[vector] for r in chunk], float)
-        asks /= np.linalg.norm(asks, axis=1, keepdims=True) + 1e-12
-        names, sides = np.array([r[row] for r in chunk], object), np.array([r[side] for r in chunk], object) if side else None
-
-        def found(batches: Iterator[pa.RecordBatch], asks=asks, names=names, sides=sides) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, 1024):
-                    part = b.slice(at, 1024)
-                    s = np.round(np.clip(asks @ _matrix(part.column(vector)).T, -1, 1), 4)
-                    ids = np.array(part.column(row).to_pylist(), object)
-                    keep = (s >= least) & (names[:, None] != ids[None, :])
-                    if sides is not None:
-                        keep &= (sides[:, None] == np.array(part.column(side).to_pylist(), object)[None, :]) == alike
-                    q, j = np.nonzero(keep)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[q].tolist(), kinds[0]), pa.array(ids[j].tolist(), kinds[1]), pa.array(s[q, j])], names=["query", "hit", "score"])
-
-        parts.append(base.mapInArrow(found, schema))
-    if not parts:
-        return base.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cells, queries, base = _cells(queries, base, [row, vector] + ([side] if side else []), size)
+    bar = max(UNLIKE + 1, int(np.ceil(least * 10_000 - 1e-6)))
+
+    def found(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, h, scores = [], [], []
+        if left.num_rows and right.num_rows:
+            for at, s in _compared(left, right, bool(side), alike):
+                i, j = np.nonzero(s >= bar)
+                q.append(i + at)
+                h.append(j)
+                scores.append(s[i, j] / 10_000)
+        q, h, scores = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (q, h, scores))
+        return pa.table({"query": left.column(NAMES[0]).take(pa.array(q)), "hit": right.column(NAMES[0]).take(pa.array(h)), "score": pa.array(scores, pa.float64())})
+
+    return cells.applyInArrow(found, _pair_schema(queries, base))
 
 
 def ranked(pairs: DataFrame, side: str, score: str, tie: str, out: str) -> DataFrame:

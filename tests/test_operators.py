@@ -251,7 +251,7 @@ def test_reports(spark):
 def test_search_in_blocks_and_ties(spark):
     v = spark.createDataFrame([(i, one(i % 3)) for i in range(9)], "id bigint, vec array<double>")
     whole = rows(edges.search(v, v, "id", "vec", 2), "query", "hit", "rank")
-    assert whole == rows(edges.search(v, v, "id", "vec", 2, block=2), "query", "hit", "rank")
+    assert whole == rows(edges.search(v, v, "id", "vec", 2, size=2), "query", "hit", "rank")
     assert (0, 3, 1) in whole and (0, 6, 2) in whole
     assert edges.search(v.limit(0), v, "id", "vec", 2).count() == 0
 
