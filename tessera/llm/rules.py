@@ -15,6 +15,7 @@ from tessera.llm.common import mix, slices
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
+MOST_BROADCAST = 4_000_000
 THRESHOLD = -0.12
 LEAST_WORDS = 20
 MOST_REPEATED = 30
@@ -89,29 +90,43 @@ def buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.int64), np.concatenate([words.doc, words.doc[:-1][same]])
 
 
-def bucket_counts(docs: DataFrame) -> DataFrame:
-    """(bucket, n): how often n-grams of each hash bucket stand in ``docs``; a task gives BUCKETS rows at most."""
+def bucket_counts(docs: DataFrame, good: np.ndarray | None = None) -> DataFrame:
+    """(bucket, raw, trusted): how often n-grams of each hash bucket stand in ``docs`` and in those of the ``good`` ids (None: all).
+
+    A task gives BUCKETS rows at most.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(good)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        good, raw, trusted = shared.value, np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in slices(batches, SLICE):
-            total += np.bincount(buckets(Words(b.column("text")))[0], minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bucket": some.astype(np.int32), "n": total[some]})
+            found, rows = buckets(Words(b.column("text")))
+            raw += np.bincount(found, minlength=BUCKETS)
+            if good is not None and len(good):
+                ids = b.column("doc_id")
+                known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+                own = known & (good[np.minimum(np.searchsorted(good, ids), len(good) - 1)] == ids)
+                trusted += np.bincount(found[own[rows]], minlength=BUCKETS)
+        some = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_pydict({"bucket": some.astype(np.int32), "raw": raw[some], "trusted": (raw if good is None else trusted)[some]})
 
-    return docs.select("text").mapInArrow(count, "bucket int, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "bucket int, raw long, trusted long")
 
 
-def ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+def ratios(docs: DataFrame, labels: DataFrame, most_broadcast: int = MOST_BROADCAST) -> np.ndarray:
     """log p(bucket | trusted) - log p(bucket | raw) of the hash buckets, both sides counted over every document of theirs.
 
-    Trusted are all documents labelled of good quality, found by a semi-join (of the ids alone, where they are few enough
-    to be broadcast). BUCKETS rows reach the driver, whatever the input.
+    Trusted are all documents labelled of good quality. Up to ``most_broadcast`` of their ids (8 bytes each) go to the
+    tasks, so that texts are read once and not shuffled; more are found by a semi-join, with the same result. BUCKETS
+    rows reach the driver, whatever the input.
     """
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_d"))
-    trusted_docs = docs.select(F.col("doc_id").cast("long").alias("_i"), "text").join(good, F.col("_i") == F.col("_d"), "left_semi")
-    counts = bucket_counts(docs).select("bucket", F.col("n").alias("raw"), F.lit(0).cast("long").alias("trusted"))
-    counts = counts.unionByName(bucket_counts(trusted_docs).select("bucket", F.lit(0).cast("long").alias("raw"), F.col("n").alias("trusted")))
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("good")).distinct()
+    ids = good.limit(most_broadcast + 1).toPandas()["good"].to_numpy(np.int64)
+    if len(ids) <= most_broadcast:
+        counts = bucket_counts(docs, np.sort(ids))
+    else:
+        trusted = bucket_counts(docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("good"), "left_semi"))
+        counts = bucket_counts(docs, np.zeros(0, np.int64)).unionByName(trusted.withColumn("raw", F.lit(0).cast("long")))
     found = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toPandas()
     raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[found["bucket"]], trusted[found["bucket"]] = found["raw"], found["trusted"]

@@ -229,6 +229,7 @@ def test_ratios_against_brute_force(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(1, 1), (2, 0), (9, 1), (None, 1)], "doc_id long, quality int")
     got = rules.ratios(docs, labels)
+    assert np.array_equal(got, rules.ratios(docs, labels, most_broadcast=0))
     raw, trusted = np.zeros(rules.BUCKETS), np.zeros(rules.BUCKETS)
     for d, t in texts.items():
         for b in rules.buckets(rules.Words(pa.array([t])))[0]:
