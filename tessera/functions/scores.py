@@ -34,6 +34,12 @@ def temporal(a0: Column, a1: Column, b0: Column, b1: Column, horizon: float = 30
     return F.when(overlaps_closed(a0, a1, b0, b1), F.lit(at_overlap)).otherwise(F.greatest(F.lit(0.0), 1.0 - gap / horizon))
 
 
+def shifted(ts: Column, camera: Column, offsets: dict[str, float]) -> Column:
+    """``ts`` on a common clock: with its camera's offset in seconds, 0 where none is known."""
+    pairs = [F.lit(x) for item in offsets.items() for x in item]
+    return ts + F.coalesce(F.create_map(*pairs)[camera], F.lit(0.0)) if pairs else ts
+
+
 def nearness(x0: Column, y0: Column, x1: Column, y1: Column, height: Column, heights: float = 8.0) -> Column:
     """1 at the same place down to 0 at ``heights`` heights away; neutral without a place."""
     return neutral(clip(1.0 - F.hypot(x1 - x0, y1 - y0) / F.nullif(height, F.lit(0.0)) / heights, 0.0, 1.0))
@@ -51,6 +57,35 @@ def shape_similarity(a: Column, b: Column, scale: float = 0.45) -> Column:
     return neutral(F.when(good, F.exp(-F.abs(F.ln(a / b)) / scale)))
 
 
+def box_shape(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Height over width of a box, sides of 1 at least; ``F.median`` over boxes is a track's shape."""
+    one = F.lit(1.0)
+    return F.greatest(one, (y2 - y1).cast("double")) / F.greatest(one, (x2 - x1).cast("double"))
+
+
+def box_geometry(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
+    """Six figures of a box in a frame: centre, foot, width, height and area as shares, and the logarithm of its shape."""
+    w, h = F.greatest(x2 - x1, F.lit(1.0)), F.greatest(y2 - y1, F.lit(1.0))
+    fw, fh = F.greatest(width, F.lit(1.0)), F.greatest(height, F.lit(1.0))
+    return F.array(0.5 * (x1 + x2) / fw, y2 / fh, w / fw, h / fh, w * h / (fw * fh), F.ln(h / w))
+
+
+#: How far apart the six figures may be.
+GEOMETRY_SCALE = (0.25, 0.30, 0.18, 0.30, 0.18, 1.0)
+
+
+def geometry_score(a: Column, b: Column) -> Column:
+    """1 for equal ``box_geometry`` down to 0 at a scaled distance of 3."""
+    far = F.aggregate(F.zip_with(F.zip_with(a, b, lambda x, y: x - y), F.array(*[F.lit(x) for x in GEOMETRY_SCALE]), lambda d, s: (d / s) * (d / s)), F.lit(0.0), lambda t, x: t + x)
+    return clip(1.0 - F.sqrt(far) / 3.0, 0.0, 1.0)
+
+
+def sample_interval(interval: Column, part: Column, default: int = 5) -> tuple[Column, Column]:
+    """Frames between samples and between samples of parts: 1 at least, and parts no more often than the whole."""
+    every = F.greatest(F.lit(1), F.coalesce(interval, F.lit(default)).cast("int"))
+    return every, F.greatest(every, F.coalesce(part.cast("int"), every))
+
+
 def colour(similarity: Column) -> Column:
     return neutral(clip(similarity, 0.0, 1.0))
 
@@ -98,3 +133,23 @@ def gid(number: Column, prefix: str = "G", width: int = 6) -> Column:
 
 def tracklet_key(camera: Column, track: Column, segment: Column) -> Column:
     return F.concat_ws(":", camera.cast("string"), track.cast("string"), segment.cast("string"))
+
+
+def parts_of_key(key: Column) -> tuple[Column, Column, Column]:
+    """Camera, track and segment of a ``tracklet_key``; the camera may hold colons itself."""
+    parts = F.split(key, ":")
+    n = F.size(parts)
+    return F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 2, F.lit(0))), ":"), F.get(parts, n - 2).cast("long"), F.get(parts, n - 1).cast("int")
+
+
+def bare_camera(camera: Column, prefix: str = "cam_") -> Column:
+    return F.when(camera.startswith(prefix), F.substring(camera, len(prefix) + 1, 1 << 20)).otherwise(camera)
+
+
+def path_stem(path: Column) -> Column:
+    """The last part of a path without its last ending."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)/*$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def run_id(at: Column) -> Column:
+    return F.date_format(at, "yyyyMMdd_HHmmss")

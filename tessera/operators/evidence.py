@@ -35,6 +35,96 @@ def cross_camera_reason(bars: Bars = Bars()) -> Column:
     return first_reason(("support", F.col("model_support") < bars.support), ("agreement", F.col("agreement") < bars.cross_agreement), ("fused", F.col("fused") < bars.cross_fused), otherwise="accepted")
 
 
+@dataclass(frozen=True)
+class BodyBars:
+    """Bars of the rules that accept an identity for a track by its body."""
+
+    threshold: float = 0.62
+    strong: float = 0.72
+    margin: float = 0.04
+    support: int = 2
+    accumulated: float = 0.54
+    accumulated_support: int = 4
+    partial: float = 0.58
+    partial_support: int = 2
+    continuity: float = 0.30
+    spatial: float = 0.35
+    continuous_body: float = 0.48
+    small_margin: float = 0.02
+    face: float = 0.80
+    face_strong: float = 0.90
+    face_quality: float = 0.60
+    face_body: float = 0.42
+
+
+def accepted_by_body(bars: BodyBars = BodyBars(), faces: bool = False, guarded: bool = False) -> Column:
+    """The first rule by which the best candidate is accepted, or ``pending``; from score, second, body, support, partial, temporal and spatial.
+
+    Rules in order: a track lost a moment ago, a strong body, a body with support and margin, one accumulated over many
+    looks, a partial one. ``faces`` adds a strong face first and a face with some body last (face, face_quality).
+    ``guarded`` asks more of all but the second and third, and the full margin everywhere.
+    """
+    c, margin = F.col, F.col("score") - F.col("second")
+    small = bars.margin if guarded else bars.small_margin
+    recent = (c("temporal") >= bars.continuity) & (c("spatial") >= bars.spatial) & (c("body") >= (max(0.56, bars.accumulated) if guarded else bars.continuous_body))
+    if guarded:
+        recent = recent & (c("support") >= bars.support) & (margin >= bars.margin)
+    rules = [
+        ("recent_lost_track", recent),
+        ("body_strong", (c("body") >= bars.strong) & ((margin >= bars.margin) | (c("support") >= bars.support))),
+        ("body_gallery", (c("body") >= bars.threshold) & (c("support") >= bars.support) & (margin >= bars.margin)),
+        ("body_accumulated", (c("body") >= bars.accumulated) & (c("support") >= bars.accumulated_support) & (margin >= small)),
+        ("partial_body", c("partial") & (c("body") >= (max(0.60, bars.partial) if guarded else bars.partial)) & (c("support") >= bars.partial_support) & (margin >= small)),
+    ]
+    if faces:
+        clear = c("face_quality") >= bars.face_quality
+        rules = [("face_assisted", (c("face") >= bars.face_strong) & clear), *rules, ("face_body_assist", (c("face") >= bars.face) & clear & (c("body") >= bars.face_body) & (margin >= bars.small_margin))]
+    return first_reason(*rules, otherwise="pending")
+
+
+def accepted_by_gallery(threshold: float, strong: float, support: int, margin: float) -> Column:
+    """Whether the best identity is taken: enough score with support and margin, or a strong score alone."""
+    c = F.col
+    return (c("score") >= threshold) & (((c("support") >= support) & (c("score") - c("second") >= margin)) | (c("score") >= strong))
+
+
+def complete_views(features: DataFrame, models: list[str], views: list[str]) -> DataFrame:
+    """key and complete: whether a track has a vector of every model and view."""
+    wanted = F.col("model").isin(models) & F.col("view").isin(views)
+    kinds = F.count_distinct(F.when(wanted, F.struct("model", "view")))
+    return features.groupBy("key").agg((kinds == len(models) * len(views)).alias("complete"))
+
+
+def anchor_first(anchored: str, score: str, *keys: str) -> list[Column]:
+    """An order: pairs with an anchor, then by score, then by keys, all falling."""
+    return [F.desc(anchored), F.desc(score), *[F.desc(k) for k in keys]]
+
+
+def measured_rate(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys, n and fps: frames a second between a key's first and last time; null where these are one."""
+    span = F.max(order) - F.min(order)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), ((F.count("*") - 1) / F.nullif(span, F.lit(0.0))).alias("fps"))
+
+
+def merged_in_order(first: Column, second: Column) -> Column:
+    """The elements of both arrays, each once, where it came first."""
+    return F.array_distinct(F.concat(first, second))
+
+
+def groups_of(tracklets: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, members, start, end, n, aspect (median) and state of groups of tracklets (key, start, end, n, aspect, state).
+
+    A group of different states is ``mixed``; shapes that are not positive do not count. Places come from the tracklets
+    that start first and last: x_start and y_start, x_end and y_end.
+    """
+    state = F.when(F.count_distinct("state") == 1, F.max("state")).otherwise("mixed")
+    order = F.struct("start", "key")
+    return tracklets.groupBy(*keys).agg(
+        F.array_sort(F.collect_list("key")).alias("members"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.median(F.when(F.col("aspect") > 0, F.col("aspect"))).alias("aspect"), state.alias("state"),
+        F.min_by("x_start", order).alias("x_start"), F.min_by("y_start", order).alias("y_start"), F.max_by("x_end", order).alias("x_end"), F.max_by("y_end", order).alias("y_end"),
+    )
+
+
 def visible_share(confidences: Column, least: float) -> Column:
     """Share of keypoints seen with ``least`` confidence; null without keypoints."""
     return F.when(F.size(confidences) > 0, F.size(F.filter(confidences, lambda c: c >= least)) / F.size(confidences))

@@ -21,7 +21,7 @@ def speeds(positions: DataFrame, keys: list[str], least: float = 0.10, most: flo
     return positions.withColumn("_dt", dt).withColumn("speed", moved / F.nullif(dt, F.lit(0.0))).where((F.col("_dt") >= least) & (F.col("_dt") <= most)).drop("_dt")
 
 
-def speed_ceilings(steps: DataFrame, keys: list[str], share: float = 0.99, least: int = LEAST_STEPS) -> DataFrame:
+def speed_ceilings(steps: DataFrame, keys: list[str], share: float = 0.999, least: int = LEAST_STEPS) -> DataFrame:
     """n and ceiling of each key with ``least`` speeds: the nearest-rank percentile (rank rounded half to even)."""
     w = Window.partitionBy(*keys)
     n = F.count("*").over(w)

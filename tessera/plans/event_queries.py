@@ -135,7 +135,7 @@ def temporal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("speed_percentiles", f"{EV}, d AS (SELECT camera, abs(value - lag(value) OVER w) AS moved, t - lag(t) OVER w AS dt FROM e WINDOW w AS (PARTITION BY camera ORDER BY t, value)), s AS (SELECT camera, moved / dt AS speed FROM d WHERE dt >= 1 AND dt <= 3600), n AS (SELECT camera, speed, count(*) OVER (PARTITION BY camera) AS n, row_number() OVER (PARTITION BY camera ORDER BY speed) - 1 AS i FROM s) SELECT camera, n, round(speed, 6) AS ceiling FROM n WHERE n >= 30 AND i = round_even((n - 1) * 0.99, 0)")
 def speed_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = events(spark, sf_dir).select("camera", F.col("t").alias("ts"), F.col("value").alias("x"), F.lit(0.0).alias("y"))
-    return motion.speed_ceilings(motion.speeds(p, ["camera"], 1.0, 3600.0), ["camera"]).select("camera", "n", F.round("ceiling", 6).alias("ceiling"))
+    return motion.speed_ceilings(motion.speeds(p, ["camera"], 1.0, 3600.0), ["camera"], 0.99).select("camera", "n", F.round("ceiling", 6).alias("ceiling"))
 
 
 @add("reachability_verdict", f"{ASOF}, n2 AS (SELECT b.track, a.event_id AS ea, b.event_id AS eb, a.t AS ta, b.t AS tb FROM b JOIN a USING (track) QUALIFY row_number() OVER (PARTITION BY b.track, b.event_id ORDER BY abs(a.t - b.t), a.t, a.event_id) = 1), u AS (SELECT * FROM n1 UNION SELECT * FROM n2), c AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY track ORDER BY abs(ta - tb), ea, eb) <= 9), r AS (SELECT c.track, greatest(abs(x.value - y.value) - 2.0, 0) / (abs(ta - tb) + 0.5) AS v FROM c JOIN events x ON x.event_id = ea JOIN events y ON y.event_id = eb), m AS (SELECT track, count(v) AS n, median(v) AS required FROM r GROUP BY track) SELECT track, n, round(required, 6) AS required, CASE WHEN n < 3 OR required IS NULL THEN 'unavailable' WHEN required > 0.001 THEN 'impossible' ELSE 'plausible' END AS verdict FROM m")

@@ -47,10 +47,45 @@ def test_view_scores_know_a_change_of_posture(spark):
     features = spark.createDataFrame([("a", "m", "full", one(0)), ("b", "m", "full", one(1)), ("b", "m", "upper", one(0)), ("c", "m", "full", one(0))], "key string, model string, view string, vec array<double>")
     pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "left string, right string")
     got = {r.right: r for r in scoring.view_scores(features, pairs).collect()}
-    assert got["b"].score == pytest.approx(0.85) and got["b"].transition and got["b"].support == 0
+    assert got["b"].score == pytest.approx(0.85) and got["b"].transition and got["b"].support == 1  # one pair of vectors at .50 or more, full against upper
     assert got["c"].score == pytest.approx(1.0) and not got["c"].transition and got["c"].support == 1
 
 
+def plain_split(rows, k):
+    if k < 2 or len(rows) < 2 * k:
+        return [rows]
+    c = rows - rows.mean(0)
+    v = c[0] / np.linalg.norm(c[0])
+    for _ in range(8):
+        v = c.T @ (c @ v)
+        v = v / np.linalg.norm(v)
+    return [rows[i] for i in np.array_split(np.argsort(c @ v, kind="stable"), k)]
+
+
+def test_view_medoid_scores_against_plain_python(spark):
+    rng = np.random.default_rng(5)
+    banks = {k: rng.normal(size=(n, 6)) for k, n in (("a", 9), ("b", 3), ("c", 12))}
+    features = spark.createDataFrame([(k, i, v.tolist()) for k, m in banks.items() for i, v in enumerate(m)], "key string, seq int, vec array<double>")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c")], "left string, right string")
+    mean = lambda m: (x := m.mean(0)) / np.linalg.norm(x)
+    unit = {k: m / np.linalg.norm(m, axis=1, keepdims=True) for k, m in banks.items()}
+    for r in scoring.view_medoid_scores(features, pairs).collect():
+        a, b = unit[r.left], unit[r.right]
+        assert r.score == pytest.approx(max([mean(a) @ mean(b)] + [mean(x) @ mean(y) for x in plain_split(a, 2) for y in plain_split(b, 2)]))
+
+
+def test_camera_clocks_are_brought_together(spark):
+    df = spark.createDataFrame([("a", 10.0), ("b", 10.0), ("c", 10.0)], "camera string, t double")
+    assert [r.t for r in df.select(scores.shifted(F.col("t"), F.col("camera"), {"a": 2.5, "b": -4.0}).alias("t")).collect()] == [12.5, 6.0, 10.0]
+
+
+def test_models_support_at_their_own_bars(spark):
+    df = spark.createDataFrame([(0.45, 0.43, 0.43)], "resnet double, swin double, solider double")
+    half, same = F.lit(0.5), F.lit(False)
+    out = scoring.fused(scoring.MODEL_BARS, same, half, half, half, half)
+    assert df.select(out["model_support"].alias("n")).first().n == 2
+
+
 def test_trajectory(spark):
     pts = lambda xs, t0: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(0.0).alias("y"), F.lit(t0 + i * 0.5).alias("ts")) for i, x in enumerate(xs)])
     r = spark.range(1).select(scoring.trajectory(pts([0, 1, 2], 0.0), pts([4, 5], 2.0), F.lit(1.0), F.lit(2.0)).alias("on"), scoring.trajectory(pts([0, 1, 2], 0.0), pts([4, 3], 2.0), F.lit(1.0), F.lit(2.0)).alias("back"), scoring.trajectory(pts([0], 0.0), pts([4], 2.0), F.lit(1.0), F.lit(2.0)).alias("few")).first()
