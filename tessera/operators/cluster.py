@@ -12,10 +12,13 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+RANGES = 32
+AT_ONCE = 200_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run on this machine."""
@@ -117,28 +120,51 @@ def constrained_components(edges: DataFrame, nodes: DataFrame, rule: str = "over
     return done.unionByName(alone)
 
 
-def greedy_matching(edges: DataFrame, lane: list[str], score: str = "score", most_rounds: int = 200) -> DataFrame:
-    """One-to-one edges within each lane, taken by score (ties by left and right): rounds of mutual best choice.
+def in_order(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Adds ``out``: the place of each row, from 1, in the order of all rows.
 
-    Taking all mutual best edges at once and dropping their ends gives the same set as one edge after another, and each
-    round is two windows and two anti-joins. Keys of left and right are apart (a left key may equal a right one).
+    Rows are sorted in ranges and a range starts after all rows of those before it, so that no task holds all.
+    """
+    ranged = cut(df.repartitionByRange(RANGES, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return ranged.join(F.broadcast(counts), "_part").withColumn(out, place).drop("_part", "_before")
+
+
+def _greedy(rows: pd.DataFrame, lane: list[str]) -> pd.DataFrame:
+    """The fold itself: edges by falling score, ties by left and right."""
+    rows = rows.sort_values([*lane, "_s", "left", "right"], ascending=[True] * len(lane) + [False, True, True], kind="stable")
+    keys = list(zip(*(rows[c] for c in lane), strict=True))
+    lefts, rights, keep = set(), set(), []
+    for k, a, b in zip(keys, rows["left"], rows["right"], strict=True):
+        good = (k, a) not in lefts and (k, b) not in rights
+        keep.append(good)
+        if good:
+            lefts.add((k, a))
+            rights.add((k, b))
+    return rows[keep]
+
+
+def greedy_matching(edges: DataFrame, lane: list[str], score: str = "score", at_once: int = AT_ONCE) -> DataFrame:
+    """One-to-one edges within each lane, taken by score (ties by left and right).
+
+    While there are more than ``at_once`` edges, rounds take all mutual best choices and drop their ends, which gives the
+    same set as one edge after another; each round is two windows and two anti-joins. What is left then is folded by
+    tasks, a lane each, so a long path of falling scores needs no round for each of its edges. Keys of left and right are
+    apart (a left key may equal a right one).
     """
     left = cut(edges.withColumn("_s", F.col(score)), "greedy")
     taken: DataFrame | None = None
-    for _ in range(most_rounds):
+    while left.count() > at_once:
         order = [F.desc("_s"), F.asc("left"), F.asc("right")]
         both = left.withColumn("_l", F.row_number().over(Window.partitionBy(*lane, "left").orderBy(*order))).withColumn("_r", F.row_number().over(Window.partitionBy(*lane, "right").orderBy(*order)))
         now = cut(both.where("_l = 1 AND _r = 1").drop("_l", "_r"), "greedy-taken")
-        if not now.head(1):
-            break
         taken = now if taken is None else taken.unionByName(now)
         left = left.join(now.select(*lane, "left"), [*lane, "left"], "left_anti").join(now.select(*lane, "right"), [*lane, "right"], "left_anti")
         left = cut(left.select(*now.columns), "greedy")
-        if not left.head(1):
-            break
-    else:
-        raise RuntimeError(f"greedy matching did not settle in {most_rounds} rounds")
-    return (taken if taken is not None else left.limit(0)).drop("_s")
+    rest = left.groupBy(*lane).applyInPandas(lambda rows: _greedy(rows, lane), left.schema)
+    return (rest if taken is None else taken.unionByName(rest)).drop("_s")
 
 
 def chains(edges: DataFrame, score: str = "score") -> DataFrame:

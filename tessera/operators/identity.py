@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.scores import gid
 from tessera.functions.vectors import cosine, leave_one_out, mean_vectors
-from tessera.operators.cluster import cut
+from tessera.operators.cluster import cut, in_order
 from tessera.operators.edges import search
 
 
@@ -23,8 +23,8 @@ def majority(df: DataFrame, keys: list[str], value: str, order: str) -> DataFram
 
 def numbered(components: DataFrame, first: DataFrame, start: int = 1) -> DataFrame:
     """Adds ``gid``: components numbered from ``start`` in the order of ``first`` (component, at), ties by name."""
-    order = F.row_number().over(Window.orderBy("at", "component"))
-    ids = first.withColumn("gid", gid(F.lit(start - 1) + order)).select("component", "gid")
+    ids = in_order(first, [F.col("at"), F.col("component")], "_place")
+    ids = ids.select("component", gid(F.lit(start - 1) + F.col("_place")).alias("gid"))
     return components.join(ids, "component", "left")
 
 
@@ -50,7 +50,7 @@ def survivors(members: DataFrame, next_id: int) -> DataFrame:
         left = cut(left.join(now.select("component"), "component", "left_anti").join(now.select("had"), "had", "left_anti").select("component", "had"), "survivors-left")
     done = (taken if taken is not None else wish.limit(0)).withColumnRenamed("had", "gid")
     new = every.join(done.select("component"), "component", "left_anti")
-    new = new.withColumn("gid", (F.lit(next_id - 1) + F.row_number().over(Window.orderBy("component"))).cast(done.schema["gid"].dataType))
+    new = in_order(new, [F.col("component")], "_place").select("component", (F.lit(next_id - 1) + F.col("_place")).cast(done.schema["gid"].dataType).alias("gid"))
     return done.unionByName(new)
 
 

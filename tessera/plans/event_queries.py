@@ -303,6 +303,13 @@ def props_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+@add("lanes_used", f"{TR} SELECT a.track, CAST(max(1 + (SELECT count(*) FROM k b WHERE b.track = a.track AND (b.t0, b.t1, b.key) < (a.t0, a.t1, a.key) AND b.t1 > a.t0)) AS BIGINT) AS n_lanes, count(*) AS n_spans FROM k a GROUP BY a.track")
+def lanes_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lanes a track's spans take: as many as meet at one time."""
+    packed = sessions.lanes(tracklets(spark, sf_dir).select("track", "key", "t0", "t1"), ["track"], "t0", "t1", "key")
+    return packed.groupBy("track").agg((F.max("lane") + 1).alias("n_lanes"), F.count("*").alias("n_spans"))
+
+
 @add("lane_packing_invariant", "SELECT 0::BIGINT AS n_clashes")
 def lane_packing_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of one lane that meet, of which packing leaves none."""

@@ -179,7 +179,21 @@ def totals(taken: DataFrame) -> DataFrame:
     return taken.groupBy("ca", "cb").agg(F.count("*").alias("n_matched"), F.round(F.sum("score"), 4).alias("total"))
 
 
-@add("greedy_matching_totals", None)
+#: One edge after another in each lane: the best one whose ends are both free.
+GREEDY = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, vec_id % 4 AS cam, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+e AS (SELECT a.cam AS ca, b.cam AS cb, a.vec_id AS l, b.vec_id AS r, {COS} AS score FROM v a JOIN v b ON a.cam < b.cam WHERE {COS} >= 0.0001),
+t AS (
+  SELECT DISTINCT ca, cb, CAST([] AS BIGINT[]) AS ul, CAST([] AS BIGINT[]) AS ur, 0.0::DOUBLE AS total FROM e
+  UNION ALL
+  SELECT ca, cb, list_append(ul, b.l), list_append(ur, b.r), total + b.score
+  FROM (SELECT t.ca, t.cb, t.ul, t.ur, t.total, arg_min({{'l': l, 'r': r, 'score': score}}, (-score, l, r)) AS b
+        FROM t JOIN e ON t.ca = e.ca AND t.cb = e.cb
+        WHERE NOT list_contains(t.ul, e.l) AND NOT list_contains(t.ur, e.r) GROUP BY t.ca, t.cb, t.ul, t.ur, t.total))
+SELECT CAST(ca AS INTEGER) AS ca, CAST(cb AS INTEGER) AS cb, max(len(ul)) AS n_matched, round(max(total), 4) AS total FROM t GROUP BY ca, cb"""
+
+
+@add("greedy_matching_totals", GREEDY)
 def greedy_matching_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals(greedy_matching(lane_pairs(vectors(spark, sf_dir), "vec_id"), ["ca", "cb"]))
 
@@ -197,6 +211,31 @@ def greedy_matching_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.in_one_row(twice("left"), twice("right"))
 
 
+#: A fold over the links by falling score: two sets join unless they hold members of one camera.
+FOLDED = f"""
+WITH RECURSIVE v AS (SELECT vec_id, vec_id % 4 AS cam, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS q, b.vec_id AS h, {COS} AS score FROM v a JOIN v b ON a.cam <> b.cam),
+r AS (SELECT q, h, score FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, h) <= 3),
+l AS (SELECT DISTINCT least(q, h) AS a, greatest(q, h) AS b, score FROM r WHERE score >= 0.5),
+n AS (SELECT a, b, row_number() OVER (ORDER BY score DESC, a, b) AS i FROM l),
+f AS (
+  SELECT CAST(0 AS BIGINT) AS i, (SELECT list({{'k': vec_id, 'c': cam, 's': vec_id}} ORDER BY vec_id) FROM v) AS m
+  UNION ALL
+  SELECT i + 1, CASE WHEN sa = sb OR list_has_any(list_transform(list_filter(m, lambda x: x.s = sa), lambda x: x.c), list_transform(list_filter(m, lambda x: x.s = sb), lambda x: x.c)) THEN m
+         ELSE list_transform(m, lambda x: {{'k': x.k, 'c': x.c, 's': CASE WHEN x.s = greatest(sa, sb) THEN least(sa, sb) ELSE x.s END}}) END
+  FROM (SELECT f.i, f.m, list_filter(f.m, lambda x: x.k = n.a)[1].s AS sa, list_filter(f.m, lambda x: x.k = n.b)[1].s AS sb FROM f JOIN n ON n.i = f.i + 1))
+SELECT x.k AS key, x.s AS component FROM (SELECT unnest(arg_max(m, i)) AS x FROM f)"""
+
+
+@add("constrained_identities", FOLDED)
+def constrained_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near vectors of different cameras, with one member of a camera at most."""
+    v = vectors(spark, sf_dir)
+    links = near(spark, sf_dir, 3, "cam").where("score >= 0.5").select(F.least("query", "hit").alias("left"), F.greatest("query", "hit").alias("right"), "score").distinct()
+    nodes = v.select(F.col("vec_id").alias("key"), F.col("cam").cast("string").alias("camera"), F.col("vec_id").cast("double").alias("start"), F.col("vec_id").cast("double").alias("end"))
+    return constrained_components(links, nodes, "camera")
+
+
 @add("constrained_identities_invariant", "SELECT 0::BIGINT AS n_violations")
 def constrained_identities_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of one camera in one component, of which the rule ``camera`` leaves none."""

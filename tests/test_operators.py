@@ -325,3 +325,30 @@ def test_held_value_of_one_time_is_the_largest(spark):
     for order in (F.asc("v"), F.desc("v")):
         got = sessions.sample_and_hold(df.orderBy(order), ["k"], "t", "v", 5.0, 6.0)
         assert sorted((r.t, r.v) for r in got.collect()) == [(0.0, 9.0), (5.0, 9.0), (10.0, 2.0)]
+
+
+def test_greedy_matching_by_rounds_and_by_folds(spark):
+    rng = np.random.default_rng(6)
+    edges = [(int(k), int(a), int(b), float(s)) for k, a, b, s in zip(rng.integers(0, 3, 400), rng.integers(0, 25, 400), rng.integers(0, 25, 400), rng.integers(0, 60, 400) / 60, strict=True)]
+    edges = list({(k, a, b): (k, a, b, s) for k, a, b, s in edges}.values())
+    df = spark.createDataFrame(edges, "lane int, left int, right int, score double")
+    used, want = set(), set()
+    for k, a, b, _ in sorted(edges, key=lambda e: (-e[3], e[1], e[2])):
+        if (k, "l", a) not in used and (k, "r", b) not in used:
+            used |= {(k, "l", a), (k, "r", b)}
+            want.add((k, a, b))
+    for at_once in (0, 100, 10_000):
+        assert {(r.lane, r.left, r.right) for r in cluster.greedy_matching(df, ["lane"], at_once=at_once).collect()} == want
+
+
+def test_greedy_matching_of_a_long_path(spark):
+    path = [(0, i // 2, (i + 1) // 2, 1.0 - i / 1000) for i in range(600)]
+    got = cluster.greedy_matching(spark.createDataFrame(path, "lane int, left int, right int, score double"), ["lane"]).collect()
+    assert sorted((r.left, r.right) for r in got) == [(i, i) for i in range(300)]
+
+
+def test_places_in_the_order_of_all_rows(spark):
+    rng = np.random.default_rng(2)
+    rows_ = [(int(x), f"k{i}") for i, x in enumerate(rng.integers(0, 20, 200))]
+    got = cluster.in_order(spark.createDataFrame(rows_, "at int, key string").repartition(5), [F.col("at"), F.col("key")], "place").collect()
+    assert [(r["at"], r.key) for r in sorted(got, key=lambda r: r.place)] == sorted(rows_) and sorted(r.place for r in got) == list(range(1, 201))
