@@ -132,11 +132,12 @@ def in_order(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     return ranged.join(F.broadcast(counts), "_part").withColumn(out, place).drop("_part", "_before")
 
 
-def _greedy(rows: pd.DataFrame, lane: list[str]) -> pd.DataFrame:
+def _greedy(rows: pd.DataFrame, lane: list[str], apart: bool) -> pd.DataFrame:
     """The fold itself: edges by falling score, ties by left and right."""
     rows = rows.sort_values([*lane, "_s", "left", "right"], ascending=[True] * len(lane) + [False, True, True], kind="stable")
     keys = list(zip(*(rows[c] for c in lane), strict=True))
-    lefts, rights, keep = set(), set(), []
+    lefts, keep = set(), []
+    rights = set() if apart else lefts
     for k, a, b in zip(keys, rows["left"], rows["right"], strict=True):
         good = (k, a) not in lefts and (k, b) not in rights
         keep.append(good)
@@ -146,24 +147,28 @@ def _greedy(rows: pd.DataFrame, lane: list[str]) -> pd.DataFrame:
     return rows[keep]
 
 
-def greedy_matching(edges: DataFrame, lane: list[str], score: str = "score", at_once: int = AT_ONCE) -> DataFrame:
+def greedy_matching(edges: DataFrame, lane: list[str], score: str = "score", at_once: int = AT_ONCE, apart: bool = True) -> DataFrame:
     """One-to-one edges within each lane, taken by score (ties by left and right).
 
     While there are more than ``at_once`` edges, rounds take all mutual best choices and drop their ends, which gives the
     same set as one edge after another; each round is two windows and two anti-joins. What is left then is folded by
     tasks, a lane each, so a long path of falling scores needs no round for each of its edges. Keys of left and right are
-    apart (a left key may equal a right one).
+    ``apart`` (a left key may equal a right one), or else a key is used once on either side.
     """
     left = cut(edges.withColumn("_s", F.col(score)), "greedy")
     taken: DataFrame | None = None
     while left.count() > at_once:
         order = [F.desc("_s"), F.asc("left"), F.asc("right")]
-        both = left.withColumn("_l", F.row_number().over(Window.partitionBy(*lane, "left").orderBy(*order))).withColumn("_r", F.row_number().over(Window.partitionBy(*lane, "right").orderBy(*order)))
-        now = cut(both.where("_l = 1 AND _r = 1").drop("_l", "_r"), "greedy-taken")
+        sides = F.array(*[F.struct(F.lit(i if apart else 0).alias("side"), F.col(c).alias("end")) for i, c in enumerate(("left", "right"))])
+        ends = left.withColumn("_end", F.explode(sides))
+        best = ends.withColumn("_n", F.row_number().over(Window.partitionBy(*lane, "_end").orderBy(*order))).where("_n = 1").drop("_n", "_end")
+        now = cut(best.groupBy(*left.columns).agg(F.count("*").alias("_n")).where("_n = 2").drop("_n"), "greedy-taken")
         taken = now if taken is None else taken.unionByName(now)
-        left = left.join(now.select(*lane, "left"), [*lane, "left"], "left_anti").join(now.select(*lane, "right"), [*lane, "right"], "left_anti")
+        gone = now.select(*lane, F.explode(sides).alias("_end")).distinct()
+        for i, c in enumerate(("left", "right")):
+            left = left.join(gone.where(F.col("_end.side") == (i if apart else 0)).select(*lane, F.col("_end.end").alias(c)), [*lane, c], "left_anti")
         left = cut(left.select(*now.columns), "greedy")
-    rest = left.groupBy(*lane).applyInPandas(lambda rows: _greedy(rows, lane), left.schema)
+    rest = left.groupBy(*lane).applyInPandas(lambda rows: _greedy(rows, lane, apart), left.schema)
     return (rest if taken is None else taken.unionByName(rest)).drop("_s")
 
 

@@ -185,7 +185,7 @@ SAME_CAMERA = Weights(0.83, 0.0, 0.07, 0.0, 0.0, 0.10)
 CROSS_CAMERA = Weights(0.75, 0.12, 0.05, 0.05, 0.03, 0.0)
 
 
-def fused(models: dict[str, float], same: Column, colour: Column, temporal: Column, geometry: Column, continuity: Column) -> dict[str, Column]:
+def fused(models: dict[str, float], same: Column, colour: Column, temporal: Column, geometry: Column, continuity: Column, within: Weights = SAME_CAMERA, across: Weights = CROSS_CAMERA) -> dict[str, Column]:
     """fused, agreement and support from columns of model scores: the two best models, and the other evidence by weight.
 
     ``models`` gives the score at which each supports the pair.
@@ -193,7 +193,7 @@ def fused(models: dict[str, float], same: Column, colour: Column, temporal: Colu
     scores = F.reverse(F.array_sort(F.array(*[F.coalesce(F.col(m), F.lit(0.0)) for m in models])))
     top_two = (scores[0] + scores[1]) / 2.0
     part = lambda w: w.top_two * top_two + w.strongest * scores[0] + w.colour * colour + w.temporal * temporal + w.geometry * geometry + w.continuity * continuity
-    return {"fused": clip(F.when(same, part(SAME_CAMERA)).otherwise(part(CROSS_CAMERA)), 0.0, 1.0), "agreement": top_two, "model_support": sum(F.when(F.coalesce(F.col(m), F.lit(0.0)) >= bar, 1).otherwise(0) for m, bar in models.items())}
+    return {"fused": clip(F.when(same, part(within)).otherwise(part(across)), 0.0, 1.0), "agreement": top_two, "model_support": sum(F.when(F.coalesce(F.col(m), F.lit(0.0)) >= bar, 1).otherwise(0) for m, bar in models.items())}
 
 
 def trajectory(prior: Column, following: Column, elapsed: Column, height: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scores
-from tessera.operators import evidence, scoring
+from tessera.operators import evidence, resolver, scoring
 from tessera.plans.base import add
 from tessera.plans.event_queries import EV, boxes, events
 
@@ -275,3 +275,25 @@ def tracklet_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         shape.alias("aspect"), scores.posture(shape).alias("state"), x.alias("x_start"), y.alias("y_start"), x.alias("x_end"), y.alias("y_end"),
     )
     return evidence.groups_of(rows, ["g"]).drop("members").withColumn("aspect", F.round("aspect", 6))
+
+
+def resolver_fixture(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tracklets, features and colours of six people: one cut in two in a camera, one sitting in the other, two alike at one time, one of a single model."""
+    people = [  # key, camera, start, end, shape, x at both ends, person, colour
+        ("a1", "c1", 0, 4, 1.8, 100, 105, 0, 0), ("a2", "c1", 5, 9, 1.8, 108, 112, 0, 0), ("a3", "c2", 11, 20, 0.9, 40, 44, 0, 0), ("b1", "c1", 2, 8, 1.7, 300, 320, 1, 1), ("b2", "c2", 1, 9, 1.7, 10, 12, 1, 1),
+        ("c1", "c2", 30, 36, 1.6, 70, 75, 2, 2), ("d1", "c2", 33, 39, 1.6, 72, 78, 2, 2), ("e1", "c1", 50, 55, 1.6, 90, 95, 3, 3), ("f1", "c2", 50, 55, 1.6, 90, 95, 4, 3),
+    ]
+    unit = lambda i, n: [1.0 if k == i else 0.0 for k in range(n)]
+    rows = [(k, c, float(s), float(e), 5, a, "upright" if a >= 1.35 else "compact", float(x0), 100.0, float(x1), 100.0, 180.0) for k, c, s, e, a, x0, x1, _, _ in people]
+    schema = "key string, camera string, start double, end double, n long, aspect double, state string, x_start double, y_start double, x_end double, y_end double, h_end double"
+    shared = {"e1": {"swin": 5}, "f1": {"swin": 5}}
+    vectors = [(k, m, v, 0, unit(shared.get(k, {}).get(m, p), 8)) for k, _, _, _, a, _, _, p, _ in people for m in MODELS for v in (VIEWS if a >= 1.35 else VIEWS[1:3])]
+    features = spark.createDataFrame(vectors, "key string, model string, view string, seq int, vec array<double>")
+    return spark.createDataFrame(rows, schema), features, spark.createDataFrame([(p[0], unit(p[8], 4)) for p in people], "key string, vec array<double>")
+
+
+@add("resolved_identities", """SELECT * FROM (VALUES ('a1', 'c1', 'G000001'), ('a2', 'c1', 'G000001'), ('a3', 'c2', 'G000001'), ('b1', 'c1', 'G000002'), ('b2', 'c2', 'G000002'),
+('c1', 'c2', 'G000003'), ('d1', 'c2', 'G000004'), ('e1', 'c1', 'G000005'), ('f1', 'c2', 'G000006')) AS t(key, camera, gid)""")
+def resolved_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resolver on a fixed set of tracklets whose identities are known."""
+    return resolver.resolve(*resolver_fixture(spark))[0].select("key", "camera", "gid")

@@ -341,6 +341,20 @@ def test_greedy_matching_by_rounds_and_by_folds(spark):
         assert {(r.lane, r.left, r.right) for r in cluster.greedy_matching(df, ["lane"], at_once=at_once).collect()} == want
 
 
+def test_greedy_matching_where_a_key_is_used_once_on_either_side(spark):
+    rng = np.random.default_rng(8)
+    edges = list({(int(a), int(b)): (0, int(min(a, b)), int(max(a, b)) + 1, float(s)) for a, b, s in zip(rng.integers(0, 20, 150), rng.integers(0, 20, 150), rng.random(150), strict=True)}.values())
+    edges = list({e[1:3]: e for e in edges}.values())
+    used, want = set(), set()
+    for _, a, b, _ in sorted(edges, key=lambda e: (-e[3], e[1], e[2])):
+        if a not in used and b not in used:
+            used |= {a, b}
+            want.add((a, b))
+    df = spark.createDataFrame(edges, "lane int, left int, right int, score double")
+    for at_once in (0, 10_000):
+        assert {(r.left, r.right) for r in cluster.greedy_matching(df, ["lane"], at_once=at_once, apart=False).collect()} == want
+
+
 def test_greedy_matching_of_a_long_path(spark):
     path = [(0, i // 2, (i + 1) // 2, 1.0 - i / 1000) for i in range(600)]
     got = cluster.greedy_matching(spark.createDataFrame(path, "lane int, left int, right int, score double"), ["lane"]).collect()
