@@ -135,6 +135,62 @@ def test_layout():
     assert text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_spanning_cells_stay_aligned():
+    text = lambda x: html_text.extract(x)[1]
+    assert text("<table><tr><td>a<td colspan=2>wide<td>z<tr><td>bb<td>c<td>d<td>e</table>") == "a   wide  z\nbb  c  d  e"
+    assert text("<table><tr><td rowspan=2>tall<td>x<tr><td>y<tr><td>low<td>w</table>") == "tall  x\n      y\nlow   w"
+    assert text("<table><tr><td colspan=3>a long heading<tr><td>1<td>2<td>3</table>") == "a long heading\n1  2  3"
+    assert text("<table><tr><td colspan=9999999>a<td>b</table>") == "a  b"
+
+
+def test_visibility_is_undone_by_children():
+    text = lambda x: html_text.extract(x)[1]
+    assert text("<div style='visibility:hidden'>no <b style='visibility: visible'>yes <i>also</i></b> no</div>end") == "yes also\nend"
+    assert text("<div style='display:none'>no <b style='visibility:visible'>no</b></div>end") == "end"
+    assert text("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>") == "yes"
+
+
+def test_blocks_at_any_depth_and_long_pages():
+    text = lambda x: html_text.extract(x)[1]
+    began = time.time()
+    assert text("<div>" * 50_000 + "one<div>two</div>three") == "one\ntwo\nthree"
+    deep = text("<ul><li>x" * 3_000)
+    assert deep.count("- x") == 3_000 and max(map(len, deep.split("\n"))) <= html_text.MOST_INDENT + 3
+    assert text("<table><tr><td>" * 2_000 + "in") == "in"
+    assert len(text("<p>word <b>bold</b>" * 200_000)) > 2_000_000
+    assert text("</b></i>" * 100_000 + "<b>" * 20_000 + "end") == "end"
+    assert time.time() - began < 60
+
+
+def test_rendering_against_plain_blocks():
+    """Random pages of blocks, lists and inline tags against a plain rendering of the same structure."""
+    rng = np.random.default_rng(9)
+    for _ in range(100):
+        source, want, n = [], [], 0
+        for _ in range(int(rng.integers(1, 8))):
+            kind, words = int(rng.integers(0, 4)), [f"w{n + i}" for i in range(int(rng.integers(1, 5)))]
+            n += len(words)
+            inline = " ".join(f"<b>{w}</b>" if rng.random() < 0.3 else w for w in words)
+            if kind == 0:
+                source.append(f"<p>{inline}" + ("</p>" if rng.random() < 0.5 else ""))
+                want.append(("p", [" ".join(words)]))
+            elif kind == 1:
+                source.append("<ul>" + "".join(f"<li>{w}" for w in words) + "</ul>")
+                want.append(("p", [f"- {w}" for w in words]))
+            elif kind == 2:
+                source.append(f"<div>{inline}</div>")
+                want.append(("div", [" ".join(words)]))
+            else:
+                source.append("<ol start=3>" + "".join(f"<li>{w}</li>" for w in words) + "</ol><p style='display:none'>hidden</p>")
+                want.append(("p", [f"{i + 3}. {w}" for i, w in enumerate(words)]))
+        lines = []
+        for i, (kind, block) in enumerate(want):
+            if i and "p" in (kind, want[i - 1][0]):
+                lines.append("")
+            lines += block
+        assert html_text.extract("\n".join(source))[1] == "\n".join(lines)
+
+
 def test_every_visible_word_once(spark):
     rng = np.random.default_rng(5)
     tags = ["div", "p", "b", "ul", "li", "table", "tr", "td", "span", "h2", "blockquote"]
