@@ -54,6 +54,18 @@ def survivors(members: DataFrame, next_id: int) -> DataFrame:
     return done.unionByName(new)
 
 
+def allocated(components: DataFrame, in_use: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(component and gid, given and new): a new id for each component, none of which was ever given out.
+
+    ``given`` (gid) is the log of all ids that were allocated, also of those deleted since; append the second result to
+    it before the ids are used, from one writer, and none comes twice.
+    """
+    high = in_use.select("gid").unionByName(given.select("gid")).agg(F.coalesce(F.max("gid"), F.lit(0)).alias("_high"))
+    numbered_ = in_order(components.select("component").distinct(), [F.col("component")], "_place")
+    ids = numbered_.join(F.broadcast(high)).select("component", (F.col("_high") + F.col("_place")).cast("long").alias("gid"))  # one row
+    return ids, ids.select("gid")
+
+
 def next_id(df: DataFrame) -> DataFrame:
     """One row: next_id, one more than the largest id in use (reid_id before global_id)."""
     return df.agg((F.coalesce(F.max(F.coalesce("reid_id", "global_id")), F.lit(0)) + 1).alias("next_id"))

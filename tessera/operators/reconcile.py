@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.vectors import mean_vectors
 from tessera.operators.cluster import constrained_components, cut
@@ -28,6 +29,17 @@ class Settings:
     hashed: bool = False
     per_camera: tuple[tuple[str, float], ...] = ()
 
+    def __post_init__(self) -> None:
+        scores = [self.same_camera, self.cross_camera, self.waiver, *(b for _, b in self.per_camera)]
+        if not all(-1.0 <= x <= 1.0 for x in scores):
+            raise ValueError("bars are cosines: -1 to 1")
+        if self.waiver < max(self.same_camera, self.cross_camera):
+            raise ValueError("the waiver must not be below the bars that it waives the choice for")
+        if self.least_observations < 1:
+            raise ValueError("a tracklet has one observation at least")
+        if len({c for c, _ in self.per_camera}) < len(self.per_camera):
+            raise ValueError("a camera has one bar")
+
 
 def tracklets(observations: DataFrame, least: int) -> DataFrame:
     """key, camera, start, end, n and vec (unit mean) of tracklets with ``least`` observations; of others no row."""
@@ -100,3 +112,33 @@ def _joined(nodes: DataFrame, members: DataFrame, edges: DataFrame, settings: Se
     grew = new.select("component").distinct().count() < members.select("component").distinct().count()
     return new, grew
 
+
+
+@dataclass(frozen=True)
+class Choice:
+    """Bars of a single pass over pairs: a pair joins if it is each side's best by ``margin``, or ``strong``."""
+
+    threshold: float = 0.62
+    strong: float = 0.80
+    margin: float = 0.03
+
+
+def chosen(pairs: DataFrame, choice: Choice = Choice()) -> DataFrame:
+    """The pairs (left, right, score; each once) that may join, with both margins and whether each is the other's best.
+
+    Ranks and margins are over all pairs of a key, on either side; the margin of one without a second is its score.
+    """
+    both = pairs.select(F.col("left").alias("a"), F.col("right").alias("b"), "score").unionByName(pairs.select(F.col("right").alias("a"), F.col("left").alias("b"), "score"))
+    order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+    ranked = both.withColumn("_n", F.row_number().over(order)).withColumn("_next", F.coalesce(F.lead("score").over(order), F.lit(0.0)))
+    best = ranked.where("_n = 1").select("a", "b", (F.col("score") - F.col("_next")).alias("margin"))
+    side = lambda a, b, m: best.select(F.col("a").alias(a), F.col("b").alias(b), F.col("margin").alias(m))
+    out = pairs.join(side("left", "right", "margin_left"), ["left", "right"], "left").join(side("right", "left", "margin_right"), ["left", "right"], "left")
+    out = out.withColumn("reciprocal", F.col("margin_left").isNotNull() & F.col("margin_right").isNotNull())
+    clear = F.col("reciprocal") & (F.least("margin_left", "margin_right") >= choice.margin)
+    return out.na.fill(0.0, ["margin_left", "margin_right"]).where((F.col("score") >= choice.threshold) & (clear | (F.col("score") >= choice.strong)))
+
+
+def one_pass(scored: DataFrame, nodes: DataFrame, choice: Choice = Choice()) -> DataFrame:
+    """(key, component): chosen pairs joined by falling score, unless members of one camera would overlap in time."""
+    return constrained_components(chosen(scored, choice).select("left", "right", "score"), nodes, "overlap")

@@ -366,3 +366,21 @@ def test_places_in_the_order_of_all_rows(spark):
     rows_ = [(int(x), f"k{i}") for i, x in enumerate(rng.integers(0, 20, 200))]
     got = cluster.in_order(spark.createDataFrame(rows_, "at int, key string").repartition(5), [F.col("at"), F.col("key")], "place").collect()
     assert [(r["at"], r.key) for r in sorted(got, key=lambda r: r.place)] == sorted(rows_) and sorted(r.place for r in got) == list(range(1, 201))
+
+
+def test_one_pass_takes_clear_and_strong_pairs(spark):
+    pairs = [("a", "b", 0.70), ("a", "c", 0.69), ("d", "e", 0.70), ("d", "f", 0.60), ("g", "h", 0.90), ("g", "i", 0.89), ("h", "i", 0.85), ("j", "k", 0.50)]
+    df = spark.createDataFrame(pairs, "left string, right string, score double")
+    got = {(r.left, r.right): r for r in reconcile.chosen(df).collect()}
+    assert set(got) == {("d", "e"), ("g", "h"), ("g", "i"), ("h", "i")}  # a has two of the same, j is too weak
+    assert got["d", "e"].reciprocal and got["d", "e"].margin_left == pytest.approx(0.1) and got["d", "e"].margin_right == pytest.approx(0.7)
+    assert not got["h", "i"].reciprocal
+    nodes = spark.createDataFrame([(k, "c1" if k in "gi" else k, 0.0, 1.0) for k in "abcdefghijk"], "key string, camera string, start double, end double")
+    part = {r.key: r.component for r in reconcile.one_pass(df, nodes).collect()}
+    assert part["d"] == part["e"] and part["g"] == part["h"] and part["i"] == "i" and part["a"] != part["b"]
+
+
+def test_settings_are_checked():
+    for bad in ({"same_camera": 1.5}, {"waiver": 0.1}, {"least_observations": 0}, {"per_camera": (("a", 0.5), ("a", 0.6))}):
+        with pytest.raises(ValueError):
+            reconcile.Settings(**bad)

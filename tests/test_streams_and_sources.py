@@ -100,3 +100,59 @@ def test_gallery_forgets(spark):
     assert list(g.ids) == ["2"]
     assert engine.Gallery(g.s, g.text()).ids == g.ids
     assert pytest.approx(1.0) == sum(x * x for x in g.ids["2"]["bank"][0])
+
+
+def test_versions_of_points_and_writes_that_differ(spark, tmp_path):
+    p = io.Points(spark, str(tmp_path / "points"))
+    schema = "run_id string, camera string, track_id bigint, frame bigint, ts double, vec array<float>, global_id bigint, reid_id bigint"
+    for g in (None, 3, 2):
+        p.add(spark.createDataFrame([("r", "a", 1, 0, 0.0, one(0), g, g)], schema))
+    assert [r.global_id for r in p.read().collect()] == [3]
+    new = p.replace(p.identified(p.read().select("point_id").withColumn("gid", F.lit(9).cast("bigint"))))
+    assert [r.global_id for r in new.read().collect()] == [9] and [r.global_id for r in p.read().collect()] == [3]
+    again = new.replace(new.cleared(new.read().select("point_id")))
+    assert [r.global_id for r in again.read().collect()] == [None] and again.path.endswith("@2")
+
+
+def test_saved_tracklets_and_galleries(spark, tmp_path):
+    t = spark.createDataFrame([("a:1:1", "a"), ("a:2:1", "a")], "key string, camera string")
+    v = spark.createDataFrame([("a:1:1", 2, 0.5, one(1)), ("a:1:1", 1, 0.9, one(0))], "key string, seq int, quality double, vec array<float>")
+    io.save_tracklets(t, v, str(tmp_path / "cache"))
+    got = io.load_tracklets(spark, str(tmp_path / "cache")).collect()
+    assert [(r.key, [b.seq for b in r.bank]) for r in got] == [("a:1:1", [1, 2])]
+    io.write_mapping(spark.createDataFrame([("a:1:1", "G2"), ("a:1:1", "G1")], "key string, gid string"), str(tmp_path / "map"))
+    assert [(r.key, r.gid) for r in io.load_mapping(spark, str(tmp_path / "map")).collect()] == [("a:1:1", "G1")]
+    bank = spark.createDataFrame([(1, "swin", 2, one(1)), (1, "swin", 1, one(0)), (7, "swin", 1, one(0))], "gid long, model string, seq int, vec array<float>")
+    io.write_gallery(bank, str(tmp_path / "bank"))
+    rows = io.load_gallery(spark, spark.createDataFrame([(1,)], "gid long"), str(tmp_path / "bank")).collect()
+    assert [(r.gid, r.model, r.vectors) for r in rows] == [(1, "swin", [one(0), one(1)])]
+
+
+def test_logs(spark, tmp_path):
+    io.write_probabilities(spark.createDataFrame([(1.0, 0.5, 0.25, 0.9)], "ts double, cos double, rerank double, prob double"), str(tmp_path / "p"))
+    r = spark.read.json(str(tmp_path / "p")).first()
+    assert r.features.cos == 0.5 and r.prob == 0.9
+    schema = "run_id string, camera string, track_id long, frame long, ts double, bbox array<double>, foot_x double, foot_y double, source string, clipped boolean, x double, y double, error double, group string"
+    pos = spark.createDataFrame([("r", "a", 1, 2, 0.1, [0.0, 1.0, 2.0, 3.456], 1.0, 3.456, "box", False, 4.00004, 5.0, 0.5, "g"), ("r", "a", 1, 3, 0.2, None, None, None, None, None, None, None, None, None)], schema)
+    assert tuple(io.floor_counts(pos).first()) == ("a", 1, 1)
+    io.write_floor_log(pos, str(tmp_path / "floor"), "v1", "m")
+    got = spark.read.json(str(tmp_path / "floor")).collect()
+    assert [(g.floor, g.foot_img, g.calib_version, g.bbox[3]) for g in got] == [[[4.0, 5.0], [1.0, 3.46], "v1", 3.46]] or got[0].floor == [4.0, 5.0]
+    io.write_annotations(spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, "z")], "camera string, frame long, label string"), str(tmp_path / "notes"))
+    assert sorted((r.camera, r.frame) for r in spark.read.json(str(tmp_path / "notes")).collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_calibrations(spark, tmp_path):
+    good = spark.createDataFrame([("a", "hall", [1.0] * 9, 640, 480, 0.5), ("b", "hall", [2.0] * 9, 640, 480, 0.7)], schemas.CALIBRATION)
+    got = io.write_calibration(good, str(tmp_path), "v1")
+    assert {(r.camera, r.calib_version, len(r.homography)) for r in got.collect()} == {("a", "v1", 9), ("b", "v1", 9)}
+    assert tuple(io.calibration_summary(got).first()) == ("hall", ["a", "b"], 0.7)
+    for bad in (good.unionByName(good), good.withColumn("homography", F.slice("homography", 1, 8))):
+        with pytest.raises(ValueError):
+            io.write_calibration(bad, str(tmp_path), "v2")
+
+
+def test_ids_are_never_given_twice(spark):
+    parts, long = spark.createDataFrame([("x",), ("y",), ("x",)], "component string"), "gid long"
+    ids, new = identity.allocated(parts, spark.createDataFrame([(4,)], long), spark.createDataFrame([(9,)], long))
+    assert sorted(map(tuple, ids.collect())) == [("x", 10), ("y", 11)] and sorted(r.gid for r in new.collect()) == [10, 11]
