@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scores
-from tessera.operators import evidence, resolver, scoring
+from tessera.operators import evidence, reconcile, resolver, scoring
 from tessera.plans.base import add
 from tessera.plans.event_queries import EV, boxes, events
 
@@ -297,3 +297,31 @@ def resolver_fixture(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFra
 def resolved_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The resolver on a fixed set of tracklets whose identities are known."""
     return resolver.resolve(*resolver_fixture(spark))[0].select("key", "camera", "gid")
+
+
+ONE_PASS = f"""{BANKS.replace("WITH f", "WITH RECURSIVE f")}, {PROTOTYPES},
+t AS (SELECT l, r, avg(cos) FILTER (n <= 5) AS five FROM (SELECT *, row_number() OVER (PARTITION BY l, r ORDER BY cos DESC) AS n FROM x) GROUP BY ALL),
+p AS (SELECT l, r, round(0.55 * prototype + 0.45 * five, 6) AS score FROM t JOIN proto USING (l, r)),
+b AS (SELECT l AS a, r AS b, score FROM p UNION ALL SELECT r, l, score FROM p),
+k AS (SELECT *, row_number() OVER v AS n, coalesce(lead(score) OVER v, 0) AS next FROM b WINDOW v AS (PARTITION BY a ORDER BY score DESC, b)),
+w AS (
+  SELECT p.l, p.r, p.score FROM p LEFT JOIN k x ON x.a = p.l AND x.b = p.r AND x.n = 1 LEFT JOIN k y ON y.a = p.r AND y.b = p.l AND y.n = 1
+  WHERE p.score >= 0.05 AND (p.score >= 0.3 OR least(p.score - x.next, p.score - y.next) >= 0.005 AND x.n = 1 AND y.n = 1)),
+o AS (SELECT l, r, row_number() OVER (ORDER BY score DESC, l, r) AS i FROM w),
+d AS (SELECT key, min(cam) AS cam, min(label) AS label FROM f GROUP BY key),
+z AS (
+  SELECT CAST(0 AS BIGINT) AS i, (SELECT list({{'k': key, 'c': cam, 's': label, 'g': key}} ORDER BY key) FROM d) AS m
+  UNION ALL
+  SELECT i + 1, CASE WHEN ga = gb OR len(list_filter(list_filter(m, lambda q: q.g = ga), lambda q: len(list_filter(list_filter(m, lambda u: u.g = gb), lambda u: u.c = q.c AND NOT (u.s + 1.5 < q.s OR q.s + 1.5 < u.s))) > 0)) > 0
+         THEN m ELSE list_transform(m, lambda q: {{'k': q.k, 'c': q.c, 's': q.s, 'g': CASE WHEN q.g = greatest(ga, gb) THEN least(ga, gb) ELSE q.g END}}) END
+  FROM (SELECT z.i, z.m, list_filter(z.m, lambda q: q.k = o.l)[1].g AS ga, list_filter(z.m, lambda q: q.k = o.r)[1].g AS gb FROM z JOIN o ON o.i = z.i + 1))
+SELECT q.k AS key, q.g AS component FROM (SELECT unnest(arg_max(m, i)) AS q FROM z)"""
+
+
+@add("one_pass_identities", ONE_PASS)
+def one_pass_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Banks joined by clear or strong scores in one pass; a bank lasts 1.5 units from its label on."""
+    rows = banks(spark, sf_dir)
+    scored = scoring.blended(rows.select("key", "vec"), bank_pairs(rows), scoring.CORE_BLEND).withColumn("score", F.round("score", 6))
+    nodes = rows.groupBy("key").agg(F.min("cam").cast("string").alias("camera"), F.min("label").cast("double").alias("start")).withColumn("end", F.col("start") + 1.5)
+    return reconcile.one_pass(scored, nodes, reconcile.Choice(0.05, 0.3, 0.005))
