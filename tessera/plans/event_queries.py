@@ -319,14 +319,14 @@ def lane_packing_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("before", F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1))).where("before > t0").agg(F.count("*").alias("n_clashes"))
 
 
-@add("sample_and_hold", f"{EV}, s AS (SELECT camera, t, value FROM e WHERE track % 50 = 0), b AS (SELECT camera, min(t) AS a, max(t) AS z FROM s GROUP BY camera), g AS (SELECT camera, a + 43200.0::DOUBLE * unnest(range(0, CAST(floor((z - a) / 43200.0) AS BIGINT) + 1)) AS t FROM b) SELECT g.camera, round(g.t, 3) AS t, (SELECT CASE WHEN g.t - max(s.t) <= 86400 THEN arg_max(s.value, (s.t, s.value)) END FROM s WHERE s.camera = g.camera AND s.t <= g.t) AS value FROM g")
+@add("sample_and_hold", f"{EV}, s AS (SELECT track, t, max(value) AS value FROM e GROUP BY track, t), b AS (SELECT track, min(t) AS a, max(t) AS z FROM s GROUP BY track), g AS (SELECT track, a + 43200.0::DOUBLE * unnest(range(0, CAST(floor((z - a) / 43200.0) AS BIGINT) + 1)) AS t FROM b) SELECT g.track, round(g.t, 3) AS t, CASE WHEN g.t - s.t <= 86400 THEN s.value END AS value FROM g ASOF JOIN s ON g.track = s.track AND g.t >= s.t")
 def sample_and_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = events(spark, sf_dir).where("track % 50 = 0").select("camera", "t", "value")
-    return sessions.sample_and_hold(s, ["camera"], "t", "value", 43200.0, 86400.0).select("camera", F.round("t", 3).alias("t"), "value")
+    s = events(spark, sf_dir).select("track", "t", "value")
+    return sessions.sample_and_hold(s, ["track"], "t", "value", 43200.0, 86400.0).select("track", F.round("t", 3).alias("t"), "value")
 
 
 @add("sample_and_hold_all", f"{EV}, s AS (SELECT camera, t, max(value) AS value FROM e GROUP BY camera, t), b AS (SELECT camera, min(t) AS a, max(t) AS z FROM s GROUP BY camera), g AS (SELECT camera, a + 43200.0::DOUBLE * unnest(range(0, CAST(floor((z - a) / 43200.0) AS BIGINT) + 1)) AS t FROM b) SELECT g.camera, round(g.t, 3) AS t, CASE WHEN g.t - s.t <= 86400 THEN s.value END AS value FROM g ASOF JOIN s ON g.camera = s.camera AND g.t >= s.t")
 def sample_and_hold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``sample_and_hold``, whose SQL takes one track of fifty, over every event."""
+    """As ``sample_and_hold``, by camera."""
     s = events(spark, sf_dir).select("camera", "t", "value")
     return sessions.sample_and_hold(s, ["camera"], "t", "value", 43200.0, 86400.0).select("camera", F.round("t", 3).alias("t"), "value")

@@ -35,11 +35,14 @@ def observation_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.observation_support(c, 0.2, 0.5).select("gid", "n_low", "n_stable")
 
 
-@add("mutual_models", f"{PAIRS}, s AS (SELECT la AS model, q AS l, h AS r, score FROM p WHERE la = lb AND ca = 0 AND cb = 1), k AS (SELECT *, row_number() OVER (PARTITION BY model, l ORDER BY score DESC, r) AS i, row_number() OVER (PARTITION BY model, r ORDER BY score DESC, l) AS j FROM s) SELECT l AS \"left\", r AS \"right\", count(*) FILTER (i = 1 AND j = 1) AS n_models FROM k GROUP BY 1, 2")
+@add("mutual_models", f"{PAIRS}, s AS (SELECT la || ':' || ca || ':' || cb AS model, q AS l, h AS r, score FROM p WHERE la = lb AND ca < cb), k AS (SELECT *, row_number() OVER (PARTITION BY model, l ORDER BY score DESC, r) AS i, row_number() OVER (PARTITION BY model, r ORDER BY score DESC, l) AS j FROM s) SELECT l AS \"left\", r AS \"right\", count(*) FILTER (i = 1 AND j = 1) AS n_models FROM k GROUP BY 1, 2")
 def mutual_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = label_pairs(spark, sf_dir)
-    s = p.where("ca = 0 AND cb = 1").select("label", F.col("a").alias("left"), F.col("b").alias("right"), "cos").unionByName(p.where("ca = 1 AND cb = 0").select("label", F.col("b").alias("left"), F.col("a").alias("right"), "cos"))
-    return evidence.mutual_models(s.select(F.col("label").alias("model"), "left", "right", F.col("cos").alias("score")))
+    """By how many models two vectors are each other's best; labels and two cameras stand for a model."""
+    p = label_pairs(spark, sf_dir).where("ca <> cb")
+    turned = F.col("ca") > F.col("cb")
+    model = F.concat_ws(":", "label", F.least("ca", "cb"), F.greatest("ca", "cb"))
+    pair = (F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b")))
+    return evidence.mutual_models(p.select(model.alias("model"), pair[0].alias("left"), pair[1].alias("right"), F.col("cos").alias("score")))
 
 
 @add("accepted_pairs", "WITH x AS (SELECT event_id, (user_id % 100) / 100.0::DOUBLE AS fused, (event_id % 100) / 100.0::DOUBLE AS agreement, (event_id % 50) / 50.0::DOUBLE AS continuity, event_id % 4 AS s, event_id % 7 - 1 AS gap FROM events) SELECT event_id, CASE WHEN gap <= 0 THEN 'overlap' WHEN s < 2 THEN 'support' WHEN agreement < 0.5 THEN 'agreement' WHEN continuity < 0.22 THEN 'continuity' WHEN fused < 0.48 THEN 'fused' ELSE 'accepted' END AS same_reason, CASE WHEN s < 2 THEN 'support' WHEN agreement < 0.48 THEN 'agreement' WHEN fused < 0.6 THEN 'fused' ELSE 'accepted' END AS cross_reason FROM x")

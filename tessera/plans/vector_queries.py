@@ -67,10 +67,11 @@ def weighted_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of vectors of one label: an equality that keeps pairs to an entity's own."""
+    """All pairs of vectors of one label, compared in cells of bounded size: no label is a key that rows are joined on."""
     v = vectors(spark, sf_dir)
-    a, b = (v.select("label", F.col("vec_id").alias(s), F.col("vec").alias(f"v{s}"), F.col("cam").alias(f"c{s}")) for s in "ab")
-    return a.join(b, "label").where("a < b").select("label", "a", "b", "ca", "cb", F.round(cosine(F.col("va"), F.col("vb")), 4).alias("cos"))
+    found = edges.over(v, v, "vec_id", "vec", -1.0, "label", alike=True).where("query < hit")
+    a, b = v.select("label", F.col("vec_id").alias("query"), F.col("cam").alias("ca")), v.select(F.col("vec_id").alias("hit"), F.col("cam").alias("cb"))
+    return found.join(a, "query").join(b, "hit").select("label", F.col("query").alias("a"), F.col("hit").alias("b"), "ca", "cb", F.col("score").alias("cos"))
 
 
 @add("entity_scores", f"{PAIRS}, r AS (SELECT la AS label, score, count(*) OVER (PARTITION BY la) AS n, row_number() OVER (PARTITION BY la ORDER BY score DESC) AS i FROM p WHERE la = lb AND q < h) SELECT label, max(score) AS max_exemplar, round(avg(score) FILTER (i <= greatest(1, round_even(n * 0.3, 0))), 4) AS consensus, count(*) AS n FROM r GROUP BY label")
@@ -95,11 +96,15 @@ def score_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return three.groupBy("query").agg(at(1).alias("best"), F.round(at(1) - at(2), 4).alias("margin"), F.round(at(1) - at(3), 4).alias("margin_third"))
 
 
-@add("row_and_column_margins", f"{PAIRS}, r AS (SELECT q, h, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, h) AS n FROM p WHERE ca = 0 AND cb = 1 QUALIFY n <= 5), m AS (SELECT q, h, score, max(score) OVER (PARTITION BY q) AS mq, max(score) OVER (PARTITION BY h) AS mh, row_number() OVER (PARTITION BY q ORDER BY score DESC, h) AS i, row_number() OVER (PARTITION BY h ORDER BY score DESC, q) AS j, nth_value(score, 2) OVER (PARTITION BY q ORDER BY score DESC, h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS sq, nth_value(score, 2) OVER (PARTITION BY h ORDER BY score DESC, q ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS sh FROM r) SELECT q AS \"left\", h AS \"right\", score, round(score - CASE WHEN i = 1 THEN coalesce(sq, 0) ELSE mq END, 4) AS margin_left, round(score - CASE WHEN j = 1 THEN coalesce(sh, 0) ELSE mh END, 4) AS margin_right FROM m")
+MARGINS = "SELECT *, max(score) OVER (PARTITION BY q, cb) AS mq, max(score) OVER (PARTITION BY h, ca) AS mh, row_number() OVER (PARTITION BY q, cb ORDER BY score DESC, h) AS i, row_number() OVER (PARTITION BY h, ca ORDER BY score DESC, q) AS j, nth_value(score, 2) OVER (PARTITION BY q, cb ORDER BY score DESC, h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS sq, nth_value(score, 2) OVER (PARTITION BY h, ca ORDER BY score DESC, q ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS sh FROM r"
+
+
+@add("row_and_column_margins", f"{PAIRS}, r AS (SELECT ca, cb, q, h, score FROM p WHERE ca < cb AND score >= 0.0001), w AS ({MARGINS}) SELECT q AS \"left\", h AS \"right\", score, round(score - CASE WHEN i = 1 THEN coalesce(sq, 0) ELSE mq END, 4) AS margin_left, round(score - CASE WHEN j = 1 THEN coalesce(sh, 0) ELSE mh END, 4) AS margin_right FROM w")
 def row_and_column_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir)
-    pairs = edges.search(v.where("cam = 0"), v.where("cam = 1"), "vec_id", "vec", 5).select(F.col("query").alias("left"), F.col("hit").alias("right"), "score")
-    return edges.margins(pairs).select("left", "right", "score", F.round("margin_left", 4).alias("margin_left"), F.round("margin_right", 4).alias("margin_right"))
+    """Both margins of every pair of positive score, in every lane of two cameras."""
+    pairs = lane_pairs(vectors(spark, sf_dir), "vec_id").withColumn("row", F.struct("left", "cb")).withColumn("column", F.struct("right", "ca"))
+    out = edges.margins(pairs, "row", "column")
+    return out.select("left", "right", "score", F.round("margin_left", 4).alias("margin_left"), F.round("margin_right", 4).alias("margin_right"))
 
 
 ROW_COLUMN_ALL = f"{PAIRS}, r AS (SELECT ca, cb, q, h, score FROM p WHERE ca < cb), w AS (SELECT *, max(score) OVER (PARTITION BY q, cb) AS mq, max(score) OVER (PARTITION BY h, ca) AS mh, row_number() OVER (PARTITION BY q, cb ORDER BY score DESC, h) AS i, row_number() OVER (PARTITION BY h, ca ORDER BY score DESC, q) AS j, nth_value(score, 2) OVER (PARTITION BY q, cb ORDER BY score DESC, h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS sq, nth_value(score, 2) OVER (PARTITION BY h, ca ORDER BY score DESC, q ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS sh FROM r) SELECT q AS \"left\", h AS \"right\", score, round(score - CASE WHEN i = 1 THEN coalesce(sq, 0) ELSE mq END, 4) AS margin_left, round(score - CASE WHEN j = 1 THEN coalesce(sh, 0) ELSE mh END, 4) AS margin_right FROM w WHERE i = 1 OR j = 1"
@@ -107,8 +112,8 @@ ROW_COLUMN_ALL = f"{PAIRS}, r AS (SELECT ca, cb, q, h, score FROM p WHERE ca < c
 
 @add("row_and_column_margins_all", ROW_COLUMN_ALL)
 def row_and_column_margins_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``row_and_column_margins``, whose SQL takes one lane and the five nearest: the best pair of each row and of each
-    column of every lane, with margins over the whole row and column."""
+    """The best pair of each row and of each column of every lane, with margins over the whole row and column, from the
+    two nearest of each."""
     v = vectors(spark, sf_dir)
     sides = [edges.search(v, v.where(F.col("cam") == c), "vec_id", "vec", 2, "cam").withColumn("to", F.lit(c)) for c in sorted(r.cam for r in v.select("cam").distinct().collect())]
     two = sides[0]
@@ -147,7 +152,9 @@ def separation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("camera_similarity", f"{PAIRS} SELECT la AS label, least(ca, cb)::INTEGER AS camera_x, greatest(ca, cb)::INTEGER AS camera_y, count(*) AS n, round(avg(score), 4) AS mean FROM p WHERE la = lb AND q < h GROUP BY 1, 2, 3")
 def camera_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = label_pairs(spark, sf_dir)
+    v = vectors(spark, sf_dir)
+    a, b = (v.select("label", F.col("vec_id").alias(s), F.col("vec").alias(f"v{s}"), F.col("cam").alias(f"c{s}")) for s in "ab")
+    p = a.join(b, "label").where("a < b").select("label", "ca", "cb", F.round(cosine(F.col("va"), F.col("vb")), 4).alias("cos"))
     return p.groupBy("label", F.least("ca", "cb").alias("camera_x"), F.greatest("ca", "cb").alias("camera_y")).agg(F.count("*").alias("n"), F.round(F.avg("cos"), 4).alias("mean"))
 
 
