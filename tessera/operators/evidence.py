@@ -37,17 +37,17 @@ def cross_camera_reason(bars: Bars = Bars()) -> Column:
 
 @dataclass(frozen=True)
 class BodyBars:
-    """Bars of the rules that accept an identity for a track by its body."""
+    """Bars of the rules that accept an identity for a track by its body."""
 
-    threshold: float = 0.62
+    threshold: float = 0.60
     strong: float = 0.72
-    margin: float = 0.04
+    margin: float = 0.035
     support: int = 2
-    accumulated: float = 0.54
-    accumulated_support: int = 4
+    accumulated: float = 0.56
+    accumulated_support: int = 3
     partial: float = 0.58
     partial_support: int = 2
-    continuity: float = 0.30
+    continuity: float = 0.35
     spatial: float = 0.35
     continuous_body: float = 0.48
     small_margin: float = 0.02
@@ -82,6 +82,44 @@ def accepted_by_body(bars: BodyBars = BodyBars(), faces: bool = False, guarded:
     return first_reason(*rules, otherwise="pending")
 
 
+@dataclass(frozen=True)
+class LiveBars:
+    """Bars of the gates that a live match passes."""
+
+    models: int = 2
+    views: int = 2
+    same_camera: float = 0.52
+    across: float = 0.56
+    strong: float = 0.76
+    attributes: float = 0.46
+    score: float = 0.62
+    margin: float = 0.035
+    clear: float = 0.74
+
+
+def _seen_enough(bars: LiveBars) -> tuple[Column, Column]:
+    """Whether views and attributes speak for a match, or deep evidence is so strong that they need not."""
+    strong = F.col("deep") >= bars.strong
+    return (F.col("view_support") >= bars.views) | strong, (F.col("attributes") >= bars.attributes) | strong
+
+
+def live_reason(bars: LiveBars = LiveBars()) -> Column:
+    """Why a live match is refused, or ``accepted``; from model_support, deep (mean of the two best models), view_support,
+    attributes (their mean), score, second and same_camera."""
+    views, attributes = _seen_enough(bars)
+    least = F.when(F.col("same_camera"), bars.same_camera).otherwise(bars.across)
+    return first_reason(
+        ("models", F.col("model_support") < bars.models), ("deep", F.col("deep") < least), ("views", ~views), ("attributes", ~attributes), ("score", F.col("score") < bars.score),
+        ("margin", (F.col("score") - F.col("second") < bars.margin) & (F.col("deep") < bars.clear)), otherwise="accepted",
+    )
+
+
+def still_own(bars: LiveBars = LiveBars()) -> Column:
+    """Whether a track still looks like the identity it has: the gates but those of rank."""
+    views, attributes = _seen_enough(bars)
+    return (F.col("model_support") >= bars.models) & (F.col("deep") >= bars.same_camera) & views & attributes
+
+
 def accepted_by_gallery(threshold: float, strong: float, support: int, margin: float) -> Column:
     """Whether the best identity is taken: enough score with support and margin, or a strong score alone."""
     c = F.col

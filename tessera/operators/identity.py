@@ -54,6 +54,21 @@ def survivors(members: DataFrame, next_id: int) -> DataFrame:
     return done.unionByName(new)
 
 
+def best_others(bank: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """gid and best_other: how well any other identity's prototype fits the bank (gid, seq, vec) of each.
+
+    A prototype fits by the bank's mean or its nearest exemplar. A match with gid whose own score, taken against the same
+    bank, is less than this is no reciprocal one.
+    """
+    means = mean_vectors(bank, ["gid"], "vec", "vec").withColumn("seq", F.lit(-1).cast("long"))
+    asks = bank.select("gid", F.col("seq").cast("long").alias("seq"), "vec").unionByName(means.select("gid", "seq", F.col("vec").cast(bank.schema["vec"].dataType).alias("vec")))
+    key = F.concat_ws(":", F.col("gid").cast("string"), F.col("seq").cast("string")).alias("id")
+    asks = asks.select(key, "gid", "vec")
+    base = prototypes.select(F.concat(F.lit("p:"), F.col("gid").cast("string")).alias("id"), "gid", F.col("vec").cast(bank.schema["vec"].dataType).alias("vec"))
+    best = search(asks, base, "id", "vec", 1, "gid")
+    return best.join(asks.select(F.col("id").alias("query"), "gid"), "query").groupBy("gid").agg(F.max("score").alias("best_other"))
+
+
 def allocated(components: DataFrame, in_use: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(component and gid, given and new): a new id for each component, none of which was ever given out.
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scores
-from tessera.operators import evidence, reconcile, resolver, scoring
+from tessera.functions.vectors import mean_vectors, unit
+from tessera.operators import evidence, identity, reconcile, resolver, scoring
 from tessera.plans.base import add
 from tessera.plans.event_queries import EV, boxes, events
 
@@ -182,16 +183,16 @@ MADE = """WITH x AS (
   SELECT event_id, (event_id % 101) / 101.0::DOUBLE AS score, (event_id % 37) / 37.0::DOUBLE * 0.9 AS second, (user_id % 97) / 97.0::DOUBLE AS body, event_id % 6 AS support, event_id % 5 = 0 AS partial,
          (event_id % 11) / 11.0::DOUBLE AS temporal, (event_id % 13) / 13.0::DOUBLE AS spatial, (event_id % 17) / 17.0::DOUBLE AS face, (event_id % 19) / 19.0::DOUBLE AS face_quality FROM events),
 y AS (SELECT *, score - second AS margin FROM x)"""
-STRONG = "WHEN body >= 0.72 AND (margin >= 0.04 OR support >= 2) THEN 'body_strong' WHEN body >= 0.62 AND support >= 2 AND margin >= 0.04 THEN 'body_gallery'"
-LOOSE = f"WHEN temporal >= 0.3 AND spatial >= 0.35 AND body >= 0.48 THEN 'recent_lost_track' {STRONG} WHEN body >= 0.54 AND support >= 4 AND margin >= 0.02 THEN 'body_accumulated' WHEN partial AND body >= 0.58 AND support >= 2 AND margin >= 0.02 THEN 'partial_body'"
+STRONG = "WHEN body >= 0.72 AND (margin >= 0.035 OR support >= 2) THEN 'body_strong' WHEN body >= 0.6 AND support >= 2 AND margin >= 0.035 THEN 'body_gallery'"
+LOOSE = f"WHEN temporal >= 0.35 AND spatial >= 0.35 AND body >= 0.48 THEN 'recent_lost_track' {STRONG} WHEN body >= 0.56 AND support >= 3 AND margin >= 0.02 THEN 'body_accumulated' WHEN partial AND body >= 0.58 AND support >= 2 AND margin >= 0.02 THEN 'partial_body'"
 
 
 @add("accepting_rules", f"""{MADE}
 SELECT event_id, CASE {LOOSE} ELSE 'pending' END AS body_reason,
        CASE WHEN face >= 0.9 AND face_quality >= 0.6 THEN 'face_assisted' {LOOSE}
             WHEN face >= 0.8 AND face_quality >= 0.6 AND body >= 0.42 AND margin >= 0.02 THEN 'face_body_assist' ELSE 'pending' END AS face_reason,
-       CASE WHEN temporal >= 0.3 AND spatial >= 0.35 AND body >= 0.56 AND support >= 2 AND margin >= 0.04 THEN 'recent_lost_track' {STRONG}
-            WHEN body >= 0.54 AND support >= 4 AND margin >= 0.04 THEN 'body_accumulated' WHEN partial AND body >= 0.6 AND support >= 2 AND margin >= 0.04 THEN 'partial_body'
+       CASE WHEN temporal >= 0.35 AND spatial >= 0.35 AND body >= 0.56 AND support >= 2 AND margin >= 0.035 THEN 'recent_lost_track' {STRONG}
+            WHEN body >= 0.56 AND support >= 3 AND margin >= 0.035 THEN 'body_accumulated' WHEN partial AND body >= 0.6 AND support >= 2 AND margin >= 0.035 THEN 'partial_body'
             ELSE 'pending' END AS guarded_reason,
        score >= 0.5 AND ((support >= 2 AND margin >= 0.04) OR score >= 0.8) AS by_gallery FROM y""")
 def accepting_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,3 +326,28 @@ def one_pass_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scoring.blended(rows.select("key", "vec"), bank_pairs(rows), scoring.CORE_BLEND).withColumn("score", F.round("score", 6))
     nodes = rows.groupBy("key").agg(F.min("cam").cast("string").alias("camera"), F.min("label").cast("double").alias("start")).withColumn("end", F.col("start") + 1.5)
     return reconcile.one_pass(scored, nodes, reconcile.Choice(0.05, 0.3, 0.005))
+
+
+@add("live_gates", """WITH x AS (
+  SELECT event_id, event_id % 4 AS m, (user_id % 97) / 97.0::DOUBLE AS d, event_id % 3 AS v, (event_id % 19) / 19.0::DOUBLE AS a, (event_id % 101) / 101.0::DOUBLE AS s, (event_id % 37) / 37.0::DOUBLE AS z, event_id % 2 = 0 AS same FROM events)
+SELECT event_id, CASE WHEN m < 2 THEN 'models' WHEN d < CASE WHEN same THEN 0.52 ELSE 0.56 END THEN 'deep' WHEN v < 2 AND d < 0.76 THEN 'views' WHEN a < 0.46 AND d < 0.76 THEN 'attributes'
+       WHEN s < 0.62 THEN 'score' WHEN s - z < 0.035 AND d < 0.74 THEN 'margin' ELSE 'accepted' END AS reason,
+       m >= 2 AND d >= 0.52 AND (v >= 2 OR d >= 0.76) AND (a >= 0.46 OR d >= 0.76) AS own FROM x""")
+def live_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    x = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", (i % 4).alias("model_support"), _share("user_id", 97).alias("deep"), (i % 3).alias("view_support"), _share("event_id", 19).alias("attributes"),
+        _share("event_id", 101).alias("score"), _share("event_id", 37).alias("second"), (i % 2 == 0).alias("same_camera"),
+    )
+    return x.select("event_id", evidence.live_reason().alias("reason"), evidence.still_own().alias("own"))
+
+
+@add("reciprocal_guard", f"""{BANKS}, u AS (SELECT label, list_transform(e, lambda z: z / (sqrt(list_dot_product(e, e)) + 1e-12)) AS e FROM f),
+c AS (SELECT label, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS z FROM u),
+m AS (SELECT label, list(z ORDER BY i) AS e FROM (SELECT label, i, avg(z) AS z FROM c GROUP BY ALL) GROUP BY ALL),
+q AS (SELECT label, e FROM f UNION ALL SELECT label, e FROM m)
+SELECT a.label AS gid, max(round({RAW}, 4)) AS best_other FROM q a JOIN m b ON a.label <> b.label GROUP BY a.label""")
+def reciprocal_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each label's bank, the best fit of any other label's prototype."""
+    bank = banks(spark, sf_dir).select(F.col("label").alias("gid"), "seq", unit(F.col("vec")).alias("vec"))
+    return identity.best_others(bank, mean_vectors(bank, ["gid"], "vec", "vec"))
