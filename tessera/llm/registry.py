@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, html_text, jaccard, licenses, mixing, quality, rules, sharding, substrings, toxicity
+from tessera.llm import decontamination, html_text, jaccard, licenses, mixing, quality, rules, secret_scan, sharding, substrings, toxicity
 from tessera.llm.common import table
 
 
@@ -50,5 +50,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_jaccard": op2_jaccard, "op3_toxicity": op3_toxicity, "op4_rules": op4_rules, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op7_substrings": op7_substrings, "op8_sharding": op8_sharding, "op9_html_text": op9_html_text, "op10_decontamination": op10_decontamination}
-ORACLES: dict[str, str] = {"op2_jaccard": jaccard.ORACLE, "op5_mixing": mixing.ORACLE}
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_jaccard": op2_jaccard,
+    "op3_toxicity": op3_toxicity,
+    "op4_rules": op4_rules,
+    "op5_mixing": op5_mixing,
+    "op6_licenses": op6_licenses,
+    "op7_substrings": op7_substrings,
+    "op8_sharding": op8_sharding,
+    "op9_html_text": op9_html_text,
+    "op10_decontamination": op10_decontamination,
+    "op11_secrets": op11_secrets,
+}
+ORACLES: dict[str, str] = {
+    "op2_jaccard": jaccard.ORACLE,
+    "op5_mixing": mixing.ORACLE,
+    "op11_secrets": secret_scan.ORACLE,
+}

@@ -21,7 +21,8 @@ def rounded(x):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DIR}/documents.parquet')")
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
     found = con.execute(registry.ORACLES[name])
     columns = [c[0] for c in found.description]
     want = sorted((tuple(map(rounded, r)) for r in found.fetchall()), key=repr)
