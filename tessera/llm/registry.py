@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, html_text, jaccard, licenses, mixing, quality, rules, secret_scan, sharding, substrings, toxicity
+from tessera.llm import centroids, decontamination, html_text, jaccard, licenses, mixing, quality, rules, secret_scan, sharding, substrings, toxicity
 from tessera.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_jaccard": op2_jaccard,
@@ -66,9 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
     "op10_decontamination": op10_decontamination,
     "op11_secrets": op11_secrets,
+    "op12_centroids": op12_centroids,
 }
 ORACLES: dict[str, str] = {
     "op2_jaccard": jaccard.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op11_secrets": secret_scan.ORACLE,
+    "op12_centroids": centroids.ORACLE,
 }
