@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import centroids, decontamination, html_text, jaccard, licenses, mixing, quality, rules, secret_scan, sharding, substrings, toxicity
+from tessera.llm import centroids, decontamination, html_text, jaccard, licenses, mixing, quality, ranked, rules, secret_scan, sharding, substrings, toxicity
 from tessera.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_jaccard": op2_jaccard,
@@ -71,10 +75,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_secrets": op11_secrets,
     "op12_centroids": op12_centroids,
+    "op13_ranked": op13_ranked,
 }
 ORACLES: dict[str, str] = {
     "op2_jaccard": jaccard.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op11_secrets": secret_scan.ORACLE,
     "op12_centroids": centroids.ORACLE,
+    "op13_ranked": ranked.ORACLE,
 }
