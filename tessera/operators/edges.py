@@ -36,7 +36,7 @@ def _numbers(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray,
     return order[: len(left)], order[len(left) :]
 
 
-def _cells(queries: DataFrame, base: DataFrame, columns: list[str], size: int) -> tuple[PandasCogroupedOps, DataFrame, DataFrame]:
+def met_in_cells(queries: DataFrame, base: DataFrame, columns: list[str], size: int) -> tuple[PandasCogroupedOps, DataFrame, DataFrame]:
     """Rows of both sides dealt by a hash into strips and lanes of about ``size``, met in one group for each two of them.
 
     A group holds one strip and one lane, so what a task holds is bounded, whatever the number of rows; each row is
@@ -79,7 +79,7 @@ def search(queries: DataFrame, base: DataFrame, row: str, vector: str, k: int, a
     shuffled. A task holds two strips of vectors and one slab of scores (64 MB). A row is not its own hit, nor one with
     the same ``apart`` value.
     """
-    cells, queries, base = _cells(queries, base, [row, vector] + ([apart] if apart else []), size)
+    cells, queries, base = met_in_cells(queries, base, [row, vector] + ([apart] if apart else []), size)
     bar = round(least * 10_000)
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -109,7 +109,7 @@ def over(queries: DataFrame, base: DataFrame, row: str, vector: str, least: floa
     With ``side``, only pairs whose values of it differ (``alike``: are equal), which tasks see to before they give pairs.
     A cell gives ``size`` squared pairs at most.
     """
-    cells, queries, base = _cells(queries, base, [row, vector] + ([side] if side else []), size)
+    cells, queries, base = met_in_cells(queries, base, [row, vector] + ([side] if side else []), size)
     bar = max(UNLIKE + 1, int(np.ceil(least * 10_000 - 1e-6)))
 
     def found(left: pa.Table, right: pa.Table) -> pa.Table:

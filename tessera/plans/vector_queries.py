@@ -273,11 +273,6 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.concat_ws(":", "cam", "label", "piece").alias("key"), F.col("cam").cast("string").alias("camera"), F.col("vec_id").cast("double").alias("ts"), "vec")
 
 
-@add("reconciled_identities", None)
-def reconciled_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.reconcile(pieces(spark, sf_dir))
-
-
 @add("reconciled_identities_invariant", f"{ALL}, k AS (SELECT cam, label, (row_number() OVER (PARTITION BY label, cam ORDER BY vec_id) - 1) // 4 AS piece FROM v), t AS (SELECT 1 FROM k GROUP BY cam, label, piece HAVING count(*) >= 3) SELECT count(*) AS n_tracklets, 0::BIGINT AS n_violations FROM t")
 def reconciled_identities_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracklets with an identity, and pairs of one identity that one camera saw at one time, of which there are none."""
