@@ -3,7 +3,8 @@
 All items are one index, whatever their number (blocks of WORDS words, for one scan of the corpus each), which is built
 on the driver and broadcast. Windows are embedded only where an item can begin: an item of n words with at most k edits,
 cut into k + 1 pieces, keeps a piece as it is, so windows around places where no piece of an item of their length stands
-hold no leak. This bound is exact.
+hold no leak. This bound is exact. How many coordinates a hash takes follows from an item's length: edits put the walks
+out of step more often in long items, so it is measured on made-up items with as many edits as they may have.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from tessera.llm.toxicity import tokens
 EDITS = 0.2
 TABLES = 24
 BITS = 4
+RECALL = 0.97
+TRIALS = 64
+STEPS = 16 << 20
 SEED = 7919
 WORDS = 16 << 20
 SLICE = 8 << 20
-WALKS = 1 << 11
 SIEVE = 1 << 22
 
 
@@ -47,10 +50,14 @@ class Index:
         #: picks[table]: which share of a walk's steps are sampled.
         self.picks = np.sort(rng.random((TABLES, BITS)), axis=1)
         self.pieces = self._pieces()
+        self.bits = np.zeros(longest + 1, np.int64)
+        for top in sorted({rung(size) for size in self.by_size}):
+            some = [size for size in self.by_size if rung(size) == top]
+            self.bits[some] = self._bits(min(top, longest))
         hashed = np.zeros((len(self.items), TABLES), np.uint64)
         for size, members in self.by_size.items():
-            for at in range(0, len(members), WALKS):
-                some = members[at : at + WALKS]
+            for at in range(0, len(members), rows_of(size)):
+                some = members[at : at + rows_of(size)]
                 hashed[some] = self.sampled(np.stack([self.items[n][1] for n in some]), np.full(len(some), size))
         order = np.argsort(hashed, axis=0, kind="stable")
         self.tables = [(hashed[order[:, t], t], order[:, t].astype(np.int32)) for t in range(TABLES)]
@@ -74,8 +81,32 @@ class Index:
             out[width] = keys[order], sizes[order], places[order], sieve
         return out
 
-    def sampled(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """For each row of words (``sizes`` of which count) and each table, a hash of BITS coordinates of its CGK embedding.
+    def _bits(self, size: int) -> int:
+        """The most coordinates a hash may have so that items of ``size`` words with all the edits they may have are found.
+
+        It is measured: of made-up items and their edited forms, RECALL must share a hash. No coordinate at all (0) means
+        that every window around a piece is verified by its edits, which is exact.
+        """
+        rng = np.random.default_rng([SEED, size])
+        n, k = max(16, min(TRIALS, STEPS // (4 * size * TABLES))), budget(size)
+        hashes = mix(np.arange(2 * size + 2, dtype=np.uint64) + np.uint64(SEED ^ size))
+        items, forms, lengths = rng.integers(1, 2 * size + 2, (n, size)), np.zeros((n, 2 * size), np.int64), np.zeros(n, np.int64)
+        for i, item in enumerate(items):
+            form = item.tolist()
+            for _ in range(k):
+                at, kind = int(rng.integers(0, len(form))), int(rng.integers(0, 3))
+                form[at : at + (kind != 1)] = [] if kind == 0 and len(form) > 1 else [int(rng.integers(1, 2 * size + 2))]
+            form += rng.integers(1, 2 * size + 2, max(0, size - len(form))).tolist()  # a window goes on past a shorter form
+            forms[i, : len(form)], lengths[i] = form, size
+        both = np.full(n, size)
+        for bits in range(BITS, 0, -1):
+            match = self.sampled(items, both, np.full(size + 1, bits), hashes) == self.sampled(forms[:, :size], lengths, np.full(size + 1, bits), hashes)
+            if match.any(axis=1).mean() >= RECALL:
+                return bits
+        return 0
+
+    def sampled(self, rows: np.ndarray, sizes: np.ndarray, bits: np.ndarray | None = None, hashes: np.ndarray | None = None) -> np.ndarray:
+        """For each row of words (``sizes`` of which count) and each table, a hash of its size's coordinates of its CGK embedding.
 
         The walk reads a word at each of 2 * size steps, and moves on if the coin of (step, word) says so; two rows that
         share a subsequence fall in step again soon after an edit. Past its end a row reads 0.
@@ -86,7 +117,7 @@ class Index:
         base, flat = (np.arange(n, dtype=np.int32) * (width + 1))[:, None], padded.ravel()
         at, last = np.zeros((n, TABLES), np.int32), sizes[:, None].astype(np.int32)
         read = np.empty((steps, n, TABLES), np.int32)
-        flips = self.hashes[flat]
+        flips = (self.hashes if hashes is None else hashes)[flat]
         for step in range(steps):
             here = base + at
             read[step] = flat[here]
@@ -97,9 +128,11 @@ class Index:
             np.minimum(at, last, out=at)
         out = np.repeat(mix(sizes.astype(np.uint64))[:, None], TABLES, axis=1)
         rows_, tables = np.arange(n)[:, None], np.arange(TABLES)[None, :]
-        for pick in range(BITS):
+        used = (self.bits if bits is None else bits)[sizes]
+        for pick in range(int(used.max(initial=0))):
             step = (self.picks[:, pick][None, :] * 2 * sizes[:, None]).astype(np.int64)
-            out = mix(out ^ (read[step, rows_, tables].astype(np.uint64) + np.uint64(pick << 40)))
+            more = mix(out ^ (read[step, rows_, tables].astype(np.uint64) + np.uint64(pick << 40)))
+            out = np.where((used > pick)[:, None], more, out)
         return out
 
     def windows(self, ids: np.ndarray, firsts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +177,19 @@ def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def rung(size: int) -> int:
+    """Lengths that share their number of coordinates: up to the next of a row of lengths, each a quarter longer than the last."""
+    top = 8
+    while top < size:
+        top += max(1, top // 4)
+    return top
+
+
+def rows_of(size: int) -> int:
+    """Rows of ``size`` words that are walked at once: their steps and tables are bounded."""
+    return max(1, STEPS // (2 * size * TABLES))
+
+
 def budget(size: int) -> int:
     """Edits that an item of ``size`` words may have."""
     return int(EDITS * size)
@@ -177,8 +223,14 @@ def leaks_of(ids: np.ndarray, doc: np.ndarray, index: Index) -> dict[int, dict[i
     ends, firsts = np.repeat(np.cumsum(counts), counts), np.repeat(np.cumsum(counts) - counts, counts)
     place, size = index.windows(ids, firsts, ends)
     seen: set[tuple[int, int]] = set()
-    for i in range(0, len(place), WALKS):
-        at, width = place[i : i + WALKS], size[i : i + WALKS]
+    order = np.lexsort((place, size))
+    place, size = place[order], size[order]
+    i = 0
+    while i < len(place):
+        n = rows_of(int(size[i]))
+        n = rows_of(int(size[min(i + n, len(size)) - 1]))  # sizes ascend: no row of these is longer
+        at, width = place[i : i + n], size[i : i + n]
+        i += n
         wide = at[:, None] + np.arange(int(width.max()))[None, :]
         rows = np.where(wide < ends[at][:, None], ids[np.minimum(wide, len(ids) - 1)], 0)
         hashes = index.sampled(rows, width)

@@ -162,25 +162,40 @@ def tree(source: str) -> Node:
 
 
 class Layout:
-    """Lines of text; ``gap`` is the number of line ends owed before the next text."""
+    """Lines of text, each a list of parts that are not empty; ``gap`` is the number of line ends owed before the next text.
+
+    ``begun`` is whether any line has a part, ``inked`` whether the last one has more than blanks: both are kept up to
+    date, so that a piece of text costs its own length whatever stands before it.
+    """
 
     def __init__(self) -> None:
-        self.lines: list[str] = [""]
+        self.lines: list[list[str]] = [[]]
+        self.begun = self.inked = False
         self.gap, self.space, self.mark = 0, False, ""
 
     def block(self, blank: bool = False) -> None:
-        if any(self.lines):
+        if self.begun:
             self.gap = max(self.gap, 2 if blank else 1)
         self.space = False
 
+    def line(self) -> None:
+        self.lines.append([])
+        self.inked = False
+
+    def _put(self, part: str) -> None:
+        if part:
+            self.lines[-1].append(part)
+            self.begun, self.inked = True, self.inked or not part.isspace()
+
     def _start(self, indent: str) -> None:
         if self.gap:
             while len(self.lines) > 1 and not self.lines[-1]:
                 self.lines.pop()
-            self.lines += [""] * self.gap
+            for _ in range(self.gap):
+                self.line()
             self.gap = 0
         if not self.lines[-1]:
-            self.lines[-1] = indent + self.mark
+            self._put(indent + self.mark)
             self.mark = ""
 
     def text(self, text: str, indent: str) -> None:
@@ -188,23 +203,23 @@ class Layout:
         if words == " " or not words:
             self.space = self.space or bool(words)
             return
-        fresh = self.gap > 0 or not self.lines[-1].strip()
+        fresh = self.gap > 0 or not self.inked
         self._start(indent)
         lead = (self.space or words[0] == " ") and not fresh
-        self.lines[-1] += (" " if lead and not self.lines[-1].endswith(" ") else "") + words.strip(" ")
+        self._put((" " if lead and not (self.lines[-1] and self.lines[-1][-1].endswith(" ")) else "") + words.strip(" "))
         self.space = words[-1] == " "
 
     def literal(self, text: str, indent: str) -> None:
         for i, line in enumerate(text.replace("\r\n", "\n").split("\n")):
             if i:
-                self.lines.append("")
+                self.line()
                 self.gap = 0
             if line:
                 self._start(indent)
-                self.lines[-1] += line
+                self._put(line)
 
     def value(self) -> str:
-        return "\n".join(x.rstrip() for x in self.lines).strip("\n")
+        return "\n".join("".join(x).rstrip() for x in self.lines).strip("\n")
 
 
 Parts = Generator["Parts", None, None]
@@ -314,7 +329,7 @@ def _render(node: Node, out: Layout, indent: str, exact: bool, counts: dict[str,
             continue
         shown = seen if child.seen is None else child.seen
         if name == "br":
-            out.lines.append("") if shown and not out.gap else None
+            out.line() if shown and not out.gap else None
             out.space = False
         elif name == "hr":
             out.block(True)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import mix, slices, text_buffer, written
+from tessera.operators.cluster import in_order
 
 LENGTH = 100
 GRAM = 24
@@ -443,16 +444,31 @@ def repeats(docs: DataFrame) -> DataFrame:
     return found.unionByName(alike(texts))
 
 
+def _keyed(slim: DataFrame) -> DataFrame:
+    """``slim`` (doc_id, text) with ``key``: a number of its own for each text of a doc_id, in the order of doc_id, then of the texts' MD5.
+
+    Where every row has a doc_id of its own, as a count of ids tells, that is the key. Else all pairs of doc_id and MD5
+    are numbered in ranges; only these pass through the shuffle.
+    """
+    if not slim.groupBy("doc_id").count().where("count > 1").head(1):
+        return slim.withColumn("key", F.col("doc_id"))
+    digest = F.unhex(F.md5("text"))
+    pairs = slim.select("doc_id", digest.alias("digest")).distinct()
+    keys = in_order(pairs, [F.col("doc_id"), F.col("digest")], "key").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("key").cast("long").alias("key"))
+    return slim.join(keys, (F.col("doc_id") == F.col("_id")) & (digest == F.col("_digest"))).select("doc_id", "text", "key")
+
+
 def cleaned(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row of ``docs`` (doc_id, text).
 
     A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a smaller doc_id, or earlier in the
     document. Null texts are empty, and a null doc_id comes before all others. A repeated row is the same document, and
-    both get the same result; rows of one doc_id with different texts are documents that start alike, where of two equal
-    strings at the same place neither is earlier than its own. An empty table gives an empty one.
+    both get the same result; rows of one doc_id, or of none, with different texts are documents of their own, one after
+    another in the order of their texts' MD5. An empty table gives an empty one.
     """
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = repeats(slim).groupBy("doc").agg(F.collect_list(F.struct("place", "size")).alias("stretches"))
+    slim = _keyed(slim)
+    found = repeats(slim.select(F.col("key").alias("doc_id"), "text")).groupBy("doc").agg(F.collect_list(F.struct("place", "size")).alias("stretches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE):
@@ -476,5 +492,5 @@ def cleaned(docs: DataFrame) -> DataFrame:
             ids = b.column("doc_id").to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([None if x == NO_DOC else x for x in ids], pa.int64()), pa.array(np.diff(starts)), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    both = slim.join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "stretches")
+    both = slim.join(found, F.col("key") == F.col("doc"), "left").select("doc_id", "text", "stretches")
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tessera.llm import decontamination as dc
 
@@ -102,3 +103,28 @@ def test_very_long_texts(spark):
     text = "filler " * 400_000 + item + " filler" * 400_000
     got = dc.found(spark.createDataFrame([(1, text), (2, "filler " * 500_000)], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
     assert [(r.doc_id, r.item_id, r.distance, r.first_word) for r in got] == [(1, 5, 0, 400_000)]
+
+
+@pytest.mark.parametrize("size", [5, 20, 50, 100, 200, 400])
+def test_recall_at_the_whole_budget_for_every_length(size):
+    rng = np.random.default_rng(size)
+    n = 60 if size <= 100 else 40
+    index = dc.Index([(i, " ".join(words(rng, size, 4000))) for i in range(n)])
+    texts = [" ".join(words(rng, 40, 4000) + edited(rng, _words_of(index, i), dc.budget(size)) + words(rng, 40, 4000)) for i in range(n)]
+    ids, doc = dc.numbered(texts, index)
+    got = {(d, i) for d, here in dc.leaks_of(ids, doc, index).items() for i in here}
+    assert sum((i, i) in got for i in range(n)) >= 0.95 * n
+
+
+def _words_of(index, i):
+    back = {v: k.decode() if isinstance(k, bytes) else k for k, v in index.vocabulary.items()}
+    return [back[int(w)] for w in index.items[i][1]]
+
+
+def test_windows_of_long_items_are_walked_in_bounded_rows():
+    assert all(2 * size * dc.TABLES * dc.rows_of(size) <= max(dc.STEPS, 2 * size * dc.TABLES) for size in (1, 10, 400, 4000, 10**6))
+    rng = np.random.default_rng(1)
+    item = " ".join(words(rng, 3000, 4000))
+    index = dc.Index([(0, item), (1, "a few words only")])
+    ids, doc = dc.numbered([item + " tail", "nothing here"], index)
+    assert {d: set(here) for d, here in dc.leaks_of(ids, doc, index).items()} == {0: {0}}

@@ -2,6 +2,7 @@ import re
 import time
 
 import numpy as np
+import pytest
 
 from tessera.llm import html_text, licenses
 
@@ -210,3 +211,11 @@ def test_html_odd_tables(spark):
     got = html_text.rendered(pages)
     assert got.count() == 4 and html_text.rendered(pages.limit(0)).count() == 0
     assert {r.text for r in got.collect()} == {"", "x\n\nx\n\nx"}
+
+
+@pytest.mark.parametrize(("page", "n_lines"), [("<p>" + "<b>wordy</b> " * 500_000, 1), ("<br>" * 500_000 + "<div></div>" * 200_000, 1), ("<p>x</p>" + "<br>" * 500_000 + "<div></div>" * 200_000 + "y", 3), ("<pre>" + "a\n" * 500_000 + "</pre>", 500_000)])
+def test_pages_cost_their_length(page, n_lines):
+    began = time.process_time()
+    _, text, _, _ = html_text.extract(page)
+    assert time.process_time() - began < 30
+    assert abs(text.count("\n") + 1 - n_lines) <= 2

@@ -137,3 +137,19 @@ def test_repeats_past_8_mb_of_a_text(spark):
     got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in ss.cleaned(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert got == {1: (0, 0, sha(docs[0][1])), 2: (300, 1, sha(head + tail)), 3: (400, 1, sha(docs[2][1][:30]))}
+
+
+def test_null_and_repeated_ids_in_number(spark):
+    # Far more of each than the bits that once told them apart: documents of their own, in the order of their MD5.
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    shared = [word(110) for _ in range(40)]
+    text = lambda i: word(30) + (shared[i % 40] if i % 3 else word(110)) + word(20)
+    docs = [(None, text(i)) for i in range(3000)] + [(7, text(i)) for i in range(3000)] + [(i, text(i)) for i in range(100, 300)]
+    docs += docs[:50] + docs[3000:3050]
+    order = sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0, hashlib.md5(d[1].encode()).digest()))
+    want = brute([(n, t) for n, (_, t) in enumerate(order)])
+    of = {d: want[n] for n, d in enumerate(order)}
+    got = ss.cleaned(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()
+    rows = lambda x: sorted(x, key=repr)
+    assert rows((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == rows((d[0], *of[d]) for d in docs)
