@@ -151,6 +151,29 @@ def test_cut_against_the_least_one(spark):
     assert found - least <= 0.1 * links, (found, least, links)
 
 
+@pytest.mark.parametrize(("sizes", "most"), [([10] * 240, 0), ([300] + [12] * 100, 300 * 299 // 2 - 4 * 62 * 61 // 2 + 23 * 36)])
+def test_cut_where_linked_rows_fill_all_shards(spark, sizes, most):
+    texts = [f"group {i}" for i, n in enumerate(sizes) for _ in range(n)]
+    placed = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).cache()
+    check_shards(placed.collect(), len(texts))
+    got = sharding.cut(placed).first()
+    assert got.links == sum(n * (n - 1) // 2 for n in sizes) and got.cut <= most
+
+
+def test_exchanges_keep_shards_within_their_room():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        n = int(rng.integers(2, 7))
+        wishes = {(s, t): int(rng.integers(1, 30)) for s in range(n) for t in range(n) if s != t and rng.random() < 0.5}
+        room = [int(x) for x in rng.integers(0, 8, n) * (rng.random(n) < 0.4)]
+        got = sharding.exchanges(wishes, room)
+        change = [sum(m for (_, t), m in got.items() if t == i) - sum(m for (s, _), m in got.items() if s == i) for i in range(n)]
+        assert all(0 < m <= wishes[e] for e, m in got.items()) and all(c <= r for c, r in zip(change, room, strict=True))
+        for s, t in wishes:  # nothing simple is left: no exchange of two, no wish into room
+            left = wishes[s, t] - got.get((s, t), 0)
+            assert not left or (room[t] - change[t] <= 0 and not wishes.get((t, s), 0) - got.get((t, s), 0))
+
+
 def test_shards_do_not_depend_on_partitions(spark):
     texts = [f"text {i % 50}" for i in range(300)] + [None] * 3 + [f"own {i}" for i in range(90)]
     docs = spark.createDataFrame([(None if i % 97 == 0 else i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
