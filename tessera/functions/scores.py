@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,6 +129,34 @@ def first_reason(*rules: tuple[str, Column], otherwise: str) -> Column:
     return out.otherwise(F.lit(otherwise))
 
 
+@dataclass(frozen=True)
+class CropGate:
+    """What a crop must have; None in place of ``blur`` or the brightness bounds leaves these out."""
+
+    width: float = 24
+    height: float = 64
+    area: float = 2500
+    share_of_frame: float = 0.002
+    aspect: tuple[float, float] = (0.20, 1.20)
+    blur: float | None = 20.0
+    brightness: tuple[float, float] | None = (20.0, 235.0)
+
+
+def crop_reason(width: Column, height: Column, frame_area: Column, blur: Column, brightness: Column, gate: CropGate = CropGate()) -> Column:
+    """``ok``, or the first of seven ordered reasons why a crop is refused; a measure that is missing refuses nothing."""
+    area, aspect = width * height, width / F.nullif(height, F.lit(0))
+    rules = [
+        ("too_narrow", width < gate.width),
+        ("too_short", height < gate.height),
+        ("too_small", area < gate.area),
+        ("too_tiny_in_frame", area / F.nullif(frame_area, F.lit(0)) < gate.share_of_frame),
+        ("bad_aspect", ~aspect.between(*gate.aspect)),
+    ]
+    rules += [("blurry", blur < gate.blur)] if gate.blur is not None else []
+    rules += [("bad_brightness", ~brightness.between(*gate.brightness))] if gate.brightness is not None else []
+    return first_reason(*rules, otherwise="ok")
+
+
 def gid(number: Column, prefix: str = "G", width: int = 6) -> Column:
     return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))
 

@@ -194,6 +194,25 @@ def observation_support(cosines: DataFrame, low: float, stable: float) -> DataFr
     return best.groupBy("query", "gid").agg(F.count_if(F.col("_c") >= low).alias("n_low"), F.count_if(F.col("_c") >= stable).alias("n_stable"))
 
 
+def support_by_kind(features: DataFrame, bank: DataFrame, low: float, stable: float) -> DataFrame:
+    """query, gid, n_low and n_stable of ``features`` (query, gid, feature, kind, vec) against the ``bank`` (gid, kind, vec) of the identity asked for.
+
+    A feature is held against the bank's vectors of its kind, or against all of them where the bank has none of that kind.
+    """
+    pairs = features.join(bank.select("gid", F.col("kind").alias("_kind"), F.col("vec").alias("_vec")), "gid")
+    pairs = pairs.withColumn("_cos", cosine(F.col("vec"), F.col("_vec")))
+    best = pairs.groupBy("query", "gid", "feature").agg(F.max(F.when(F.col("kind") == F.col("_kind"), F.col("_cos"))).alias("_own"), F.max("_cos").alias("_any"))
+    best = best.withColumn("_c", F.coalesce("_own", "_any"))
+    return best.groupBy("query", "gid").agg(F.count_if(F.col("_c") >= low).alias("n_low"), F.count_if(F.col("_c") >= stable).alias("n_stable"))
+
+
+def histogram(df: DataFrame, keys: list[str], value: Column, bins: int, low: float, high: float, weight: Column | None = None) -> DataFrame:
+    """keys, bin and weight: the sum of ``weight`` (1 each) of values by equal bins of [low, high]; the top end falls in the last bin, what is outside in none."""
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    place = F.least(F.floor((value - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
+    return df.where(value.between(low, high)).groupBy(*keys, place.alias("bin")).agg(F.sum(w).alias("weight"))
+
+
 def attribute_blocks(vector: Column, sizes: dict[str, int]) -> dict[str, Column]:
     """Named slices of a packed vector, one after another."""
     out, at = {}, 1

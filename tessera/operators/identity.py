@@ -12,6 +12,7 @@ from tessera.functions.scores import gid
 from tessera.functions.vectors import cosine, leave_one_out, mean_vectors
 from tessera.operators.cluster import cut, in_order
 from tessera.operators.edges import search
+from tessera.operators.scoring import diverse
 
 
 def majority(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -128,6 +129,18 @@ def gallery_scores(components: DataFrame, gallery: DataFrame, weights: dict[str,
     return out.where(F.col("models") >= least_models)
 
 
+def gallery_of(features: DataFrame, mapping: DataFrame, size: int) -> DataFrame:
+    """gid, key, seq, vec, quality: an identity's representative gallery, from ``features`` (key, seq, vec, quality) and ``mapping`` (key, gid).
+
+    Each member gives its ``size`` best by quality; of these up to three times ``size`` are picked for being unlike one
+    another. A member's bank and an identity's gallery are bounded; one identity's candidates meet in a task.
+    """
+    best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("quality"), "seq"))
+    some = features.select("key", "seq", "vec", "quality").withColumn("_n", best).where(F.col("_n") <= size).drop("_n")
+    some = some.join(mapping.select("key", "gid"), "key").withColumn("_one", F.lit(1.0) - F.col("quality") * 0.0)
+    return diverse(some, ["gid"], "vec", "_one", 3 * size).select("gid", "key", "seq", "vec", "quality")
+
+
 def matched_gallery(scores: DataFrame, least: float = 0.62, margin: float = 0.02) -> DataFrame:
     """component and gid: a component takes its best identity if it is good enough, clear of its second, and free.
 

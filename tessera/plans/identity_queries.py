@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.scores import crop_reason
+from tessera.operators import evidence
 from tessera.operators.agglomerate import Rules, agglomerated
 from tessera.operators.rerank import reranked
 from tessera.plans.base import add
 from tessera.plans.vector_queries import ALL, COS, pieces, vectors
 
-SAME, CROSS, ROUNDS = 0.75, 0.65, 10
+SAME, CROSS, ROUNDS = 0.40, 0.30, 10
 
 
 def _rounds_sql() -> str:
@@ -75,3 +77,45 @@ def reranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     asks = F.col("id") % 50 == 0
     out = reranked(v.where(asks), v.where(~asks), 10, K, BOOST)
     return out.select("query", "hit", "cosine", F.round("jaccard", 6).alias("jaccard"), F.round("score", 6).alias("score"))
+
+
+@add(
+    "crop_reasons",
+    """WITH b AS (SELECT event_id, event_id * 7 % 90 + 10 AS w, event_id * 13 % 140 + 40 AS h, 300000 + event_id % 7 * 400000 AS frame, event_id % 61 AS blur, event_id % 251 AS light FROM events)
+SELECT event_id, CASE WHEN w < 24 THEN 'too_narrow' WHEN h < 64 THEN 'too_short' WHEN w * h < 2500 THEN 'too_small' WHEN w * h / frame < 0.002 THEN 'too_tiny_in_frame'
+  WHEN w / h NOT BETWEEN 0.2 AND 1.2 THEN 'bad_aspect' WHEN blur < 20 THEN 'blurry' WHEN light NOT BETWEEN 20 AND 235 THEN 'bad_brightness' ELSE 'ok' END AS reason FROM b""",
+)
+def crop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why the crops that events stand for are refused, the first of seven reasons."""
+    i = F.col("event_id")
+    w, h = i * 7 % 90 + 10, i * 13 % 140 + 40
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", crop_reason(w, h, 300_000 + i % 7 * 400_000, i % 61, i % 251).alias("reason"))
+
+
+@add(
+    "weighted_histogram",
+    """SELECT event_type, CAST(least(floor((event_id % 101) / 100 * 8), 7) AS INTEGER) AS bin, round(sum(event_id % 13 + 0.05::DOUBLE), 4) AS weight
+FROM events WHERE event_id % 101 <= 100 GROUP BY 1, 2""",
+)
+def weighted_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight bins by type of event, weighted."""
+    i = F.col("event_id")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    out = evidence.histogram(e, ["event_type"], (i % 101) / 100, 8, 0.0, 1.0, i % 13 + F.lit(0.05))
+    return out.withColumn("weight", F.round("weight", 4))
+
+
+@add(
+    "support_by_kind",
+    f"""{ALL}, f AS (SELECT vec_id, label, e, CASE WHEN vec_id % 10 = 0 THEN 'face' ELSE 'k' || vec_id % 3 END AS kind FROM v WHERE vec_id % 5 = 0), b AS (SELECT label, e, 'k' || vec_id % 3 AS kind FROM v WHERE vec_id % 5 <> 0),
+c AS (SELECT a.label, a.vec_id, max({COS}) FILTER (a.kind = b.kind) AS own, max({COS}) AS every FROM f a JOIN b ON a.label = b.label GROUP BY 1, 2)
+SELECT label AS gid, count(*) FILTER (coalesce(own, every) >= 0.2) AS n_low, count(*) FILTER (coalesce(own, every) >= 0.5) AS n_stable FROM c GROUP BY label""",
+)
+def support_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of every fifth vector its own label's others support, by kinds of which one has no counterpart."""
+    v = vectors(spark, sf_dir).select("vec_id", F.col("label").alias("gid"), "vec", F.concat(F.lit("k"), F.col("vec_id") % 3).alias("kind"))
+    asked = F.col("vec_id") % 5 == 0
+    kind = F.when(F.col("vec_id") % 10 == 0, "face").otherwise(F.col("kind"))
+    features = v.where(asked).select(F.col("gid").alias("query"), "gid", F.col("vec_id").alias("feature"), kind.alias("kind"), "vec")
+    return evidence.support_by_kind(features, v.where(~asked), 0.2, 0.5).select("gid", "n_low", "n_stable")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import agglomerate
 from tessera.operators.agglomerate import Rules, agglomerated
+from tessera.operators.identity import gallery_of
 
 SCHEMA = "key string, camera string, ts double, vec array<double>"
 
@@ -228,3 +229,14 @@ def test_nothing_to_join(spark):
     for bad in ({"mode": "median"}, {"quorum": 0.0}, {"least_observations": 0}, {"per_camera": (("a", 0.5), ("a", 0.6))}):
         with pytest.raises(ValueError):
             Rules(**bad)
+
+
+def test_gallery_of_a_mapping(spark):
+    rows = [(k, i, at((int(i) % 3, 1.0), (9, 0.01 * i)).tolist(), 1.0 - 0.1 * i) for k in ("a", "b") for i in range(8)]
+    features = spark.createDataFrame(rows, "key string, seq int, vec array<double>, quality double")
+    mapping = spark.createDataFrame([("a", "g"), ("b", "g")], "key string, gid string")
+    got = gallery_of(features, mapping, 1).collect()
+    assert sorted((r.gid, r.key, r.seq) for r in got) == [("g", "a", 0), ("g", "b", 0)]
+    more = gallery_of(features, mapping, 4).collect()
+    assert len(more) == 8 and {r.seq for r in more} == {0, 1, 2, 3}
+    assert {r.seq % 3 for r in gallery_of(features.where("key = 'a'"), mapping, 6).collect()} == {0, 1, 2}
