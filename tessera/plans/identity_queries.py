@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scores import crop_reason
-from tessera.operators import evidence
+from tessera.operators import evidence, growing, sampling
 from tessera.operators.agglomerate import Rules, agglomerated
 from tessera.operators.rerank import reranked
 from tessera.plans.base import add
+from tessera.plans.event_queries import events
 from tessera.plans.vector_queries import ALL, COS, pieces, vectors
 
 SAME, CROSS, ROUNDS = 0.40, 0.30, 10
@@ -119,3 +120,38 @@ def support_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("vec_id") % 10 == 0, "face").otherwise(F.col("kind"))
     features = v.where(asked).select(F.col("gid").alias("query"), "gid", F.col("vec_id").alias("feature"), kind.alias("kind"), "vec")
     return evidence.support_by_kind(features, v.where(~asked), 0.2, 0.5).select("gid", "n_low", "n_stable")
+
+
+TICKS = """WITH RECURSIVE d AS (
+  SELECT event_id, event_type AS camera, user_id AS track, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame, event_id % 7 <> 0 AS good FROM events),
+t AS (SELECT *, dense_rank() OVER (PARTITION BY camera ORDER BY frame) AS tick FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY camera, track ORDER BY tick, event_id) AS n FROM t),
+f AS (
+  SELECT event_id, camera, track, n, tick, good AS embedded, CASE WHEN good THEN 1 ELSE 0 END AS k, CASE WHEN good THEN tick ELSE 0 END AS lately, CASE WHEN good THEN frame END AS held FROM o WHERE n = 1
+  UNION ALL
+  SELECT event_id, camera, track, n, tick, hit, CASE WHEN hit THEN k + 1 ELSE k END, CASE WHEN hit THEN tick ELSE lately END, CASE WHEN hit THEN frame ELSE held END
+  FROM (
+    SELECT s.*, s.good AND (s.k = 0 OR s.k < 8 AND (s.k < 3 AND s.tick - s.lately >= 2 OR s.tick - s.lately >= 24)) AS hit
+    FROM (SELECT o.event_id, o.camera, o.track, o.n, o.tick, o.frame, o.good, f.lately, CASE WHEN o.tick - 1 - f.tick > 48 THEN 0 ELSE f.k END AS k, CASE WHEN o.tick - 1 - f.tick > 48 THEN NULL ELSE f.held END AS held
+      FROM f JOIN o ON o.camera = f.camera AND o.track = f.track AND o.n = f.n + 1) s))
+SELECT event_id, tick, embedded, held FROM f"""
+
+
+@add("sampled_embeddings", TICKS)
+def sampled_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which events of a user and type are embedded, an hour with events of the type being a processed frame."""
+    i = F.col("event_id")
+    e = events(spark, sf_dir).select("event_id", "camera", "track", F.floor(F.col("t") / 3600).alias("frame"), (i % 7 != 0).alias("good"))
+    rule = sampling.Sampling(interval=24, warmup=3, spacing=2, ttl=48, most=8)
+    return sampling.sampled(e, ["camera", "track"], "frame", "good", "event_id", rule).select("event_id", "tick", "embedded", "held")
+
+
+@add("grown_identities", None)
+def grown_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities of pieces of tracks, in the order of their evidence, over galleries that grow, merged at the end."""
+    obs = pieces(spark, sf_dir)
+    quality = 0.7 + F.col("ts") % 31 / 100
+    features = obs.select("key", F.col("ts").cast("int").alias("seq"), F.lit("full").alias("kind"), quality.alias("quality"), "vec")
+    spans = obs.groupBy("key", "camera").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.lit(None).cast("double").alias("shape"), F.round(F.avg(quality), 6).alias("evidence"))
+    rule = growing.Growing(threshold=0.36, margin=0.01, strong=0.42, support=0, least=3, merge=True, merge_body=0.40, merge_support=0)
+    return growing.grown(spans, features, rule).select("key", "gid", "reason", "score", "margin")
