@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.calibration import apply_isotonic, fit_isotonic
@@ -91,12 +91,13 @@ class Terms:
 
 
 def lexicon(counts: DataFrame) -> Terms:
-    """All terms whose log-odds of toxic against clean text have a lower bound above 0, and that bound.
+    """All terms whose log-odds of toxic against clean text differ from 0: the end of their 95 % interval that is nearer 0.
 
-    Terms are tokens, and beginnings of labelled tokens (PREFIXES characters, written with a star), which tell of forms
-    that no labelled text has. The Dirichlet prior is PRIOR times the term's share of the corpus plus FLAT_PRIOR, with
-    every token of every document in the totals; the score is the log-odds less 1.96 standard errors, so that rare terms
-    need evidence. A term stands in two toxic texts of the labelled sample at least: the sample's size bounds the lexicon.
+    A token of negative log-odds counts so much below -DRIFT, which is what every token counts whose log-odds are not known
+    to differ from 0 (it keeps the expected score of a text negative). Terms are tokens, and beginnings of labelled tokens (PREFIXES characters, written with a star), which tell of forms
+    that no labelled text has (only where they are toxic). The Dirichlet prior is PRIOR times the term's share of the corpus plus FLAT_PRIOR, with
+    every token of every document in the totals; rare terms need evidence to leave 0. A term stands in two toxic (or, for
+    negative ones, clean) texts of the labelled sample at least: the sample's size bounds the lexicon.
     """
     counts = written(counts, "toxic-counts")
     n = counts.agg(*[F.sum(c).cast("double").alias(c) for c in ("toxic", "clean", "every")], F.count("*").alias("kinds")).first()
@@ -110,13 +111,15 @@ def lexicon(counts: DataFrame) -> Terms:
     whole = PRIOR + FLAT_PRIOR * n["kinds"]
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / (n["toxic"] + whole - a)) - F.log(b / (n["clean"] + whole - b))
-    bound = odds - 1.96 * F.sqrt(1 / a + 1 / b)
-    best = counts.unionByName(begun).where("toxic > 1").select("token", bound.alias("score")).where("score > 0").toPandas()
+    error = 1.96 * F.sqrt(1 / a + 1 / b)
+    score = F.when((F.col("toxic") > 1) & (odds > error), odds - error).when(F.col("whole") & (F.col("clean") > 1) & (odds < -error), odds + error - DRIFT)
+    terms = counts.withColumn("whole", F.lit(True)).unionByName(begun.withColumn("whole", F.lit(False)))
+    best = terms.where("toxic > 1 OR clean > 1").select("token", score.alias("score")).where("score IS NOT NULL").toPandas()
     return Terms(best["token"].tolist(), best["score"].to_numpy())
 
 
 class Scores(dict):
-    """Scores of tokens as they come up: that of the token or of its best known beginning, 0 for none."""
+    """Scores of tokens as they come up: the token's or its best known beginning's if toxic, else its negative one, 0 for none."""
 
     def __init__(self, terms: Terms):
         super().__init__()
@@ -128,7 +131,8 @@ class Scores(dict):
         word = token.decode("utf-8", "replace")
         low, high = PREFIXES
         begun = (self.terms.get((word[:k] + "*").encode()) for k in range(low, min(high, len(word) - 1) + 1))
-        out = self[token] = max(self.terms.get(token), max(begun, default=0.0))
+        own, best = self.terms.get(token), max(begun, default=0.0)
+        out = self[token] = max(own, best) if max(own, best) > 0 else own
         return out
 
 
@@ -138,7 +142,8 @@ def segments(scores: list[float], drift: float = DRIFT) -> list[tuple[int, int,
     Ruzzo and Tompa's scan: a new segment is joined to the nearest earlier one that began lower, if that ended no higher.
     ``lower`` holds the segments that such a search can still reach, each beginning higher than the one before; what a
     search passes over begins no lower than the new segment and is closed to later ones, so every segment enters and
-    leaves once: linear in the number of tokens. Runs without terms only lower the total and are passed over in a step.
+    leaves once: linear in the number of tokens. Runs without terms only lower the total and are passed over in a step, as
+    are terms of negative scores.
     """
     found: list[list[float]] = []  # first, end, total before, total after
     lower: list[int] = []
@@ -146,6 +151,8 @@ def segments(scores: list[float], drift: float = DRIFT) -> list[tuple[int, int,
     for i in [i for i, x in enumerate(scores) if x]:
         total -= drift * (i - at)
         left, total, at = total, total + scores[i], i + 1
+        if scores[i] < 0:
+            continue
         new = [i, i + 1, left, total]
         while True:
             while lower and found[lower[-1]][2] >= new[2]:
@@ -179,7 +186,7 @@ def fit_law(clean: DataFrame, drift: float) -> Law:
     count = np.array([0.0] + [float(r["n"]) for r in hist])
     count[0] = max(tokens_n - count.sum(), 1.0)
     share = count / count.sum()
-    if len(score) == 1 or share @ score >= 0:
+    if score.max() <= 0 or share @ score >= 0:
         return Law(1.0, 0.1)
     low, high = 0.0, 1.0
     while share @ np.exp(high * score) < 1 and high < 64:
@@ -192,8 +199,8 @@ def fit_law(clean: DataFrame, drift: float) -> Law:
     return Law(low, max(1e-9, seen / max(tokens_n, 1) * float(np.exp(low * decay))))
 
 
-def passages(docs: DataFrame, terms: Terms, drift: float = DRIFT) -> DataFrame:
-    """doc_id, n, hits, firsts, ends and scores: the term scores and the maximal segments of every document."""
+def passages(docs: DataFrame, terms: Terms, counts: Column, drift: float = DRIFT) -> DataFrame:
+    """doc_id, n, hits, firsts, ends and scores: the maximal segments of every document, and the term scores where ``counts`` is true."""
     schema = "doc_id long, n long, hits array<double>, firsts array<int>, ends array<int>, scores array<double>"
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
@@ -201,16 +208,16 @@ def passages(docs: DataFrame, terms: Terms, drift: float = DRIFT) -> DataFrame:
         known = Scores(shared.value)
         for b in slices(batches, SLICE):
             out: dict[str, list] = {k: [] for k in ("n", "hits", "firsts", "ends", "scores")}
-            for text in b.column("text").to_pylist():
+            for text, count in zip(b.column("text").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 scores = [known[w] for w in tokens(text)]
                 found = segments(scores, drift)
                 out["n"].append(len(scores))
-                out["hits"].append([x for x in scores if x] if found else [])
+                out["hits"].append([x for x in scores if x] if count else [])
                 for k, i in (("firsts", 0), ("ends", 1), ("scores", 2)):
                     out[k].append([x[i] for x in found])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out["n"], pa.int64()), pa.array(out["hits"], pa.list_(pa.float64())), pa.array(out["firsts"], pa.list_(pa.int32())), pa.array(out["ends"], pa.list_(pa.int32())), pa.array(out["scores"], pa.list_(pa.float64()))], names=["doc_id", "n", "hits", "firsts", "ends", "scores"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", counts.alias("counts")).mapInArrow(run, schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:
@@ -225,7 +232,7 @@ def scores(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2) ->
     last = parts - 1 if held != parts - 1 else parts - 2
     marks = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & (at != held))
     terms = lexicon(counted(docs, labelled_sample(marks.where(at != last), MOST_LABELLED)))
-    found = written(passages(docs, terms).withColumn("fold", at), "toxic-passages")
+    found = written(passages(docs, terms, at == last).withColumn("fold", at), "toxic-passages")
     marks = marks.where(at == last).groupBy(F.col("doc_id").alias("_d")).agg(F.max("toxic").cast("double").alias("label"))
     known = written(found.where(F.col("fold") == last).join(marks, F.col("doc_id") == F.col("_d")), "toxic-known")
     law = fit_law(known.where("label = 0"), DRIFT)

@@ -87,6 +87,11 @@ def test_segments_against_the_definition():
         want = by_recursion([x or -0.25 for x in given])
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
+        given = [x or -float(rng.choice([0.0, 0.0, 0.4, 1.1])) * (1 + rng.random() / 50) for x in given]
+        got = toxicity.segments(given, 0.25)
+        want = by_recursion([x or -0.25 for x in given])
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+        assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
 def test_a_million_hits_take_linear_time():
@@ -106,6 +111,8 @@ def test_lexicon_law_and_scores_against_plain_python(spark):
         own = [plain[i] for i in rng.integers(0, 40, int(rng.integers(5, 40)))]
         if d % 3 == 0:
             own[2:2] = [vile[i] for i in rng.integers(0, 4, 5)]
+        else:
+            own[1:1] = ["kind", "gentle"][: int(rng.integers(1, 3))]  # words of clean texts alone
         docs.append((d, " ".join(own)))
         if d % 2 == 0:
             labels.append((d, int(d % 3 == 0)))
@@ -133,21 +140,25 @@ def test_lexicon_law_and_scores_against_plain_python(spark):
     for w, (t, c, e) in terms.items():
         prior = e / sums[2] * toxicity.PRIOR + toxicity.FLAT_PRIOR
         a, b = t + prior, c + prior
-        bound = np.log(a / (sums[0] + whole - a)) - np.log(b / (sums[1] + whole - b)) - 1.96 * np.sqrt(1 / a + 1 / b)
-        if t > 1 and bound > 0:
-            lexicon[w] = bound
-    assert lexicon
+        odds = np.log(a / (sums[0] + whole - a)) - np.log(b / (sums[1] + whole - b))
+        error = 1.96 * np.sqrt(1 / a + 1 / b)
+        if t > 1 and odds > error:
+            lexicon[w] = odds - error
+        elif c > 1 and odds < -error and not w.endswith("*"):
+            lexicon[w] = odds + error - toxicity.DRIFT
+    assert min(lexicon.values()) < -toxicity.DRIFT and max(lexicon.values()) > 0
 
     def score(w):
-        return max([lexicon.get(w, 0.0)] + [lexicon.get(w[:k] + "*", 0.0) for k in range(3, min(8, len(w) - 1) + 1)])
+        best = max([lexicon.get(w, 0.0)] + [lexicon.get(w[:k] + "*", 0.0) for k in range(3, min(8, len(w) - 1) + 1)])
+        return best if best > 0 else lexicon.get(w, 0.0)
 
     found = {d: by_recursion([score(w) or -toxicity.DRIFT for w in text.split()]) for d, text in docs}
     known = {d: y for d, y in labels if folds[d] == 3}
-    hits = [score(w) for d, text in docs if known.get(d) == 0 and found[d] for w in text.split() if score(w)]
+    hits = [score(w) for d, text in docs if known.get(d) == 0 for w in text.split() if score(w)]
     n_clean = sum(len(text.split()) for d, text in docs if known.get(d) == 0)
     lam, k = 1.0, 0.1
-    if hits:
-        steps = [-toxicity.DRIFT] * (n_clean - len(hits)) + [(min(255, int(x * 16)) + 0.5) / 16 for x in hits]
+    if max(hits, default=0.0) > 0:
+        steps = [-toxicity.DRIFT] * (n_clean - len(hits)) + [(min(255, np.floor(x * 16)) + 0.5) / 16 for x in hits]
         lam = next(x for x in np.arange(0.001, 64, 0.001) if np.mean(np.exp(x * np.array(steps))) >= 1)
         clean_scores = [x for d in found if known.get(d) == 0 for *_, x in found[d]]
         k = len(clean_scores) / n_clean * np.exp(lam * min(clean_scores))
