@@ -26,7 +26,7 @@ NAMES = ["key", "founder", "reason", "score", "margin", "body", "face", "support
 @dataclass(frozen=True)
 class Growing:
     """Bars of the solver. ``faces`` adds the rules of a second model (features of kind ``face``); a tracklet founds an
-    identity from ``least`` features on; features of less quality than ``promote`` enter no bank; with ``merge``,
+    identity from ``least`` features and an evidence of ``found`` on (otherwise it is refused one); features of less quality than ``promote`` enter no bank; with ``merge``,
     identities whose banks agree are put together at the end."""
 
     threshold: float = 0.61
@@ -37,6 +37,7 @@ class Growing:
     promote: float = 0.70
     repeat: float = 0.985
     least: int = 3
+    found: float = 0.0
     faces: bool = False
     face_threshold: float = 0.70
     face_strong: float = 0.80
@@ -71,6 +72,7 @@ class Tracklet:
     start: float
     end: float
     shape: float
+    evidence: float
     features: dict[str, tuple[np.ndarray, np.ndarray]]  # kind: qualities and unit vectors
 
     def count(self) -> int:
@@ -280,13 +282,14 @@ class Shard:
             self.settled.add(t.key)
             self.put(best["number"], t, trusted, trusted)
             return (t.key, self.identities[best["number"]].founder, reason, *figures)
-        if t.count() >= rule.least or rule.faces and t.face_quality() >= rule.face_strong_quality:
+        enough = t.count() >= rule.least or rule.faces and t.face_quality() >= rule.face_strong_quality
+        if enough and t.evidence >= rule.found:
             self.made += 1
             self.identities[self.made] = Identity(t.key)
             self.settled.add(t.key)
             self.put(self.made, t, True, t.face_quality() >= rule.face_strong_quality)
             return (t.key, t.key, "new", *figures)
-        return (t.key, None, "pending", *figures) if last else None
+        return (t.key, None, "refused" if enough else "pending", *figures) if last else None
 
     def merged(self) -> Iterator[tuple]:
         """Rows of NAMES for identities that others take in (key is their founder): the first pair in order of founding that agrees, until none does."""
@@ -332,7 +335,7 @@ class Shard:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Features in order, a row each, without a batch's vectors as Python lists."""
     for b in batches:
-        scalars = [b.column(c).to_pylist() for c in ("shard", "last", "key", "camera", "start", "end", "shape", "kind", "quality")]
+        scalars = [b.column(c).to_pylist() for c in ("shard", "last", "key", "camera", "start", "end", "shape", "evidence", "kind", "quality")]
         vecs = b.column("row")
         values, ends = vecs.values.to_numpy(zero_copy_only=False), vecs.offsets.to_numpy()
         for i, row in enumerate(zip(*scalars, strict=True)):
@@ -348,10 +351,10 @@ def _solve(batches: Iterator[pa.RecordBatch], rule: Growing, schema: pa.Schema)
             rows = list(rows)
             by_kind: dict[str, list[tuple]] = {}
             for r in rows:
-                if r[7] is not None:
-                    by_kind.setdefault(r[7], []).append(r)
-            features = {k: (np.array([r[8] for r in f]), np.stack([r[9] for r in f])) for k, f in by_kind.items()}
-            decision = shard.take(Tracklet(key, *rows[0][3:6], rows[0][6], features), bool(last))
+                if r[8] is not None:
+                    by_kind.setdefault(r[8], []).append(r)
+            features = {k: (np.array([r[9] for r in f]), np.stack([r[10] for r in f])) for k, f in by_kind.items()}
+            decision = shard.take(Tracklet(key, *rows[0][3:8], features), bool(last))
             if decision:
                 out.append(decision)
             if len(out) >= 10_000:
@@ -378,7 +381,7 @@ def grown(tracklets: DataFrame, features: DataFrame, rule: Growing = Growing(),
 
     In the order of falling evidence (then camera, start, key) a tracklet takes the identity that fits best, if the rules
     accept it, and its features enter that identity's bank; otherwise it founds an identity, or waits. Those that wait are
-    asked once more at the end. With ``merge``, identities that agree and never met are put together then.
+    asked once more at the end, and then are known, new, or none (pending; refused, where only evidence lacks). With ``merge``, identities that agree and never met are put together then.
 
     Only tracklets that some pair of features links (``Growing.floor``) can concern each other, so each component of the
     links is a shard that equals one fold over everything. A task streams a shard's features in order; it holds the banks
@@ -396,10 +399,10 @@ def grown(tracklets: DataFrame, features: DataFrame, rule: Growing = Growing(),
     t = t.join(n, "key")
     ready = (F.col("n") >= rule.least) | (F.lit(rule.faces) & (F.col("n_faces") > 0))
     once = t.where(ready).withColumn("last", F.lit(0)).withColumn("_at", F.col("start"))
-    again = t.where(~ready | (F.lit(rule.faces) & (F.col("n") < rule.least))).withColumn("last", F.lit(1)).withColumn("_at", F.lit(0.0))
+    again = t.where(~ready | (F.lit(rule.faces) & (F.col("n") < rule.least)) | (F.col("evidence") < rule.found)).withColumn("last", F.lit(1)).withColumn("_at", F.lit(0.0))
     stream = once.unionByName(again.where("n > 0")).join(rows.drop("vec"), "key").repartition("shard")
     stream = stream.sortWithinPartitions("shard", "last", F.desc("evidence"), "camera", "_at", "key", "seq", "kind")
-    stream = stream.select("shard", "last", "key", "camera", "start", "end", "shape", "kind", "quality", "row")
+    stream = stream.select("shard", "last", "key", "camera", "start", "end", "shape", "evidence", "kind", "quality", "row")
     types = [pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4, pa.int64()]
     schema = pa.schema(list(zip(NAMES, types, strict=True)))
     found = stream.mapInArrow(lambda b: _solve(b, rule, schema), "key string, founder string, reason string, score double, margin double, body double, face double, support long")

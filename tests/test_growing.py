@@ -29,7 +29,7 @@ def plain(tracklets, features, rule):
     ts = {}
     for k, camera, s, e, shape, evidence in tracklets:
         f = {kind: (np.array([q for q, _ in x]), np.stack([v for _, v in x])) for kind, x in by_key.get(k, {}).items()}
-        ts[k] = (evidence, Tracklet(k, camera, s, e, shape or 0.0, f))
+        ts[k] = (evidence, Tracklet(k, camera, s, e, shape or 0.0, evidence, f))
     rows = []
     ready = [k for k, (_, t) in ts.items() if t.count() >= rule.least or rule.faces and FACE in t.features]
     for k in sorted(ready, key=lambda k: (-ts[k][0], ts[k][1].camera, ts[k][1].start, k)):
@@ -97,7 +97,7 @@ def crowd(seed, n, people, dim=16, noise=0.35, faces=False):
 
 @pytest.mark.parametrize(
     ("rule", "faces"),
-    [(Growing(), False), (Growing(faces=True), True), (Growing(bank=4, margin=0.08, merge=True, merge_support=1), False), (Growing(faces=True, merge=True, merge_body=0.7, merge_support=1), True)],
+    [(Growing(), False), (Growing(faces=True), True), (Growing(found=0.5), False), (Growing(faces=True, found=0.7), True), (Growing(bank=4, margin=0.08, merge=True, merge_support=1), False), (Growing(faces=True, merge=True, merge_body=0.7, merge_support=1), True)],
 )
 def test_shards_equal_one_fold(spark, rule, faces):
     tracklets, features = crowd(3, 60, 9, faces=faces)
@@ -123,6 +123,24 @@ def test_identities_that_agree_are_merged(spark):
     assert out["a"].gid == out["b"].gid != out["c"].gid  # a and c were in one camera at one time
 
 
+def test_evidence_too_weak_to_found_is_refused(spark):
+    features = [(k, s, "full", 0.9, axis(*v)) for k, v in (("weak", (1.0,)), ("strong", (1.0, 0.1)), ("lone", (0.0, 0.0, 1.0))) for s in range(3)]
+    tracklets = [("weak", "c1", 0.0, 1.0, None, 0.5), ("strong", "c2", 5.0, 6.0, None, 0.8), ("lone", "c3", 0.0, 1.0, None, 0.5)]
+    out = solved(spark, tracklets, features, Growing(found=0.68))
+    assert out["weak"].gid == out["strong"].gid and out["strong"].reason == "new"
+    assert (out["lone"].gid, out["lone"].reason) == (None, "refused")
+
+
+def test_links_that_are_given_make_the_shards(spark):
+    tracklets, features = crowd(5, 20, 3)
+    every = spark.createDataFrame([(a[0], b[0]) for a in tracklets for b in tracklets if a[0] < b[0]], "left string, right string")
+    none = spark.createDataFrame([], "left string, right string")
+    as_rows = lambda out: {k: (r.gid, r.reason, r.score) for k, r in out.items()}
+    searched, given = solved(spark, tracklets, features, Growing()), solved(spark, tracklets, features, Growing(), links=every)
+    assert {k: r[:2] for k, r in as_rows(given).items()} == {k: r[:2] for k, r in as_rows(searched).items()}
+    assert {r.reason for r in solved(spark, tracklets, features, Growing(), links=none).values()} <= {"new", "pending"}
+
+
 def test_banks():
     bank = lambda kind, qs: {kind: (np.array(qs), np.eye(8)[: len(qs)])}
     both = {**bank("full", [0.9, 0.8, 0.7, 0.95]), **bank("upper", [0.5])}
