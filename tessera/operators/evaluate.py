@@ -29,6 +29,16 @@ def summary(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFra
     return out.select(*(keys or []), "n", "mean", "std", "min", "max", *[F.col("_q")[i].alias(f"p{int(q * 100)}") for i, q in enumerate(QUANTILES)])
 
 
+def summary_of_counts(counts: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """As ``summary``, from the number ``n`` of rows of each value."""
+    by = counts.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum("n").alias("n"))
+    at = F.percentile(value, F.array(*[F.lit(q) for q in QUANTILES]), F.col("n"))
+    w = Window.partitionBy(*keys)
+    mean = F.sum(F.col(value) * F.col("n")).over(w) / F.sum("n").over(w)
+    out = by.withColumn("_mean", mean).groupBy(*keys).agg(F.sum("n").alias("n"), F.max("_mean").alias("mean"), F.sqrt(F.sum(F.col("n") * (F.col(value) - F.col("_mean")) * (F.col(value) - F.col("_mean"))) / F.sum("n")).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), at.alias("_q"))
+    return out.select(*keys, "n", "mean", "std", "min", "max", *[F.col("_q")[i].alias(f"p{int(q * 100)}") for i, q in enumerate(QUANTILES)])
+
+
 def separation(pairs: DataFrame, key_a: str, key_b: str, camera_a: str, camera_b: str, score: str) -> DataFrame:
     """Figures of scores within a key and of different keys across cameras."""
     kind = F.when(F.col(key_a) == F.col(key_b), "same").when(F.col(camera_a) != F.col(camera_b), "different")

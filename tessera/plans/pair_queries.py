@@ -141,9 +141,7 @@ FROM t JOIN proto USING (l, r)""")
 def blended_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = banks(spark, sf_dir)
     pairs, bank = bank_pairs(rows), rows.select("key", "vec")
-    core = scoring.blended(bank, pairs, scoring.CORE_BLEND).withColumnRenamed("score", "core")
-    track = scoring.blended(bank, pairs, scoring.TRACK_BLEND).withColumnRenamed("score", "track")
-    return _rounded(core.join(track, ["left", "right"]), "core", "track")
+    return _rounded(scoring.blends(bank, pairs, {"core": scoring.CORE_BLEND, "track": scoring.TRACK_BLEND}), "core", "track")
 
 
 PATHS = f"""{EV}, p AS (
