@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +18,8 @@ from tessera.operators.cluster import cut, in_order
 from tessera.operators.edges import search
 from tessera.operators.scoring import diverse
 
+NEAR_SLAB = 4_000_000
+
 
 def majority(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """The most frequent ``value`` of each key; of several the one seen first by ``order``."""
@@ -190,62 +196,114 @@ def solve_local(tracklets: DataFrame, bar: float = 0.62, margin: float = 0.04, s
     put together. Cameras are solved in parallel; a camera's tracklets (not its detections) are in one task.
     """
 
+    floor = min(bar - max(margin, 0.0) - 1e-3, bar)
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["start", "key"], kind="stable").reset_index(drop=True)
         vecs = np.array([np.asarray(v, float) / (np.linalg.norm(v) + 1e-12) for v in rows["vec"]])
-        spans = rows[["start", "end"]].to_numpy(float)
+        starts, ends, evidence, keys = rows["start"].tolist(), rows["end"].tolist(), rows["evidence"].tolist(), rows["key"].tolist()
+        n = len(rows)
         members: dict[int, list[int]] = {}
+        spans: dict[int, list[tuple[float, float]]] = {}
         reason: dict[int, str] = {}
-        of: dict[int, int] = {}
+        of = np.zeros(n, np.int64)
 
         def meets(i: int, g: int) -> bool:
-            return any(not (spans[i, 1] < spans[j, 0] or spans[j, 1] < spans[i, 0]) for j in members[g])
+            """Members of one identity never overlap, so the two neighbours in time tell."""
+            at = bisect_left(spans[g], (starts[i], ends[i]))
+            return any(not (ends[i] < s or e < starts[i]) for s, e in spans[g][max(0, at - 1) : at + 1])
 
         def score(i: int, g: int) -> float:
             near = np.sort(vecs[members[g][-bank:]] @ vecs[i])[::-1][:3]
             return float(near.mean())
 
-        def join(i: int) -> bool:
-            found = sorted(((score(i, g), -g) for g in members if not meets(i, g)), reverse=True)
+        def near_to(some: list[int], least: float) -> Iterator[tuple[int, np.ndarray]]:
+            """Each of ``some`` with the tracklets of that cosine, from products of bounded size."""
+            step = max(1, NEAR_SLAB // max(1, n))
+            for at in range(0, len(some), step):
+                cos = vecs[some[at : at + step]] @ vecs.T
+                yield from ((i, np.flatnonzero(c >= least)) for i, c in zip(some[at : at + step], cos, strict=True))
+
+        def candidates(near: np.ndarray) -> list[int]:
+            """Identities that can be taken or come within the margin of one that is: no other reaches ``floor`` with any member."""
+            groups = np.unique(of[near])
+            return groups[groups > 0].tolist()
+
+        def join(i: int, groups: list[int]) -> bool:
+            found = sorted(((score(i, g), -g) for g in groups if not meets(i, g)), reverse=True)
             if not found or round(found[0][0], 4) < bar or len(found) > 1 and found[0][0] - found[1][0] < margin:
                 return False
-            g = -found[0][1]
-            members[g].append(i)
-            of[i], reason[i] = g, "matched"
+            put(i, -found[0][1], "matched")
             return True
 
-        def found_new(i: int, why: str) -> None:
-            g = max(members, default=0) + 1
-            members[g], of[i], reason[i] = [i], g, why
-
-        waiting = []
-        for i in range(len(rows)):
-            if not join(i):
-                if rows["evidence"][i] >= seed_evidence and all(meets(i, g) or score(i, g) < bar for g in members):
-                    found_new(i, "seeded")
+        def put(i: int, g: int, why: str) -> None:
+            members.setdefault(g, []).append(i)
+            insort(spans.setdefault(g, []), (starts[i], ends[i]))
+            of[i], reason[i] = g, why
+
+        waiting, near_of = [], {}
+        for i, near in near_to(list(range(n)), floor):
+            groups = candidates(near)
+            if not join(i, groups):
+                if evidence[i] >= seed_evidence and all(meets(i, g) or score(i, g) < bar for g in groups):
+                    put(i, len(members) + 1, "seeded")
                 else:
                     waiting.append(i)
-        waiting.sort(key=lambda i: (-rows["evidence"][i], rows["start"][i], rows["key"][i]))
+                    near_of[i] = near
+        waiting.sort(key=lambda i: (-evidence[i], starts[i], keys[i]))
+        asked: dict[int, list[tuple[int, int]]] = {}
+
+        def again(i: int) -> bool:
+            """``join``, unless the identities that concern it are as they were when it was refused."""
+            groups = candidates(near_of[i])
+            state = [(g, len(members[g])) for g in groups]
+            if asked.get(i) == state:
+                return False
+            asked[i] = state
+            return join(i, groups)
+
         while waiting:
-            still = [i for i in waiting if not join(i)]
+            still = [i for i in waiting if not again(i)]
             if len(still) == len(waiting):
-                found_new(still[0], "founded")
+                put(still[0], len(members) + 1, "founded")
                 still = still[1:]
             waiting = still
+        alike: dict[int, set[int]] = {g: set() for g in members}
+        for i, near in near_to(list(range(n)), merge_bar - 1e-6):
+            alike[int(of[i])].update(np.unique(of[near]).tolist())
+        now = {g: g for g in members}
+
+        def last(g: int) -> int:
+            while now[g] != g:
+                g = now[g]
+            return g
+
         changed = True
         while changed:
             changed = False
-            gs = sorted(members)
-            for a in gs:
-                for b in gs:
-                    if a < b and a in members and b in members and not any(meets(i, a) for i in members[b]):
+            for a in sorted(members):
+                if a not in members:
+                    continue
+                heap = sorted({last(g) for g in alike[a]})
+                done = a
+                while heap:
+                    b = heappop(heap)
+                    if b <= done or b not in members:
+                        continue
+                    done = b
+                    if not any(meets(i, a) for i in members[b]):
                         s = vecs[members[a]] @ vecs[members[b]].T
                         if np.sort(s.ravel())[::-1][:5].mean() >= merge_bar:
-                            for i in members.pop(b):
-                                members[a].append(i)
-                                of[i] = a
+                            of[members[b]] = a
+                            members[a] += members.pop(b)
+                            spans[a] = sorted(spans[a] + spans.pop(b))
+                            more = alike.pop(b)
+                            now[b] = a
+                            for g in {last(g) for g in more} - alike[a]:
+                                heappush(heap, g)
+                            alike[a] |= more
                             changed = True
-        return pd.DataFrame({"key": rows["key"], "camera": rows["camera"], "gid": [of[i] for i in range(len(rows))], "reason": [reason[i] for i in range(len(rows))]})
+        return pd.DataFrame({"key": rows["key"], "camera": rows["camera"], "gid": of, "reason": [reason[i] for i in range(n)]})
 
     kind = tracklets.schema
     return tracklets.groupBy("camera").applyInPandas(run, f"key {kind['key'].dataType.simpleString()}, camera {kind['camera'].dataType.simpleString()}, gid long, reason string")
