@@ -240,3 +240,14 @@ def test_gallery_of_a_mapping(spark):
     more = gallery_of(features, mapping, 4).collect()
     assert len(more) == 8 and {r.seq for r in more} == {0, 1, 2, 3}
     assert {r.seq % 3 for r in gallery_of(features.where("key = 'a'"), mapping, 6).collect()} == {0, 1, 2}
+
+
+def test_rounds_of_the_second_phase_can_be_bounded(spark):
+    import math
+
+    at = [0, 1, 5, 6, 20, 21, 25, 26]
+    rows = [(f"k{i}", f"c{i}", float(10 * i), [math.cos(math.radians(a)), math.sin(math.radians(a))]) for i, a in enumerate(at)]
+    obs = spark.createDataFrame(rows, "key string, camera string, ts double, vec array<double>")
+    for most, groups in ((1, 4),):
+        out = agglomerated(obs, Rules(least_observations=1, same_camera=0.5, cross_camera=0.5, most_rounds=most))
+        assert out.members.select("component").distinct().count() == groups
