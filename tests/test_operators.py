@@ -213,6 +213,21 @@ def test_constrained_components_against_one_fold(spark):
     assert got == brute_constrained(links, spans)
 
 
+def test_constrained_components_by_rounds_and_by_folds(spark):
+    rng = np.random.default_rng(8)
+    spans = {i: (str(rng.integers(0, 6)), float(s), float(s + rng.integers(0, 5))) for i, s in enumerate(rng.integers(0, 200, 150))}
+    links = [(int(a), int(b), round(float(rng.random()), 2)) for a, b in (rng.permutation(150)[:2] for _ in range(600))]
+    links += [(i, i + 1, 0.001 * i) for i in range(40)]  # a path of falling scores from its end on
+    df = spark.createDataFrame(links, "left int, right int, score double")
+    nodes = spark.createDataFrame([(k, *v) for k, v in spans.items()], "key int, camera string, start double, end double")
+    for at_once in (20, 10_000):
+        got = {r.key: r.component for r in cluster.constrained_components(df, nodes, at_once=at_once).collect()}
+        assert got == brute_constrained(links, spans)
+    whole = {k: (c, 0.0, 0.0) for k, (c, _, _) in spans.items()}  # members of one camera always meet
+    got = {r.key: r.component for r in cluster.constrained_components(df, nodes, "camera", at_once=20).collect()}
+    assert got == brute_constrained(links, whole)
+
+
 def test_greedy_matching_against_one_fold(spark):
     rng = np.random.default_rng(9)
     links = [(0, int(a), int(b), round(float(rng.random()), 2)) for a in range(12) for b in range(12) if rng.random() < 0.4]
