@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -193,6 +194,15 @@ def test_reconciliation_against_all_pairs(spark, seed):
     assert reconciled(spark, tracks) == brute_reconciled(tracks)
 
 
+def test_unit_takes_the_length_of_a_long_vector_once(spark):
+    df = spark.range(300).select(F.expr("transform(sequence(1, 4000), i -> cast((id * i) % 97 as double))").alias("v")).cache()
+    df.count()
+    began = time.monotonic()
+    got = df.select(vectors.unit(F.col("v")).alias("u")).agg(F.count("u").alias("n"), F.sum(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)).alias("s")).first()
+    assert got.n == 296 and got.s == pytest.approx(296.0)  # four are zero, which have none
+    assert time.monotonic() - began < 30  # a length for each component takes minutes
+
+
 def brute_constrained(links, spans):
     sets = {k: {k} for k in spans}
     for a, b, _ in sorted(links, key=lambda e: (-e[2], e[0], e[1])):
