@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import unit
+from tessera.operators import blocks
 from tessera.operators.cluster import components, cut
-from tessera.operators.edges import over
 from tessera.operators.identity import numbered
 
 WHOLE, PARTS, FACE = ("full", "light"), ("upper", "lower"), "face"
+SLAB = 4_000_000
+CELL = 8_192
 NAMES = ["key", "founder", "reason", "score", "margin", "body", "face", "support"]
 
 
@@ -197,14 +199,34 @@ class Index:
         self.used[kind] = at + 1
         return at
 
-    def near(self, features: dict[str, np.ndarray], floor: float) -> list[int]:
-        found: set[int] = set()
+    def near(self, features: dict[str, np.ndarray], floor: float, made: int) -> tuple[np.ndarray, np.ndarray]:
+        """Identities (of numbers to ``made``) with a vector whose cosine is ``floor`` or more, and their best cosine."""
+        best = np.full(made + 1, -np.inf)
         for kind, vecs in features.items():
             if kind in self.rows and len(vecs):
                 owners, held = self.rows[kind]
                 n = self.used[kind]
-                found.update(owners[:n][(held[:n] @ vecs.T).max(axis=1) >= floor].tolist())
-        return sorted(found - {-1})
+                cos = (held[:n] @ vecs.T).max(axis=1)
+                at = np.flatnonzero((cos >= floor) & (owners[:n] >= 0))
+                np.maximum.at(best, owners[at], cos[at])
+        found = np.flatnonzero(best >= floor)
+        return found, best[found]
+
+    def pairs(self, floor: float) -> dict[int, np.ndarray]:
+        """Of each identity those with a vector whose cosine with one of its own is ``floor`` or more, by slabs of bounded size."""
+        found: dict[int, list[np.ndarray]] = {}
+        for kind, (owners, held) in self.rows.items():
+            at = np.flatnonzero(owners[: self.used[kind]] >= 0)
+            at = at[np.argsort(owners[at], kind="stable")]
+            own, vecs = owners[at], held[at]
+            step = max(1, SLAB // max(1, len(at)))
+            for first in range(0, len(at), step):
+                i, j = np.divmod(np.flatnonzero(vecs[first : first + step] @ vecs.T >= floor), len(at))
+                some = np.unique(own[first + i] * (1 << 32) + own[j])
+                ends, others = some >> 32, some & ((1 << 32) - 1)
+                for a, of in zip(np.unique(ends), np.split(others, np.flatnonzero(np.diff(ends)) + 1), strict=False):
+                    found.setdefault(int(a), []).append(of)
+        return {a: np.unique(np.concatenate(of)) for a, of in found.items()}
 
 
 class Shard:
@@ -218,10 +240,19 @@ class Shard:
         self.settled: set[Any] = set()
 
     def ranked(self, t: Tracklet) -> list[dict[str, Any]]:
+        """The two identities that fit best, or fewer: no score is above what the best cosine of any kind allows, so the others need none."""
         rule, vecs = self.rule, {k: v for k, (_, v) in t.features.items()}
         seen = rule.faces and t.face_quality() >= rule.face_quality
-        rows = []
-        for number in self.index.near(vecs, self.floor):
+        order = lambda r: (-r["score"], -r["support"], r["number"])
+        rows: list[dict[str, Any]] = []
+        numbers, best = self.index.near(vecs, self.floor, self.made)
+        most = 0.90 * np.maximum(best, 0.0) + (0.10 if t.shape > 0 else 0.05 + 1e-9) + 1e-6
+        if rule.faces:
+            most = np.maximum(most, 0.92 * np.maximum(best, 0.0) + 0.08 + 1e-6)
+        for at in np.argsort(-most, kind="stable"):
+            if len(rows) == 2 and most[at] < rows[1]["score"]:
+                break
+            number = int(numbers[at])
             identity = self.identities[number]
             if identity.meets(t.camera, t.start, t.end):
                 continue
@@ -234,7 +265,8 @@ class Shard:
             else:
                 score = 0.90 * (face if face > 0 else body) + 0.10 * shape
             rows.append({"number": number, "score": round(score, 6), "body": round(body, 6), "face": round(face, 6), "support": support, "faces": faces})
-        return sorted(rows, key=lambda r: (-r["score"], -r["support"], r["number"]))
+            rows = sorted(rows, key=order)[:2]
+        return rows
 
     def accepted(self, t: Tracklet, best: dict[str, Any], margin: float) -> str | None:
         rule, body, face = self.rule, best["body"], best["face"]
@@ -292,44 +324,56 @@ class Shard:
         return (t.key, None, "refused" if enough else "pending", *figures) if last else None
 
     def merged(self) -> Iterator[tuple]:
-        """Rows of NAMES for identities that others take in (key is their founder): the first pair in order of founding that agrees, until none does."""
-        asked: dict[tuple[int, int], bool] = {}
-        while True:
-            pair = next(((a, b) for a in sorted(self.identities) for b in self._partners(a) if self._agree(a, b, asked)), None)
-            if pair is None:
-                return
-            a, b = pair
-            winner, loser = pair if self.identities[a].size() >= self.identities[b].size() else (b, a)
-            into, gone = self.identities[winner], self.identities.pop(loser)
-            for name, part in (("trusted", 1), ("candidate", 2)):
-                old, new = getattr(into, name), getattr(gone, name)
-                body = joined(part_of(old, False), part_of(new, False), max(6, self.rule.bank // 2) if part == 2 else self.rule.bank)
-                faces = joined(part_of(old, True), part_of(new, True), max(8, self.rule.bank // 2) if part == 2 else self.rule.bank)
-                setattr(into, name, {**body, **faces})
-            for camera, spans in gone.spans.items():
-                into.spans[camera] = sorted(into.spans.get(camera, []) + spans)
-            into.shapes = (into.shapes + gone.shapes)[-self.rule.bank :]
-            self.index.put(loser, None)
-            self.index.put(winner, into)
-            asked = {k: v for k, v in asked.items() if not {a, b} & {*k}}
-            yield (gone.founder, into.founder, "identity_merge", 0.0, 0.0, 0.0, 0.0, 0)
-
-    def _partners(self, a: int) -> list[int]:
-        one = self.identities[a]
-        vecs = {k: one.vectors(k) for k in {*one.trusted, *one.candidate}}
-        return [b for b in self.index.near(vecs, min(self.rule.merge_body, self.rule.merge_face) - 1e-9) if b > a]
-
-    def _agree(self, a: int, b: int, asked: dict[tuple[int, int], bool]) -> bool:
-        if (a, b) not in asked:
-            one, two, rule = self.identities[a], self.identities[b], self.rule
-            few, many = sorted((one, two), key=lambda i: sum(map(len, i.spans.values())))
-            good = not any(many.meets(c, s, e) for c, spans in few.spans.items() for s, e in spans)
-            if good:
-                body, support = body_score({k: one.vectors(k) for k in {*one.trusted, *one.candidate}}, two)
-                face = compared(one.vectors(FACE), two.vectors(FACE), 0.55) if rule.faces else None
-                good = body >= rule.merge_body and support >= rule.merge_support or face is not None and face[0] >= rule.merge_face
-            asked[a, b] = good
-        return asked[a, b]
+        """Rows of NAMES for identities that others take in (key is their founder): the first pair in order of founding that agrees, until none does.
+
+        A bank of two holds vectors of theirs alone, so who can agree with it is known from both. After a merge only pairs
+        of the one that grew are asked again; all other pairs before the row in turn have been found not to agree.
+        """
+        partners = self.index.pairs(min(self.rule.merge_body, self.rule.merge_face) - 1e-9)
+        root = np.arange(self.made + 1)
+        none = np.zeros(0, root.dtype)
+
+        def of(a: int) -> list[int]:
+            return [int(b) for b in np.unique(root[partners.get(a, none)]) if b != a]
+
+        for turn in sorted(self.identities):
+            while turn in self.identities:
+                pair = next(((turn, b) for b in of(turn) if b > turn and self._agree(turn, b)), None)
+                if pair is None:
+                    break
+                while pair is not None:
+                    a, b = pair
+                    winner, loser = pair if self.identities[a].size() >= self.identities[b].size() else (b, a)
+                    founder = self._merge(winner, loser)
+                    yield (founder, self.identities[winner].founder, "identity_merge", 0.0, 0.0, 0.0, 0.0, 0)
+                    root[root == loser] = winner
+                    partners[winner] = np.union1d(partners.get(winner, none), partners.pop(loser, none))
+                    before = sorted((min(u, winner), max(u, winner)) for u in of(winner) if min(u, winner) < turn)
+                    pair = next((p for p in before if self._agree(*p)), None)
+
+    def _merge(self, winner: int, loser: int) -> Any:
+        """Puts an identity into another; gives the founder of the one that is gone."""
+        into, gone = self.identities[winner], self.identities.pop(loser)
+        for name, part in (("trusted", 1), ("candidate", 2)):
+            old, new = getattr(into, name), getattr(gone, name)
+            body = joined(part_of(old, False), part_of(new, False), max(6, self.rule.bank // 2) if part == 2 else self.rule.bank)
+            faces = joined(part_of(old, True), part_of(new, True), max(8, self.rule.bank // 2) if part == 2 else self.rule.bank)
+            setattr(into, name, {**body, **faces})
+        for camera, spans in gone.spans.items():
+            into.spans[camera] = sorted(into.spans.get(camera, []) + spans)
+        into.shapes = (into.shapes + gone.shapes)[-self.rule.bank :]
+        return gone.founder
+
+    def _agree(self, a: int, b: int) -> bool:
+        one, two, rule = self.identities[a], self.identities[b], self.rule
+        few, many = sorted((one, two), key=lambda i: sum(map(len, i.spans.values())))
+        if any(many.meets(c, s, e) for c, spans in few.spans.items() for s, e in spans):
+            return False
+        body, support = body_score({k: one.vectors(k) for k in {*one.trusted, *one.candidate}}, two)
+        if body >= rule.merge_body and support >= rule.merge_support:
+            return True
+        face = compared(one.vectors(FACE), two.vectors(FACE), 0.55) if rule.faces else None
+        return face is not None and face[0] >= rule.merge_face
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -365,12 +409,48 @@ def _solve(batches: Iterator[pa.RecordBatch], rule: Growing, schema: pa.Schema)
     yield flush()
 
 
+def _joined_labels(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels (each that of its smallest member) after the links between x and y."""
+    while True:
+        x, y = label[x], label[y]
+        apart = x != y
+        if not apart.any():
+            return label
+        x, y = np.minimum(x[apart], y[apart]), np.maximum(x[apart], y[apart])
+        np.minimum.at(label, y, x)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+
+
 def linked(features: DataFrame, floor: float) -> DataFrame:
-    """left and right: tracklets with features of one kind whose cosine is ``floor`` or more, compared in cells of bounded size."""
-    rows = features.select(F.concat_ws("\x01", F.col("key"), F.col("seq").cast("string")).alias("row"), "kind", "vec")
-    pairs = over(rows, rows, "row", "vec", floor, side="kind", alike=True)
-    key = lambda c: F.substring_index(c, "\x01", 1)
-    return pairs.select(key("query").alias("left"), key("hit").alias("right")).where("left < right").distinct()
+    """left and right: links by which tracklets hang together as by all features of one kind whose cosine (4 places) is ``floor`` or more.
+
+    Two blocks that meet give a link for each tracklet of theirs at most, to the first one that it hangs together with.
+    """
+    rows = features.where("key IS NOT NULL").select(F.col("kind").alias("key"), F.col("key").alias("row"), "vec")
+    packed, number = blocks.packed(rows, "vec", ["row"], "row", CELL), blocks.kind_of(rows, "vec")
+    bar = (np.ceil(floor * 10_000 - 1e-6) - 0.5) / 10_000 - 1e-9
+    schema = "left string, right string"
+    arrow = blocks.arrow_schema(schema)
+
+    def hang(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        (u, mine), (v, theirs) = blocks.opened(left, number, ["row"]), blocks.opened(right, number, ["row"])
+        names = pa.concat_arrays([mine["row"], theirs["row"]]).dictionary_encode()
+        codes = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        a, b = codes[: len(u)], codes[len(u) :]
+        label = np.arange(len(names.dictionary))
+        for at, cos in blocks.slabs(u, v):
+            i, j = np.divmod(np.flatnonzero(cos >= bar), len(v))
+            label = _joined_labels(label, a[at + i], b[j])
+            if not label.any():  # all hang together
+                break
+        at = np.flatnonzero(label != np.arange(len(label)))
+        return pa.Table.from_arrays([names.dictionary.take(pa.array(label[at])), names.dictionary.take(pa.array(at))], schema=arrow)
+
+    kinds = packed.select(F.col("key").alias("left"), F.col("key").alias("right")).distinct()
+    return blocks.met(packed, packed, kinds, once=True).applyInArrow(hang, schema).distinct()
 
 
 def grown(tracklets: DataFrame, features: DataFrame, rule: Growing = Growing(), links: DataFrame | None = None) -> DataFrame:

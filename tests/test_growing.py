@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from tessera.operators.growing import FACE, Growing, Identity, Shard, Tracklet, grown, joined, trimmed
+from tessera.operators.cluster import components
+from tessera.operators.growing import FACE, Growing, Identity, Index, Shard, Tracklet, grown, joined, linked, trimmed
 
 TRACKLETS = "key string, camera string, start double, end double, shape double, evidence double"
 FEATURES = "key string, seq int, kind string, quality double, vec array<double>"
@@ -163,3 +164,58 @@ def test_empty_and_null(spark):
     features = [("a", 0, "full", 0.9, axis(1.0)), ("a", 1, None, 0.9, axis(1.0)), ("a", 2, "full", None, axis(1.0)), ("zero", 0, "full", 0.9, axis()), ("a", 3, "full", 0.9, None), (None, 0, "full", 0.9, axis(1.0))]
     out = solved(spark, tracklets, features, Growing(least=1))
     assert {k: (r.gid is not None, r.reason) for k, r in out.items()} == {"a": (True, "new"), "zero": (False, "pending")}
+
+
+def test_links_hold_together_what_all_pairs_do_and_are_few(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 8)) * 3
+    rows = [(f"k{i}", s, ("full", "upper")[i % 2], 0.9, (centres[i % 6] + rng.normal(size=8)).tolist()) for i in range(120) for s in range(3)]
+    unit = lambda v: np.asarray(v) / np.linalg.norm(v)
+    part = {k: k for k, *_ in rows}
+    for a, _, kind, _, v in rows:
+        for b, _, other, _, w in rows:
+            if a != b and kind == other and round(float(unit(v) @ unit(w)), 4) >= 0.8 and part[a] != part[b]:
+                old, new = max(part[a], part[b]), min(part[a], part[b])
+                part = {k: new if c == old else c for k, c in part.items()}
+    links = linked(spark.createDataFrame(rows, FEATURES), 0.8)
+    assert links.count() < 120  # one for each tracklet, and not one for each pair
+    got = {r.key: r.component for r in components(links).collect()}
+    assert {k: c for k, c in part.items() if list(part.values()).count(c) > 1} == got
+
+
+def test_the_best_two_are_those_of_all_identities():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    vector = lambda i: (lambda v: v / np.linalg.norm(v))(centres[i] + 0.4 * rng.normal(size=16))
+    for faces in (False, True):
+        shard = Shard(Growing(threshold=0.9, margin=0.01, support=1, least=1, found=0.0, faces=faces))
+        shard.floor, asked = -2.0, []
+        for i in range(160):
+            kinds = {"full": 2, "upper": 1, **({FACE: 1} if i % 3 else {})}
+            t = Tracklet(f"k{i}", f"c{i % 4}", 3.0 * i, 3.0 * i + 1, (0.0, 1.5, 2.0)[i % 3], 0.5, {k: (np.full(n, 0.9), np.stack([vector(i % 40) for _ in range(n)])) for k, n in kinds.items()})
+            got, every = shard.ranked(t), []
+            numbers = sorted(shard.identities)
+            for n in numbers:  # each alone
+                alone = Shard(shard.rule)
+                alone.floor, alone.made, alone.identities = -2.0, 1, {1: shard.identities[n]}
+                alone.index.put(1, shard.identities[n])
+                every += [{**r, "number": n} for r in alone.ranked(t)]
+            asked.append(got)
+            assert got == sorted(every, key=lambda r: (-r["score"], -r["support"], r["number"]))[:2]
+            shard.take(t, False)
+        assert any(len(r) == 2 for r in asked)
+
+
+def test_a_merge_asks_only_the_identity_that_grew(monkeypatch):
+    rule = Growing(threshold=2.0, strong=2.0, least=1, merge=True, merge_body=0.9, merge_support=0)
+    shard = Shard(rule)
+    for i in range(60):  # thirty pairs that agree, one after another
+        v = np.zeros((1, 32))
+        v[0, i // 2] = 1.0
+        shard.take(Tracklet(f"k{i:02}", f"c{i}", 0.0, 1.0, 0.0, 0.5, {"full": (np.array([0.9]), v)}), False)
+    asked = []
+    agree = Shard._agree
+    monkeypatch.setattr(Shard, "_agree", lambda self, a, b, *more: asked.append((a, b)) or agree(self, a, b, *more))
+    near = Index.near
+    monkeypatch.setattr(Index, "near", lambda self, *a: asked.append("near") or near(self, *a))
+    assert len(list(shard.merged())) == 30 and len(asked) <= 60
