@@ -409,3 +409,18 @@ def test_settings_are_checked():
     for bad in ({"same_camera": 1.5}, {"waiver": 0.1}, {"least_observations": 0}, {"per_camera": (("a", 0.5), ("a", 0.6))}):
         with pytest.raises(ValueError):
             reconcile.Settings(**bad)
+
+
+def test_successors_of_equal_times_come_out_in_runs(spark):
+    # Six spans at each of 40 moments of two cameras; the gap of 20 is the widest taken, that of 0 is none.
+    spans = [("xy"[i % 2], f"{i}:{c}", 5.0 * i, 5.0 * i + 10.0 + c % 2) for i in range(80) for c in range(6)]
+    odd = [(None, "no camera", 5.0, 6.0), ("x", "no time", None, None), ("x", "no end", 31.0, None), ("x", "no start", None, 31.5), ("x", "early", -45.0, -35.25)]
+    df = spark.createDataFrame(spans + odd + spans[:1], "camera string, key string, t0 double, t1 double")
+    got = intervals.successors(df, ["camera"], "t0", "t1", 20.0).collect()
+    assert list(got[0].asDict()) == ["camera_a", "key_a", "t0_a", "t1_a", "camera_b", "key_b", "t0_b", "t1_b", "gap"]
+    whole = [x for x in spans + odd + spans[:1] if x[0] is not None]
+    want = [(*a, *b, b[2] - a[3]) for a in whole for b in whole if a[0] == b[0] and a[3] is not None and b[2] is not None and 0 < b[2] - a[3] <= 20.0]
+    assert {r.gap for r in got} >= {20.0} and sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert len(list(itertools.groupby(got, lambda r: (r.camera_a, r.t1_a, r.t0_b)))) == len({(r.camera_a, r.t1_a, r.t0_b) for r in got}) < len(got) / 8
+    near = intervals.successors(df, ["camera"], "t0", "t1", 20.0, places=0).select("key_a", "key_b", "gap").collect()
+    assert len(near) == len(want) and all(r.gap == round(r.gap) for r in near)
