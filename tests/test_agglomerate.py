@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import agglomerate
+from tessera.operators import agglomerate, blocks
 from tessera.operators.agglomerate import Rules, agglomerated
 from tessera.operators.identity import gallery_of
 
@@ -251,3 +251,29 @@ def test_rounds_of_the_second_phase_can_be_bounded(spark):
     for most, groups in ((1, 4),):
         out = agglomerated(obs, Rules(least_observations=1, same_camera=0.5, cross_camera=0.5, most_rounds=most))
         assert out.members.select("component").distinct().count() == groups
+
+
+BY_BEST = [
+    Rules(same_camera=0.7, cross_camera=0.6, mutual_same=True),
+    Rules(same_camera=0.8, cross_camera=0.5, mutual_same=True, per_camera=(("b", 0.65), ("c", 0.9)), cluster_same_camera=0.7),
+]
+
+
+@pytest.mark.parametrize("n", range(len(BY_BEST)))
+def test_best_partners_take_the_place_of_a_table_of_links(spark, monkeypatch, n):
+    # Blocks of a few groups, slabs of a few rows; equal vectors tie.
+    for module, name, value in ((agglomerate, "LEAST_BLOCK", 3), (agglomerate, "CELL", 3), (blocks, "SLAB", 7)):
+        monkeypatch.setattr(module, name, value, raising=False)
+    obs = random_tracks(n + 20, 32)
+    obs += [(key[:1] + ":9" + key[2:], camera, ts + 1000, vec) for key, camera, ts, vec in obs[:24]]
+    keys = sorted({o[0] for o in obs})
+    more = [(keys[i], keys[(7 * i + 3) % len(keys)]) for i in range(0, len(keys), 5) if keys[i] != keys[(7 * i + 3) % len(keys)]]
+    sizes, write = [], agglomerate.cut
+    monkeypatch.setattr(agglomerate, "cut", lambda df, name: (lambda out: sizes.append(out.count()) or out)(write(df, name)))
+    out, got = run(spark, obs, BY_BEST[n], spark.createDataFrame(more, "left string, right string"))
+    want = plain(obs, BY_BEST[n], more)
+    assert {k: c for k, c in got.items() if c} == want
+    assert len(set(want.values())) < len(want) - 10
+    assert out.merges.count() == len(want) - len(set(want.values())) and {r.bar for r in out.merges.collect()} <= {0.5, 0.6, 0.65, 0.7, 0.8, 0.9}
+    # Before, all pairs of tracklets were written.
+    assert max(sizes) < len(want) * (len(want) - 1) / 4
